@@ -59,9 +59,10 @@ def _valid(kind: Column, m: Column) -> Column:
 
 
 def matches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Written once: rid, doc_id, the raw matches of each kind with the gaps before them, text where there are any."""
+    """Written once: rid, doc_id, th (hash of the text), the raw matches of each kind with the gaps before them, text where there are any."""
     t = F.col("t")
     rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("t"))
+    rows = rows.withColumn("th", F.xxhash64("t"))
     found = rows.select(
         "*",
         *[
@@ -74,7 +75,7 @@ def matches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         F.when(has, F.arrays_zip(F.col(f"m_{k}").alias("m"), F.transform(F.split(t, p, -1), lambda x: F.length(x)).alias("gap"))).alias(k)
         for (k, p, _), has in zip(PATTERNS, some, strict=True)
     ]
-    return written(found.select("rid", "doc_id", *gaps, F.when(some[0] | some[1] | some[2] | some[3], t).alias("t")))
+    return written(found.select("rid", "doc_id", "th", *gaps, F.when(some[0] | some[1] | some[2] | some[3], t).alias("t")))
 
 
 def base_spans(found: DataFrame) -> DataFrame:
@@ -201,8 +202,7 @@ def report(found: DataFrame, spans: DataFrame) -> DataFrame:
 
 def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """`docs` with every span replaced by its kind, as [EMAIL]; all other columns and all rows stay."""
-    rows = written(docs.withColumn("_row", F.monotonically_increasing_id()))
-    found, spans = find(rows, "_row", text_col)
+    found, spans = find(docs, id_col, text_col)
     # overlapping spans: what begins inside an earlier one is covered by it up to that one's end
     before = Window.partitionBy("rid").orderBy("start", F.desc("end"), "ord").rowsBetween(Window.unboundedPreceding, -1)
     cut = (
@@ -217,9 +217,12 @@ def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         xs, lambda x: F.concat(F.substring(t, (x["reach"] + 1).cast("int"), (x["start"] - x["reach"]).cast("int")), x["as"])
     )
     clean = F.concat(F.array_join(pieces, ""), F.substring(t, (F.element_at(xs, -1)["end"] + 1).cast("int"), F.length(t)))
-    changed = found.join(cut, "rid").select(F.col("doc_id").alias("_of"), clean.alias("_clean"))
+    # rows equal in id and text are changed alike, so these two identify a row well enough
+    least = F.lit(-(1 << 63))
+    changed = found.join(cut, "rid").select(F.coalesce(F.col("doc_id").cast("long"), least).alias("_k"), F.col("th").alias("_th"), clean.alias("_clean")).dropDuplicates(["_k", "_th"])
+    keyed = docs.withColumns({"_key": F.coalesce(F.col(id_col).cast("long"), least), "_h": F.xxhash64(text_or_empty(text_col))})
     return (
-        rows.join(changed, F.col("_row") == F.col("_of"), "left")
+        keyed.join(changed.hint("shuffle_hash"), (F.col("_key") == F.col("_k")) & (F.col("_h") == F.col("_th")), "left")
         .withColumn(text_col, F.coalesce("_clean", text_col))
         .select(*docs.columns)
     )

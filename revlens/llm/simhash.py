@@ -194,29 +194,39 @@ def links(distinct: DataFrame, tile: int = TILE) -> DataFrame:
     )
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, fp, component_id for every row."""
-    rows = written(fingerprints(docs, id_col, text_col))
+def grouped(rows: DataFrame) -> DataFrame:
+    """id, fp, component_id of written rows (id, fp): components of the links, named by their least id."""
     nodes = rows.groupBy("fp").agg(F.min("id").alias("least"))
     roots = components(links(nodes.select("fp")))
     placed = nodes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     ids = placed.groupBy("root").agg(F.min("least").alias("component_id")).select(F.col("root").alias("r"), "component_id")
     by_fp = placed.join(ids, F.col("root") == F.col("r")).select(F.col("fp").alias("f"), "component_id")
-    return rows.join(by_fp, F.col("fp") == F.col("f"), "left").select(F.col("id").alias("doc_id"), "fp", "component_id")
+    return rows.join(by_fp, F.col("fp") == F.col("f"), "left").select("id", "fp", "component_id")
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, fp, component_id for every row."""
+    return grouped(written(fingerprints(docs, id_col, text_col))).withColumnRenamed("id", "doc_id")
+
+
+def _marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        values = np.array([fingerprint(t.as_py()) for t in batch.column("t")], np.uint64).view(np.int64)
+        yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(values, pa.int64())], ["row", "fp"])
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Of each component the rows with its least id; of repeated rows with that id, and of rows without ids, one stays."""
-    rows = written(docs.withColumn("_row", F.monotonically_increasing_id()))
-    found = near_duplicates(rows, "_row", text_col)
-    # the representative is the row of least id; rows without an id come last
-    order = F.struct(F.col("_id").isNull().alias("none"), F.col("_id").alias("i"), F.col("_r").alias("r"))
-    ids = rows.select(F.col("_row").alias("_r"), F.col(id_col).alias("_id"))
-    best = (
-        found.select(F.col("doc_id").alias("_of"), "component_id").join(ids, F.col("_of") == F.col("_r"))
-        .groupBy("component_id").agg(F.min(order).alias("best")).select(F.col("best.r").alias("_keep"))
-    )
-    return rows.join(best, F.col("_row") == F.col("_keep"), "left_semi").select(*docs.columns)
+    """Of each component one row stays: that of least id, rows without ids after all others; of repeats of it any one."""
+    ready(docs.sparkSession)
+    packed = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    kind = docs.select(packed).schema["row"].dataType.simpleString()
+    with_fp = docs.select(packed, text_or_empty(text_col).alias("t")).mapInArrow(_marked, f"row {kind}, fp long")
+    rows = written(with_fp.select("row", "fp", F.monotonically_increasing_id().alias("id")))
+    light = rows.select("id", "fp")
+    order = F.struct(F.col("_id").isNull(), F.col("_id"), F.col("of"))
+    ids = rows.select(F.col("id").alias("of"), F.col(f"row.`{id_col}`").alias("_id"))
+    best = grouped(light).join(ids, F.col("id") == F.col("of")).groupBy("component_id").agg(F.min_by("of", order).alias("keep"))
+    return rows.join(best, F.col("id") == F.col("keep"), "left_semi").select("row.*")
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
