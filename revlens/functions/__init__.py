@@ -1 +1 @@
-"""See the package modules."""
+"""Column functions: cleaning, language, fake signals, sentiment."""

@@ -1 +1 @@
-"""See the package modules."""
+"""Operators of the review engine."""

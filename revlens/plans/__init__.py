@@ -1 +1 @@
-"""See the package modules."""
+"""Plans that combine operators."""

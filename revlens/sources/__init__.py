@@ -1 +1 @@
-"""See the package modules."""
+"""Where reviews come from."""

@@ -1 +1 @@
-"""See the package modules."""
+"""Structured Streaming extensions."""
