@@ -1,30 +1,13 @@
-"""Helpers that every corpus operator shares: input columns, durable cuts of lineage, worker set-up."""
+"""Helpers that every corpus operator shares."""
 
 from __future__ import annotations
 
-import atexit
-import os
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_REPO = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-_written: list[tuple[SparkSession, str]] = []
-
-#: Rows an Arrow batch carries at most; texts are long, and Spark's default of 10,000 could hold gigabytes.
-ARROW_ROWS = 512
-
+from revlens.plans.durable import ready, shared_dir, written
 
-def ready(spark: SparkSession) -> SparkSession:
-    """Let Python workers import this package from any working folder, and keep Arrow batches of long texts small."""
-    env = spark.sparkContext.environment
-    if _REPO not in env.get("PYTHONPATH", "").split(":"):
-        env["PYTHONPATH"] = ":".join(x for x in (_REPO, env.get("PYTHONPATH", "")) if x)
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > ARROW_ROWS:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
-    return spark
+__all__ = ["ready", "shared_dir", "table", "text_or_empty", "written"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,38 +15,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return ready(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; where the session names none (tests), a temporary one."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not named:
-        spark.sparkContext.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='revlens-')}")
-        named = spark.sparkContext.getCheckpointDir()
-    return named.rstrip("/")
-
-
-def written(df: DataFrame) -> DataFrame:
-    """The rows as a Parquet table in the shared folder: lineage is cut, and losing an executor loses nothing.
-
-    The folder is removed when the driver's Python ends.
-    """
-    spark = df.sparkSession
-    if not _written:
-        atexit.register(_remove)
-    path = f"{shared_dir(spark)}/revlens-{uuid.uuid4().hex}"
-    _written.append((spark, path))
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def _remove() -> None:
-    for spark, path in _written:
-        try:
-            where = spark._jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
-        except Exception:  # the session has ended before the interpreter: nothing can be removed any more
-            return
-
-
 def text_or_empty(name: str = "text"):
     """A text column with null read as the empty text."""
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
