@@ -35,14 +35,14 @@ MOST_TOXIC, MOST_CLEAN = 4096, 12288
 #: many of its examples have label 1; least ratio of its document frequencies.
 MOST_FEATURES, LEAST_EVIDENCE, LEAST_RATIO = 4096, 17.0, 4.0
 #: Nearest examples that vote, examples in a block of the index, examples named as evidence.
-NEIGHBOURS, BLOCK, EVIDENCE = 15, 128, 3
+NEIGHBOURS, BLOCK, EVIDENCE = 15, 512, 3
 #: Share of labelled rows held out of every fit: crc32(doc_id) mod FOLDS is 0.
 FOLDS = 5
 THRESHOLD = 0.5
 #: Lengths of the word beginnings that are features.
 STEMS = (4, 5, 6)
 #: Chunks of text, and vectors, whose features or scores a worker keeps.
-KEPT = 200_000
+KEPT = 400_000
 _word = re.compile(r"[^\W\d_]+").findall
 
 
@@ -68,6 +68,7 @@ class Index:
     ids: np.ndarray
     labels: np.ndarray
     postings: list[tuple[np.ndarray, np.ndarray]]  # by feature: examples (ascending), weights
+    starts: np.ndarray  # features x (blocks + 1): where each block's postings begin
     block_max: np.ndarray  # features x blocks
     steps: tuple[np.ndarray, np.ndarray]  # calibration: votes, scores
     empty_score: float
@@ -87,10 +88,10 @@ class Index:
             if bounds[b] <= 0 or len(best) == k and bounds[b] < cosines[-1] - 1e-12:
                 break
             first, score = b * BLOCK, np.zeros(BLOCK)
-            for i, x in zip(f.tolist(), w.tolist(), strict=True):
-                if self.block_max[i, b] > 0:
+            begin, end = self.starts[f, b].tolist(), self.starts[f, b + 1].tolist()
+            for i, x, s, e in zip(f.tolist(), w.tolist(), begin, end, strict=True):
+                if s < e:
                     docs, weights = self.postings[i]
-                    s, e = np.searchsorted(docs, (first, first + BLOCK))
                     score[docs[s:e] - first] += x * weights[s:e]
             if first <= but < first + BLOCK:
                 score[but - first] = 0
@@ -129,12 +130,16 @@ def isotonic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[np.ndarr
 
 
 def build(features: list[str], examples: list[tuple[int, int, dict[int, int]]], shares: tuple[float, float]) -> Index:
-    """Index of (id, label, counts) with its calibration. `shares`: rows that an example of label 0 or 1 stands for."""
+    """Index of (id, label, counts) with its calibration. `shares`: rows that an example of label 0 or 1 stands for.
+
+    Examples that share their rarest feature are neighbours, so that a block's maxima are those of few features.
+    """
     n = len(examples)
-    df = Counter(i for _, _, c in examples for i in c)
-    idf = np.array([np.log((1 + n) / (1 + df[i])) + 1 for i in range(len(features))])
+    seen = Counter(i for _, _, c in examples for i in c)
+    examples = sorted(examples, key=lambda e: (min(((seen[i], i) for i in e[2]), default=(n + 1, 0)), e[0]))
+    idf = np.array([np.log((1 + n) / (1 + seen[i])) + 1 for i in range(len(features))])
     labels = np.array([y for _, y, _ in examples], np.int64)
-    index = Index({f: i for i, f in enumerate(features)}, idf, np.array([i for i, _, _ in examples], np.int64), labels, [], np.zeros((len(features), -(-n // BLOCK))), (np.zeros(1), np.zeros(1)), 0.0)
+    index = Index({f: i for i, f in enumerate(features)}, idf, np.array([i for i, _, _ in examples], np.int64), labels, [], np.zeros((0, 0), np.int64), np.zeros((len(features), -(-n // BLOCK))), (np.zeros(1), np.zeros(1)), 0.0)
     vectors = [index.vector(c) for _, _, c in examples]
     lists: list[tuple[list[int], list[float]]] = [([], []) for _ in features]
     for d, (f, w) in enumerate(vectors):
@@ -143,6 +148,8 @@ def build(features: list[str], examples: list[tuple[int, int, dict[int, int]]],
             lists[i][1].append(x)
             index.block_max[i, d // BLOCK] = max(index.block_max[i, d // BLOCK], x)
     index.postings = [(np.array(d, np.int64), np.array(w)) for d, w in lists]
+    edges = np.arange(index.block_max.shape[1] + 1) * BLOCK
+    index.starts = np.array([np.searchsorted(d, edges) for d, _ in index.postings])
     weight = np.where(labels == 1, shares[1], shares[0])
     votes, known = np.zeros(n), np.zeros(n, bool)
     for d, (f, w) in enumerate(vectors):
@@ -237,7 +244,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Index:
     examples = written(texts.join(F.broadcast(sample), "id").groupBy("id").agg(F.max("toxic").alias("toxic"), F.min("t").alias("t")))  # bounded
     n = {r["toxic"]: r["n"] for r in examples.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     n0, n1 = n.get(0, 0), n.get(1, 0)
-    nothing = Index({}, np.zeros(0), np.zeros(0, np.int64), np.zeros(0, np.int64), [], np.zeros((0, 0)), (np.zeros(1), np.zeros(1)), 0.0)
+    nothing = Index({}, np.zeros(0), np.zeros(0, np.int64), np.zeros(0, np.int64), [], np.zeros((0, 0), np.int64), np.zeros((0, 0)), (np.zeros(1), np.zeros(1)), 0.0)
     if not n0 or not n1:
         return nothing
     p1, p0 = F.col("n1") / n1, F.col("n0") / n0
