@@ -193,7 +193,10 @@ def train(background: list[str], seed: int = 7) -> Model:
 
 def background(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> list[str]:
     """A bounded sample of the corpus's paragraphs: those of the documents of least hash."""
-    chosen = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("t")).orderBy(F.xxhash64("id"), "t").limit(MOST_DOCUMENTS)
+    hashed = docs.select(F.xxhash64(id_col).alias("h"), text_or_empty(text_col).alias("t"))
+    # the least hashes are found without texts; as few rows may be broadcast
+    least = hashed.select("h").distinct().orderBy("h").limit(MOST_DOCUMENTS)
+    chosen = hashed.join(F.broadcast(least), "h", "left_semi")
     lines = chosen.select(F.explode(F.slice(F.split("t", "\n"), 1, 40)).alias("p")).where("trim(p) <> ''").select(F.substring("p", 1, 1000).alias("p")).orderBy(F.xxhash64("p")).limit(MOST_PARAGRAPHS)
     return [r["p"] for r in lines.collect()]  # at most MOST_PARAGRAPHS rows
 
