@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import ctypes
+from collections.abc import Callable, Iterator
+from functools import wraps
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from revlens.plans.durable import ready, shared_dir, written
 
-__all__ = ["ready", "shared_dir", "table", "text_or_empty", "written"]
+__all__ = ["ready", "released", "shared_dir", "table", "text_or_empty", "written"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,3 +23,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def text_or_empty(name: str = "text"):
     """A text column with null read as the empty text."""
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
+
+
+def released(f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
+    """Gives a task's memory back when it ends: Spark keeps Python workers, and their free memory would add up."""
+
+    @wraps(f)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from f(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim is not None:
+            trim(0)
+
+    return run

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from revlens.llm.common import ready, table, text_or_empty, written
+from revlens.llm.common import ready, released, table, text_or_empty, written
 
 CAPACITY = 4096
 END_ID = 1
@@ -137,7 +137,7 @@ def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, e
     """The pieces of every document with their lengths."""
     ready(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("t"))
-    return rows.mapInArrow(_cutter(path or vocabulary_path(), capacity, end), _PIECES)
+    return rows.mapInArrow(released(_cutter(path or vocabulary_path(), capacity, end)), _PIECES)
 
 
 def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, int, int, int, int, int]]:

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from revlens.llm.common import ready, table, text_or_empty, written
+from revlens.llm.common import ready, released, table, text_or_empty, written
 from revlens.operators.components import components
 
 SHINGLE = 3
@@ -66,7 +66,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """id, fp: the fingerprint as a signed long with the same bits."""
     ready(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("t"))
-    return rows.mapInArrow(_fingerprints, "id long, fp long")
+    return rows.mapInArrow(released(_fingerprints), "id long, fp long")
 
 
 def bit_planes(values: np.ndarray) -> np.ndarray:
@@ -190,7 +190,7 @@ def links(distinct: DataFrame, tile: int = TILE) -> DataFrame:
     )
     return (
         tiled.repartition("band", "value", "a", "b").sortWithinPartitions("band", "value", "a", "b")
-        .select("band", "value", "a", "b", "fp", "side").mapInArrow(_bucket_links, "u long, v long")
+        .select("band", "value", "a", "b", "fp", "side").mapInArrow(released(_bucket_links), "u long, v long")
     )
 
 
@@ -220,7 +220,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     ready(docs.sparkSession)
     packed = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
     kind = docs.select(packed).schema["row"].dataType.simpleString()
-    with_fp = docs.select(packed, text_or_empty(text_col).alias("t")).mapInArrow(_marked, f"row {kind}, fp long")
+    with_fp = docs.select(packed, text_or_empty(text_col).alias("t")).mapInArrow(released(_marked), f"row {kind}, fp long")
     rows = written(with_fp.select("row", "fp", F.monotonically_increasing_id().alias("id")))
     light = rows.select("id", "fp")
     order = F.struct(F.col("_id").isNull(), F.col("_id"), F.col("of"))

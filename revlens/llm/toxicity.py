@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from revlens.llm.common import ready, table, text_or_empty, written
+from revlens.llm.common import ready, released, table, text_or_empty, written
 
 #: Bounds of the sample of labelled documents.
 MOST_TOXIC, MOST_CLEAN = 4096, 12288
@@ -42,7 +42,7 @@ THRESHOLD = 0.5
 #: Lengths of the word beginnings that are features.
 STEMS = (4, 5, 6)
 #: Chunks of text, and vectors, whose features or scores a worker keeps.
-KEPT = 400_000
+KEPT = 250_000
 _word = re.compile(r"[^\W\d_]+").findall
 
 
@@ -253,7 +253,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Index:
     divergence = share * F.log(share / q) + F.when(share < 1, (1 - share) * F.log((1 - share) / (1 - q))).otherwise(0.0)
     certain = F.when(share > q, n_f * divergence).otherwise(0.0)
     chosen = (
-        examples.select("toxic", "t").mapInArrow(_document_frequencies, "feature string, n0 long, n1 long")
+        examples.select("toxic", "t").mapInArrow(released(_document_frequencies), "feature string, n0 long, n1 long")
         .groupBy("feature").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
         .select("feature", certain.alias("certain"), ((p1 + 0.5 / n1) / (p0 + 0.5 / n0)).alias("ratio"))
         .where((F.col("certain") >= LEAST_EVIDENCE) & (F.col("ratio") >= LEAST_RATIO))
@@ -264,7 +264,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Index:
         nothing.empty_score = by_label.get(1, 0) / max(1, sum(by_label.values()))
         return nothing
     numbers = {f: i for i, f in enumerate(features)}
-    rows = examples.select("id", "toxic", "t").mapInArrow(_vectors(numbers), "id long, toxic int, f array<int>, n array<int>").collect()  # at most MOST_TOXIC + MOST_CLEAN short rows
+    rows = examples.select("id", "toxic", "t").mapInArrow(released(_vectors(numbers)), "id long, toxic int, f array<int>, n array<int>").collect()  # at most MOST_TOXIC + MOST_CLEAN short rows
     vectors = sorted((r["id"], r["toxic"], dict(zip(r["f"], r["n"], strict=True))) for r in rows)
     return build(features, vectors, (by_label.get(0, 0) / n0, by_label.get(1, 0) / n1))
 
@@ -275,7 +275,7 @@ def score(docs: DataFrame, labels: DataFrame, corpus: DataFrame | None = None) -
     index = spark.sparkContext.broadcast(fit(corpus if corpus is not None else docs, labels))  # bounded by the parameters
     packed = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
     kind = docs.select(packed).schema["row"].dataType.simpleString()
-    scored = docs.select(packed, text_or_empty().alias("t")).mapInArrow(_scorer(index), f"row {kind}, score double, evidence string")
+    scored = docs.select(packed, text_or_empty().alias("t")).mapInArrow(released(_scorer(index)), f"row {kind}, score double, evidence string")
     return scored.select("row.*", "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"), "evidence")
 
 
