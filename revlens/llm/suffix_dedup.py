@@ -31,13 +31,13 @@ from pyspark.sql import functions as F
 
 from revlens.llm import anchors, bitmap
 from revlens.llm.anchors import MATCH, K
-from revlens.llm.common import ready, table, text_or_empty, written
+from revlens.llm.common import ready, released, table, text_or_empty, written
 
 #: Leading bytes by which segments are dealt.
 LEAD = 16
-#: Segments that are sorted at a time; a bucket with more is read in runs, and a group cut by that counts as cut by a
-#: boundary.
-BUCKET = 40_000
+#: Segments that are sorted at a time. Groups of equal leading bytes with more are salted; only they may be cut by a
+#: bucket's boundary or by the end of a run.
+BUCKET = 20_000
 #: Tasks that share a hot leading key at most.
 SALTS = 4096
 _LEFT = MATCH - K
@@ -214,24 +214,19 @@ def _fingerprint_rows(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A range partition, sorted by leading bytes, in runs that end between groups where they can."""
+    """A range partition, sorted by leading bytes, in runs that end between groups; only hot groups may be cut."""
     run: list[tuple] = []
     cut: set[bytes] = set()
-    first = True
     for batch in batches:
-        for row in zip(*(batch.column(c).to_pylist() for c in ("lead", "seg", "off", "many", "k", "th", "start")), strict=True):
-            if first:
-                cut.add(row[0])  # the group may have begun in the partition before
-                first = False
+        for *row, hot in zip(*(batch.column(c).to_pylist() for c in ("lead", "seg", "off", "many", "k", "th", "start", "hot")), strict=True):
             if len(run) >= BUCKET and (row[0] != run[-1][0] or len(run) >= 2 * BUCKET):
-                same = row[0] == run[-1][0]
-                if same:
-                    cut.add(row[0])
                 yield from _bucket(run, cut)
-                run, cut = [], {row[0]} if same else set()
-            run.append(row)
+                run, cut = [], set()
+            if hot:
+                cut.add(row[0])
+            run.append(tuple(row))
     if run:
-        yield from _bucket(run, cut | {run[-1][0]})  # and the last may go on in the next
+        yield from _bucket(run, cut)
 
 
 # --- result
@@ -247,20 +242,22 @@ def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tu
     spark = ready(docs.sparkSession)
     rows = _rows(docs, id_col, text_col)
     again = written(
-        rows.select("th", "t").mapInArrow(_grams, "ctx long, least long, most long, many boolean")
+        rows.select("th", "t").mapInArrow(released(_grams), "ctx long, least long, most long, many boolean")
         .groupBy("ctx").agg(F.min("least").alias("least"), F.max("most").alias("most"), F.bool_or("many").alias("many"))
         .where("many or least <> most").select(F.col("ctx").alias("key"))
     )
     bits = bitmap.size(again.count())
     words = spark.sparkContext.broadcast(bitmap.collect(again, bits))  # 16 MB at most
-    parts = written(rows.mapInArrow(_segments(words), _SEGMENTS))
+    parts = written(rows.mapInArrow(released(_segments(words)), _SEGMENTS))
+    segments = parts.where(F.col("kind") == SEGMENT).select("lead", "seg", "off", "many", "k", "th", "start")
+    large = segments.groupBy("lead").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > BUCKET).select("lead", F.lit(True).alias("hot"))
     dealt = (
-        parts.where(F.col("kind") == SEGMENT).select("lead", "seg", "off", "many", "k", "th", "start")
-        .withColumn("salt", F.pmod(F.xxhash64("k", "th", "start"), F.lit(SALTS)))
+        segments.join(large, "lead", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
+        .withColumn("salt", F.when(F.col("hot"), F.pmod(F.xxhash64("k", "th", "start"), F.lit(SALTS))).otherwise(F.lit(0).cast("long")))
         .repartitionByRange("lead", "salt").sortWithinPartitions("lead")
-        .select("lead", "seg", "off", "many", "k", "th", "start")
+        .select("lead", "seg", "off", "many", "k", "th", "start", "hot")
     )
-    sorted_out = written(dealt.mapInArrow(_buckets, _BUCKETS))
+    sorted_out = written(dealt.mapInArrow(released(_buckets), _BUCKETS))
     across = (
         sorted_out.where("f1 is not null").groupBy("f1", "f2")
         # a window is open in a run once at most, so the list is no longer than the number of runs
@@ -326,7 +323,7 @@ def removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of each row."""
     meta, by_row = spans(docs, id_col, text_col)
     by_row = written(by_row)
-    digests = _cut(docs, by_row, id_col, text_col).mapInArrow(_digest, "k long, th long, runs long, n_kept long, kept_sha string").dropDuplicates(["k", "th"])
+    digests = _cut(docs, by_row, id_col, text_col).mapInArrow(released(_digest), "k long, th long, runs long, n_kept long, kept_sha string").dropDuplicates(["k", "th"])
     whole = F.col("copies").isNotNull()
     return meta.join(_copies(meta), ["th", "n_bytes"], "left").join(digests, ["k", "th"], "left").select(
         F.when(F.col("k") != -(1 << 63), F.col("k")).alias("doc_id"),
@@ -349,7 +346,7 @@ def strip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     marked = rows.join(copies, (F.col("th") == F.col("_th")) & (F.col("n") == F.col("_n")), "left")
     whole = F.array(F.struct(F.lit(0).cast("long").alias("start"), F.col("n").cast("long").alias("end")))
     placed = marked.join(by_row.hint("shuffle_hash"), ["k", "th"], "left").select("row", "th", "t", F.when(F.col("_n").isNotNull(), whole).otherwise(F.col("spans")).alias("spans"))
-    done = placed.mapInArrow(_texts, f"row {kind}, kept string")
+    done = placed.mapInArrow(released(_texts), f"row {kind}, kept string")
     return done.select(*[(F.coalesce("kept", f"row.`{c}`") if c == text_col else F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
 
 
