@@ -29,7 +29,11 @@ def exact(df: DataFrame, text: str = "cleaned_text", order: str = "seq", scope:
 
 def shingles(text: Column, k: int = SHINGLE) -> Column:
     """Distinct k-character pieces of the lower-cased, stripped text; none if it is shorter."""
-    t = F.lower(strip(text))
+    return pieces(F.lower(strip(text)), k)
+
+
+def pieces(t: Column, k: int = SHINGLE) -> Column:
+    """Distinct k-character pieces of a text as it is. Pass a column, not an expression: it is read for every piece."""
     starts = F.when(F.length(t) >= k, F.sequence(F.lit(1), F.length(t) - k + 1))
     return F.coalesce(F.array_distinct(F.transform(starts, lambda i: F.substring(t, i, F.lit(k)))), F.array().cast("array<string>"))
 
@@ -41,9 +45,12 @@ def jaccard_pairs(df: DataFrame, id_col: str = "id", text: str = "cleaned_text",
     Sets that are equal are compared once. Each set is indexed by its rarest shingles only: two sets as similar as that
     share one of the first |s| - ceil(t |s|) + 1 in a common order.
     """
-    sets = df.select(F.col(id_col).alias("id"), F.sort_array(shingles(F.col(text))).alias("s")).where(F.size("s") > 0)
-    by_set = written(sets.groupBy("s").agg(F.min("id").alias("id")).withColumn("size", F.size("s")))
-    members = sets.join(by_set.select("s", F.col("id").alias("rep")), "s").select("id", "rep")
+    rows = df.select(F.col(id_col).alias("id"), F.lower(strip(F.col(text))).alias("t"))
+    texts = written(rows.groupBy("t").agg(F.min("id").alias("first")).where(F.length("t") >= SHINGLE))  # equal texts have equal sets
+    sets = texts.select("t", "first", F.sort_array(pieces(F.col("t"))).alias("s"))
+    by_set = written(sets.groupBy("s").agg(F.min("first").alias("id")).withColumn("size", F.size("s")))
+    reps_of = sets.join(by_set.select("s", F.col("id").alias("rep")), "s").select("t", "rep")
+    members = rows.join(reps_of, "t").select("id", "rep")
     long = by_set.select("id", "size", F.explode("s").alias("g"))
     rare = long.groupBy("g").agg(F.count(F.lit(1)).alias("df"))
     place = F.row_number().over(Window.partitionBy("id").orderBy("df", "g"))
@@ -54,8 +61,8 @@ def jaccard_pairs(df: DataFrame, id_col: str = "id", text: str = "cleaned_text",
         left.join(right, "g").where("a < b").where((F.col("na") >= threshold * F.col("nb") - 1e-9) & (F.col("nb") >= threshold * F.col("na") - 1e-9))
         .select("a", "b").distinct()
     )
-    texts = by_set.select("id", "s")
-    both = candidates.join(texts.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").join(texts.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
+    whole = by_set.select("id", "s")
+    both = candidates.join(whole.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").join(whole.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
     shared = F.size(F.array_intersect("sa", "sb"))
     reps = both.withColumn("similarity", shared / (F.size("sa") + F.size("sb") - shared)).where(F.col("similarity") >= threshold).select("a", "b", "similarity")
     # members of a set are linked to its representative, so no group of copies becomes a clique
