@@ -8,8 +8,8 @@ to know of e the term tells. Terms with a share of at least DISCLOSURE, seen wit
 contexts (copies of a passage are one context), are spans of kind `term` in e's documents, and are generalised there.
 
 Defined results: a null text is an empty one and has no spans; repeated rows get a result each and count as
-documents each; rows with null doc_id are kept; an empty table gives an empty result; other columns are ignored by
-`find` and kept by `sanitise`.
+documents each; rows with null doc_id are kept; an empty table gives an empty result; other columns, whatever their
+names, are ignored by `find` and kept by `sanitise`.
 """
 
 from __future__ import annotations
@@ -173,11 +173,19 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tup
     near = written(contexts(found, base))
     told = disclosing(docs, near, base, text_col)
     terms = near.join(told, ["entity", "w"]).select("rid", F.lit(len(KINDS)).alias("ord"), F.lit("term").alias("kind"), "start", "end").distinct()
-    # a term inside a base span of another entity is protected already
-    covered = terms.alias("t").join(
-        base.alias("b"), (F.col("t.rid") == F.col("b.rid")) & (F.col("t.start") < F.col("b.end")) & (F.col("t.end") > F.col("b.start")), "left_anti"
-    )
-    return found, base.drop("value").unionByName(covered)
+    return found, outside_base(base.drop("value"), terms)
+
+
+def outside_base(base: DataFrame, terms: DataFrame) -> DataFrame:
+    """The base spans, and the terms that overlap none of them: what a base span covers is protected already.
+
+    In order of (start of a base span, end of a term), a term overlaps a base span if one before it ends beyond the
+    term's start; so one pass over a document's spans tells, however many there are.
+    """
+    is_base = F.col("ord") < len(KINDS)
+    before = Window.partitionBy("rid").orderBy(F.when(is_base, F.col("start")).otherwise(F.col("end")), is_base).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    reach = F.coalesce(F.max(F.when(is_base, F.col("end"))).over(before), F.lit(0))
+    return base.unionByName(terms).withColumn("reach", reach).where(is_base | (F.col("start") >= F.col("reach"))).drop("reach")
 
 
 def report(found: DataFrame, spans: DataFrame) -> DataFrame:
@@ -220,11 +228,10 @@ def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     # rows equal in id and text are changed alike, so these two identify a row well enough
     least = F.lit(-(1 << 63))
     changed = found.join(cut, "rid").select(F.coalesce(F.col("doc_id").cast("long"), least).alias("_k"), F.col("th").alias("_th"), clean.alias("_clean")).dropDuplicates(["_k", "_th"])
-    keyed = docs.withColumns({"_key": F.coalesce(F.col(id_col).cast("long"), least), "_h": F.xxhash64(text_or_empty(text_col))})
-    return (
-        keyed.join(changed.hint("shuffle_hash"), (F.col("_key") == F.col("_k")) & (F.col("_h") == F.col("_th")), "left")
-        .withColumn(text_col, F.coalesce("_clean", text_col))
-        .select(*docs.columns)
+    packed = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")  # names of the input can't clash with ours
+    keyed = docs.select(packed, F.coalesce(F.col(id_col).cast("long"), least).alias("key"), F.xxhash64(text_or_empty(text_col)).alias("h"))
+    return keyed.join(changed.hint("shuffle_hash"), (F.col("key") == F.col("_k")) & (F.col("h") == F.col("_th")), "left").select(
+        *[(F.coalesce("_clean", f"row.`{c}`") if c == text_col else F.col(f"row.`{c}`")).alias(c) for c in docs.columns]
     )
 
 

@@ -12,7 +12,8 @@ Everything sent to executors is bounded by these parameters; the corpus only pas
 
 Defined results: a null or empty text has no feature and gets the calibrated score of such texts; labels of rows that
 aren't in the corpus, null labels and null ids teach nothing; a document labelled twice counts as toxic if any label
-says so; without labels of both kinds every score is 0; repeated rows are scored each; other columns are ignored.
+says so; without labels of both kinds every score is 0; repeated rows are scored each; other columns are kept, but
+`score` replaces those named like its results.
 """
 
 from __future__ import annotations
@@ -269,14 +270,26 @@ def fit(docs: DataFrame, labels: DataFrame) -> Index:
     return build(features, vectors, (by_label.get(0, 0) / n0, by_label.get(1, 0) / n1))
 
 
-def score(docs: DataFrame, labels: DataFrame, corpus: DataFrame | None = None) -> DataFrame:
-    """`docs` with score, predicted and evidence. The examples' texts come from `corpus`, `docs` itself by default."""
+def _scored(docs: DataFrame, labels: DataFrame, corpus: DataFrame | None = None) -> DataFrame:
+    """row (the columns of `docs`), score, evidence."""
     spark = ready(docs.sparkSession)
     index = spark.sparkContext.broadcast(fit(corpus if corpus is not None else docs, labels))  # bounded by the parameters
     packed = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
     kind = docs.select(packed).schema["row"].dataType.simpleString()
-    scored = docs.select(packed, text_or_empty().alias("t")).mapInArrow(released(_scorer(index)), f"row {kind}, score double, evidence string")
-    return scored.select("row.*", "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"), "evidence")
+    return docs.select(packed, text_or_empty().alias("t")).mapInArrow(released(_scorer(index)), f"row {kind}, score double, evidence string")
+
+
+def score(docs: DataFrame, labels: DataFrame, corpus: DataFrame | None = None) -> DataFrame:
+    """`docs` with score, predicted and evidence in place of columns of these names. The examples' texts come from
+    `corpus`, `docs` itself by default."""
+    kept = [F.col(f"row.`{c}`").alias(c) for c in docs.columns if c.lower() not in ("score", "predicted", "evidence")]
+    return _scored(docs, labels, corpus).select(*kept, "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"), "evidence")
+
+
+def keep_clean(docs: DataFrame, labels: DataFrame, corpus: DataFrame | None = None) -> DataFrame:
+    """The rows of `docs` that aren't predicted toxic, with all their columns."""
+    clean = _scored(docs, labels, corpus).where(F.col("score") < THRESHOLD)
+    return clean.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

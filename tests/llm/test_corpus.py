@@ -19,7 +19,11 @@ EDGE = [(1, "plain words here", "en", "a", 3, "x", "y"), (1, "plain words here",
 
 
 def frame(spark, rows):
-    return spark.createDataFrame(rows, SCHEMA)
+    """Rows with further columns that are named like the operators' own."""
+    from pyspark.sql import functions as F
+
+    own = "_key _h _k _th _clean predicted evidence fp component_id id k th t kept spans rid length bucket rank host"
+    return spark.createDataFrame(rows, SCHEMA).withColumns({c: F.lit("own") for c in own.split()})
 
 
 @pytest.mark.parametrize("name", sorted(registry.oracle_sql()))
@@ -33,7 +37,7 @@ def test_query_equals_sql(spark, sf_dir, duck, name):
 OPERATORS = {
     "licenses": licenses.scan, "pii": lambda d: pii.report(*pii.find(d)), "packing": packing.pack, "quality": quality_rules.quality_rules,
     "simhash": simhash.near_duplicates, "bpe": bpe.round_trip, "suffix": suffix_dedup.removed,
-    "toxicity": lambda d: toxicity.score(d.drop("score"), d.sparkSession.createDataFrame([(1, 1), (2, 0), (None, None)], "doc_id long, toxic int")),
+    "toxicity": lambda d: toxicity.score(d, d.sparkSession.createDataFrame([(1, 1), (2, 0), (None, None)], "doc_id long, toxic int")),
 }
 
 
@@ -53,12 +57,34 @@ def test_stages_keep_columns(spark, fn):
     out = fn(df)
     assert out.columns == df.columns
     assert out.count() == (3 if fn is simhash.keep_one else 5)
+    assert {r._key for r in out.collect()} == {"own"} and {r.predicted for r in out.collect()} == {"own"}
     assert fn(frame(spark, [])).count() == 0
 
 
+def test_clean_documents_keep_their_columns(spark):
+    rows = [(i, "vile nasty words here" if i % 2 else "calm good words here", "en", "a", 3, "x", "y") for i in range(80)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(80)], "doc_id long, toxic int")
+    df = frame(spark, rows)
+    out = toxicity.keep_clean(df, labels)
+    assert out.columns == df.columns and sorted(r.doc_id for r in out.collect()) == list(range(0, 80, 2))
+    scored = toxicity.score(df, labels).collect()
+    assert all(r.predicted == r.doc_id % 2 and r.score != "x" for r in scored)
+
+
 # --- personal data
 
 
+def test_terms_outside_base_spans(spark):
+    rng = random.Random(8)
+    span = lambda: (a := rng.randrange(60), a + rng.randrange(1, 9))
+    base = [(rid, rng.randrange(4), "email", *span()) for rid in range(30) for _ in range(rng.randrange(4))]
+    terms = [(rid, 4, "term", *span()) for rid in range(30) for _ in range(8)]
+    kind = "rid long, ord int, kind string, start long, end long"
+    got = pii.outside_base(spark.createDataFrame(base, kind), spark.createDataFrame(terms, kind)).collect()
+    free = [t for t in terms if not any(b[0] == t[0] and b[3] < t[4] and b[4] > t[3] for b in base)]
+    assert 0 < len(free) < len(terms) and sorted(map(tuple, got)) == sorted(base + free)
+
+
 def _luhn(d):
     return sum(v if i % 2 == 0 else 2 * v - 9 * (v > 4) for i, v in enumerate(map(int, reversed(d)))) % 10 == 0
 
