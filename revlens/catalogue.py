@@ -11,10 +11,11 @@ from pyspark.sql.window import Window
 from revlens import fixture as fx
 from revlens.functions import clean, fake, language, sentiment
 from revlens.functions import lexicons as lx
-from revlens.functions.text import words
+from revlens.functions.text import nfkc, words
 from revlens.operators import dashboard, dedup, listing, report, trends
+from revlens.operators.store import dense_ids
 from revlens.plans.durable import ready, written
-from revlens.plans.pipeline import run_pipeline
+from revlens.plans.pipeline import Batch, response, run_pipeline
 from revlens.sources import ingest
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -252,13 +253,44 @@ _RATES = ("counts AS (SELECT feature, " + ", ".join(f"count(*) FILTER (bucket =
 _RATED = ", ".join(f"{b}_{s} / greatest({b}_total, 1) AS {b}_{s}_rate" for b in ("recent", "hist") for s in ("negative", "positive"))
 _on_both("trd5_rates", lambda r, f: trends.rates(r, f).select("feature", "recent_total", "hist_total", "volume_change", *[F.round(f"{b}_{s}_rate", 6).alias(f"{b}_{s}_rate") for b in ("recent", "hist") for s in ("negative", "positive")]),
          f", {_DYNAMIC}, {_RATES} SELECT feature, recent_total, hist_total, recent_total - hist_total AS volume_change, " + ", ".join(f"round({b}_{s} / greatest({b}_total, 1), 6) AS {b}_{s}_rate" for b in ("recent", "hist") for s in ("negative", "positive")) + " FROM counts")
-_on_both("trd8_alerts", lambda r, f: trends.alerts(trends.rates(r, f.where("(review_id + id) % 7 > 2 or sentiment = 'negative' or review_id % 3 = 0"), None, "2024-01-29", "2024-01-30"), "2024-01-29", "2024-01-30").select("feature", "severity", "alert_type", "assigned_team"),
-         ", tagged AS (SELECT id, CASE WHEN substr(review_date, 1, 10) BETWEEN '2024-01-29' AND '2024-01-30' THEN 'recent' WHEN substr(review_date, 1, 10) < '2024-01-29' THEN 'hist' END AS bucket FROM reviews), "
-         + _RATES.replace("WHERE bucket IS NOT NULL", "WHERE bucket IS NOT NULL AND ((review_id + fs.id) % 7 > 2 OR sentiment = 'negative' OR review_id % 3 = 0)")
-         + f", rated AS (SELECT *, {_RATED} FROM counts WHERE recent_total >= 3 OR hist_total >= 3), ruled AS (SELECT feature, CASE WHEN recent_negative_rate > 0.30 AND recent_negative_rate - hist_negative_rate > 0.15 THEN 'critical' "
-         "WHEN recent_negative_rate > 0.20 AND recent_negative_rate - hist_negative_rate > 0.10 THEN 'warning' WHEN recent_positive_rate > 0.40 AND recent_positive_rate - hist_positive_rate > 0.15 THEN 'success' END AS severity FROM rated) "
-         "SELECT feature, severity, CASE severity WHEN 'critical' THEN 'Defect Spike' WHEN 'warning' THEN 'Emerging Concern' ELSE 'Praise Trend' END AS alert_type, CASE feature WHEN 'delivery' THEN 'Logistics Team' WHEN 'price' THEN 'Management Team' "
-         "ELSE CASE WHEN feature IN ('battery', 'camera', 'display', 'software', 'audio') THEN 'Engineering Team' ELSE 'Customer Support' END END AS assigned_team FROM ruled WHERE severity IS NOT NULL")
+_SPIKE = ("2024-01-29", "2024-01-30")
+
+
+def _spiked(r: DataFrame, f: DataFrame) -> DataFrame:
+    """Rates of two days in which all battery and price mentions are negative and all camera ones positive."""
+    late = r.select(F.col("id").alias("_r"), (F.substring("review_date", 1, 10) >= _SPIKE[0]).alias("_late"))
+    worse = F.when(F.col("_late") & F.col("feature").isin("battery", "price"), "negative").when(F.col("_late") & (F.col("feature") == "camera"), "positive").otherwise(F.col("sentiment"))
+    return trends.rates(r, f.join(late, F.col("review_id") == F.col("_r")).withColumn("sentiment", worse), None, *_SPIKE)
+
+
+_RULED = (
+    f", tagged AS (SELECT id, substr(review_date, 1, 10) AS day, CASE WHEN substr(review_date, 1, 10) BETWEEN '{_SPIKE[0]}' AND '{_SPIKE[1]}' THEN 'recent' WHEN substr(review_date, 1, 10) < '{_SPIKE[0]}' THEN 'hist' END AS bucket FROM reviews), "
+    f"spiked AS (SELECT feature, review_id, CASE WHEN day >= '{_SPIKE[0]}' AND feature IN ('battery', 'price') THEN 'negative' WHEN day >= '{_SPIKE[0]}' AND feature = 'camera' THEN 'positive' ELSE sentiment END AS sentiment FROM fs JOIN tagged t ON t.id = review_id), "
+    + _RATES.replace("FROM fs JOIN", "FROM spiked JOIN")
+    + f", rated AS (SELECT *, {_RATED} FROM counts WHERE recent_total >= 3 OR hist_total >= 3), ruled AS (SELECT *, CASE WHEN recent_negative_rate > 0.30 AND recent_negative_rate - hist_negative_rate > 0.15 THEN 'critical' "
+    "WHEN recent_negative_rate > 0.20 AND recent_negative_rate - hist_negative_rate > 0.10 THEN 'warning' WHEN recent_positive_rate > 0.40 AND recent_positive_rate - hist_positive_rate > 0.15 THEN 'success' END AS severity FROM rated)"
+)
+_TEAM = "CASE WHEN feature = 'delivery' THEN 'Logistics Team' WHEN feature = 'price' THEN 'Management Team' WHEN feature IN ('battery', 'camera', 'display', 'software', 'audio') THEN 'Engineering Team' ELSE 'Customer Support' END"
+_on_both("trd8_alerts", lambda r, f: trends.alerts(_spiked(r, f), *_SPIKE).select("feature", "severity", "alert_type", "assigned_team"),
+         f"{_RULED} SELECT feature, severity, CASE severity WHEN 'critical' THEN 'Defect Spike' WHEN 'warning' THEN 'Emerging Concern' ELSE 'Praise Trend' END AS alert_type, {_TEAM} AS assigned_team FROM ruled WHERE severity IS NOT NULL")
+_PCT = "round_even({} * 100, 0)::INTEGER"
+_on_both("trd9_messages", lambda r, f: trends.alerts(_spiked(r, f), *_SPIKE).select("feature", "message"),
+         f"{_RULED} SELECT feature, CASE severity WHEN 'critical' THEN 'CRITICAL: ''' || feature || ''' negative ratio surged to ' || {_PCT.format('recent_negative_rate')} || '% (was ' || {_PCT.format('hist_negative_rate')} || '%) between {_SPIKE[0]} and {_SPIKE[1]}. ' "
+         f"|| recent_negative || ' complaints in ' || recent_total || ' mentions. Routing to ' || {_TEAM} || '.' WHEN 'warning' THEN 'WARNING: ''' || feature || ''' negativity rose to ' || {_PCT.format('recent_negative_rate')} || '% (was ' || {_PCT.format('hist_negative_rate')} || '% historic). Monitor ' || {_TEAM} || '.' "
+         f"ELSE 'EXCELLENT: Users are loving ''' || feature || '''! Positive ratio grew to ' || {_PCT.format('recent_positive_rate')} || '% (was ' || {_PCT.format('hist_positive_rate')} || '%) between {_SPIKE[0]} and {_SPIKE[1]}.' END AS message FROM ruled WHERE severity IS NOT NULL")
+_on_both("srt4_alert_order", lambda r, f: trends.alerts(_spiked(r, f), *_SPIKE).limit(2).select("feature", "severity"),
+         f"{_RULED} SELECT feature, severity FROM ruled WHERE severity IS NOT NULL ORDER BY CASE severity WHEN 'critical' THEN 0 WHEN 'warning' THEN 1 ELSE 2 END, feature LIMIT 2")
+_on_both("trd1_guard", lambda r, f: trends.rates(r, f, "Tablet").agg(F.count(F.lit(1)).alias("features")), "SELECT 0::BIGINT AS features")
+_on_reviews("trd4_index_split", trends.tag_by_index, "SELECT id, CASE WHEN row_number() OVER (ORDER BY review_date DESC, id DESC) <= greatest(5, (SELECT count(*) FROM reviews) // 5) THEN 'recent' ELSE 'hist' END AS bucket FROM reviews")
+_on_both("trd7_teams", lambda r, f: f.select("feature").distinct().select("feature", trends.team(F.col("feature")).alias("assigned_team")), f"SELECT DISTINCT feature, {_TEAM} AS assigned_team FROM fs")
+_on_reviews("trd11_preset", lambda r: listing.filter_dates(r, *trends.preset(7, "2024-01-30")).select("id", "review_date"), "SELECT id, review_date FROM reviews WHERE substr(review_date, 1, 10) BETWEEN '2024-01-23' AND '2024-01-30'")
+_on_both("agg11_bucket_features", lambda r, f: trends.rates(r, f, None, START, END).select("feature", *[f"{b}_{s}" for b in ("recent", "hist") for s in ("total", "negative", "positive")]), f", {_EXPLICIT}, {_RATES} SELECT * FROM counts")
+_on_both("agg12_trend_rates", lambda r, f: trends.trends(trends.rates(r, f)),
+         f", {_DYNAMIC}, {_RATES} SELECT feature, recent_total AS recent_mentions, hist_total AS hist_mentions, " + ", ".join(f"round_even({b}_{s} / greatest({b}_total, 1) * 100, 1) AS {b}_{s}_pct" for s in ("negative", "positive") for b in ("recent", "hist")) + ", recent_total - hist_total AS volume_change FROM counts")
+_SIDE = "(SELECT feature, count(*) AS total, count(*) FILTER (sentiment = 'negative') AS negative FROM fs JOIN tagged t ON t.id = review_id WHERE bucket = '{}' GROUP BY 1)"
+_on_both("join3_outer_buckets", lambda r, f: trends.rates(r, f, None, START, END).select("feature", "recent_total", "recent_negative", "hist_total", "hist_negative", "volume_change"),
+         f", {_EXPLICIT} SELECT feature, coalesce(a.total, 0) AS recent_total, coalesce(a.negative, 0) AS recent_negative, coalesce(b.total, 0) AS hist_total, coalesce(b.negative, 0) AS hist_negative, coalesce(a.total, 0) - coalesce(b.total, 0) AS volume_change "
+         f"FROM {_SIDE.format('recent')} a FULL JOIN {_SIDE.format('hist')} b USING (feature)")
 
 
 def _seeded(spark: SparkSession, d: str) -> DataFrame:
@@ -296,6 +328,71 @@ _on_reviews("ins1_insights", lambda r: dashboard.insights(r, START, END).select(
 _on_raw("review_pipeline", lambda r: run_pipeline(ingest.canonical(r.withColumn("seq", F.col("id")), "upload")).reviews.select("seq", "detected_language", "is_duplicate", "is_suspicious", "sentiment_label", "sentiment_score", F.size("features").alias("n_features")))
 
 
+# --- alerts, logs, further filters and orders
+
+
+def _on_alerts(name: str, query: Callable[[DataFrame], DataFrame], sql: str) -> None:
+    _add(name, lambda s, d: query(fx.alerts(ready(s), d)), f"WITH {fx.ALERTS_SQL} {sql}")
+
+
+_on_alerts("fil4_alerts", lambda a: listing.filter_alerts(a, "open", "Logistics Team").select("id", "severity"), "SELECT id, severity FROM alerts WHERE status = 'open' AND assigned_team = 'Logistics Team'")
+_on_alerts("agg20_alerts_by_severity", listing.alerts_by_severity, "SELECT severity, count(*) AS cnt, count(*) FILTER (status = 'open') AS open FROM alerts GROUP BY 1")
+_on_alerts("snk5_resolve", lambda a: listing.resolve(a, 7).select("id", "status"), "SELECT id, CASE WHEN id = 7 THEN 'resolved' ELSE status END AS status FROM alerts")
+_on_alerts("snk5_clear_open", lambda a: listing.without_open(a).select("id", "status"), "SELECT id, status FROM alerts WHERE status <> 'open'")
+_on_alerts("srt4_newest_alerts", lambda a: listing.newest_alerts(a).limit(25).select("id"), "SELECT id FROM alerts ORDER BY detected_at DESC, id DESC LIMIT 25")
+_on_raw("srt3_logs", lambda r: listing.newest_logs(r.select("id", F.col("ts").alias("created_at"), "source")).select("id", "source"), "SELECT id, source FROM raw ORDER BY ts DESC, id DESC LIMIT 20")
+_on_both("srt6_top_features", lambda r, f: dashboard.feature_summary(f).limit(5).select("feature", "mentions"), "SELECT feature, count(*) AS mentions FROM fs GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 5")
+_on_both("fil6_membership", lambda r, f: f.join(listing.filter_category(r, "Headphones").select(F.col("id").alias("review_id")), "review_id", "left_semi").select("id", "feature"),
+         "SELECT id, feature FROM fs WHERE review_id IN (SELECT id FROM reviews WHERE product_category = 'Headphones')")
+_on_reviews("dst2_explorer_categories", lambda r: dashboard.explorer_categories(r).select("product_category"), "SELECT DISTINCT product_category FROM reviews")
+_on_both("win4_top_and_extremes", lambda r, f: dashboard.top_features(r, f).join(dashboard.complaint_and_praise(r, f), "product_category").select("product_category", "feature", "rank", (F.col("feature") == F.col("top_complaint")).alias("is_complaint")),
+         f", {_FC} SELECT product_category, feature, rank, feature = top_complaint AS is_complaint FROM (SELECT *, (row_number() OVER (PARTITION BY product_category ORDER BY total DESC, feature))::INTEGER AS rank, "
+         "first_value(CASE WHEN negative > 0 THEN feature END) OVER (PARTITION BY product_category ORDER BY negative DESC, feature DESC) AS top_complaint FROM fc) WHERE rank <= 5")
+_on_raw("set3_shingle_overlap", lambda r: (lambda s: s.join(s.select((F.col("id") - 1).alias("id"), F.col("s").alias("o")), "id").select("id", F.size(F.array_intersect("s", "o")).cast("long").alias("common"), F.size(F.array_union("s", "o")).cast("long").alias("whole")))(
+            r.select("id", F.lower("original_text").alias("t")).select("id", dedup.pieces(F.col("t")).alias("s"))),
+        f", s AS (SELECT id, {_SHINGLES} AS s FROM (SELECT id, lower(original_text) AS t FROM raw)) SELECT a.id, len(list_intersect(a.s, b.s)) AS common, len(a.s) + len(b.s) - len(list_intersect(a.s, b.s)) AS whole FROM s a JOIN s b ON b.id = a.id + 1")
+_on_raw("join6_batch_look_back", lambda r: _batch(r).select("id", "fake_score", F.size("fake_flags").cast("long").alias("n_flags")))
+
+# --- further text and language rules
+_add("txt1_nfkc", lambda s, d: _docs(s, d).select("doc_id", F.md5(nfkc(F.concat(F.lit("ﬁne ① "), F.col("text")))).alias("h")))
+_on_raw("txt5_emoji", lambda r: r.select("id", F.concat("original_text", F.lit(" 😊🔥 ok 👍")).alias("t")).select("id", clean.purge_emoji(F.col("t")).alias("t"), F.array_join(F.transform(clean.extract_emoji(F.col("t")), lambda e: e["emoji"]), "").alias("emoji")),
+        r"SELECT id, regexp_replace(original_text || ' 😊🔥 ok 👍', '[\x{10000}-\x{10FFFF}]+', ' ', 'g') AS t, '😊🔥👍' AS emoji FROM raw")
+_add("txt10_quotes", lambda s, d: _docs(s, d).select("doc_id", F.md5(clean.plain_quotes(F.concat(F.lit("‘a’ “b” –—"), F.col("text")))).alias("h")), "SELECT doc_id, md5(translate('‘a’ “b” –—' || text, '‘’“”–—', '''''\"\"--')) AS h FROM documents")
+_GAP = r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+_add("txt11_space", lambda s, d: _docs(s, d).select("doc_id", F.md5(clean.collapse_space(F.col("text"))).alias("h")), f"SELECT doc_id, md5(regexp_replace(regexp_replace(text, '{_GAP}+', ' ', 'g'), '^ | $', '', 'g')) AS h FROM documents")
+
+
+def _marked(markers) -> str:
+    return f"list_has_any(list_filter(regexp_split_to_array(d, '{_GAP}+'), lambda x: x <> ''), ['" + "', '".join(markers) + "'])"
+
+
+_add("lng1_detect", lambda s, d: language.detect(_docs(s, d), "text").select("doc_id", "detected_language", "language_confidence"),
+     f"SELECT doc_id, c AS detected_language, CASE WHEN c = 'unknown' THEN 0.0 WHEN c IN ('hinglish', 'kanglish') THEN 0.8 WHEN c = 'en' THEN 0.5 ELSE 0.7 END::DOUBLE AS language_confidence FROM (SELECT doc_id, CASE WHEN regexp_full_match(text, '{_GAP}*') THEN 'unknown' "
+     f"WHEN length(d) < 3 THEN 'en' WHEN {_marked(lx.HINGLISH)} THEN 'hinglish' WHEN {_marked(lx.KANGLISH)} THEN 'kanglish' "
+     r"WHEN regexp_matches(d, '[\x{0900}-\x{097F}]') THEN 'hi' WHEN regexp_matches(d, '[\x{4E00}-\x{9FFF}]') THEN 'zh' ELSE 'en' END AS c FROM (SELECT doc_id, text, "
+     rf"lower(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, 'https?://\S+', '', 'g'), '[0-9]+', '', 'g'), '\[.*?\]', '', 'g'), '^{_GAP}+|{_GAP}+$', '', 'g')) AS d FROM documents))")
+_HINGLISH_ID = "list_has_any(string_split(lower(original_text), ' '), ['" + "', '".join(lx.HINGLISH) + "'])"
+_on_raw("lng4_detector", lambda r: language.detect(r, "original_text", lambda c: F.struct(F.lit("fr").alias("code"), F.lit(0.9).alias("confidence"))).select("id", "detected_language", "language_confidence"),
+        f"SELECT id, CASE WHEN {_HINGLISH_ID} THEN 'hinglish' ELSE 'fr' END AS detected_language, CASE WHEN {_HINGLISH_ID} THEN 0.8::DOUBLE ELSE 0.9::DOUBLE END AS language_confidence FROM raw")
+_on_raw("lng5_translate", lambda r: language.translate(language.detect(r, "original_text"), "original_text", lambda t, code: F.concat(code, F.lit(": "), t)).select("id", "translated_text"),
+        f"SELECT id, CASE WHEN {_HINGLISH_ID} THEN 'hinglish: ' || original_text END AS translated_text FROM raw")
+_on_raw("sen1_token_features", lambda r: sentiment.token_features(r.select(F.explode(words(F.lower("original_text"))).alias("token"))))
+_on_raw("dup5_representatives", lambda r: dedup.clusters(r, "id", "original_text", 0.85, "tfidf").where("is_representative").select("id", "cluster", "review_count"))
+_on_raw("agg17_cluster_similarity", lambda r: dedup.clusters(r, "id", "original_text", 0.85, "tfidf").select("cluster", "review_count", "similarity_score").distinct())
+_on_raw("dup8_no_vocabulary", lambda r: dedup.clusters(r.withColumn("original_text", F.lit("the of and")), "id", "original_text", 0.85, "tfidf").agg(F.count(F.lit(1)).alias("clusters")), "SELECT 0::BIGINT AS clusters")
+
+# --- further sources and sinks
+_on_reviews("src10_scan", lambda r: r.drop("created_at"), "SELECT * EXCLUDE (created_at) FROM reviews")
+_on_raw("src6_api_feed", lambda r: ingest.from_frame(r.select(F.col("original_text").alias("review"), F.col("rating").alias("stars"), F.col("product_category").alias("product"), "id")).select("original_text", "rating", "product_category", "original_review_id", "source"),
+        "SELECT original_text, rating, product_category, id::VARCHAR AS original_review_id, 'api_feed' AS source FROM raw")
+_on_raw("snk1_dense_ids", lambda r: dense_ids(r.select(F.col("id").alias("seq")), "seq", 100).select("seq", "id"), "SELECT id AS seq, row_number() OVER (ORDER BY id) + 100 AS id FROM raw")
+_on_both("snk2_feature_rows", lambda r, f: listing.attach_features(r, f).select(F.col("id").alias("review_id"), F.explode("features").alias("x")).select("review_id", "x.id", "x.feature", "x.sentiment", "x.confidence"), "SELECT review_id, id, feature, sentiment, confidence FROM fs")
+_on_reviews("snk4_log_rows", lambda r: dashboard.batch_counters(r).join(dashboard.language_counts(r), "ingestion_id").select("ingestion_id", "total_count", "valid_count", F.size("language_distribution").cast("long").alias("languages")),
+            "SELECT ingestion_id, count(*) AS total_count, count(*) FILTER (is_suspicious = 0) AS valid_count, count(DISTINCT detected_language) AS languages FROM reviews GROUP BY 1")
+_add("snk8_response", lambda s, d: response(Batch(_docs(s, d).select("doc_id", F.col("text").alias("original_text"), F.lower("text").alias("cleaned_text"), F.lit(None).cast("string").alias("translated_text")), None, None, None)).select("doc_id", F.md5("original_text").alias("o"), F.length("cleaned_text").cast("long").alias("c"), "translated_text"),
+     "SELECT doc_id, md5(substr(text, 1, 200)) AS o, length(substr(lower(text), 1, 200)) AS c, NULL::VARCHAR AS translated_text FROM documents")
+
+
 def flagship(spark: SparkSession, d: str) -> DataFrame:
     """Category comparison over reviews scored from their texts."""
     raw = fx.raw(ready(spark), d)

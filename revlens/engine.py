@@ -74,7 +74,7 @@ class ReviewEngine:
         return listing.attach_members(listing.largest_clusters(self._table("clusters"), limit), self._table("reviews"))
 
     def logs(self, limit: int = 20) -> DataFrame:
-        return self._table("ingestion_logs").orderBy(F.desc("created_at"), F.desc("id")).limit(max(1, min(limit, 100)))
+        return listing.newest_logs(self._table("ingestion_logs"), limit)
 
     def feature_summary(self) -> DataFrame:
         return dashboard.feature_summary(self._table("feature_sentiments"))
@@ -96,16 +96,16 @@ class ReviewEngine:
     # --- alerts
 
     def alerts(self, status: str | None = None, team: str | None = None) -> DataFrame:
-        return listing.filter_alerts(self._table("alerts"), status, team).orderBy(F.desc("detected_at"), F.desc("id"))
+        return listing.newest_alerts(listing.filter_alerts(self._table("alerts"), status, team))
 
     def persist_alerts(self, found: DataFrame) -> None:
         """Open alerts of all categories give way to the new ones."""
-        kept = self._table("alerts").where("status <> 'open'")
+        kept = listing.without_open(self._table("alerts"))
         new = dense_ids(found, "feature", self.store.next_id("alerts") - 1).withColumns({"status": F.lit("open"), "detected_at": F.current_timestamp()})
         self.store.rewrite("alerts", kept.unionByName(new.select(*kept.columns)))
 
     def resolve_alert(self, alert_id: int) -> None:
-        self.store.rewrite("alerts", self._table("alerts").withColumn("status", F.when(F.col("id") == alert_id, "resolved").otherwise(F.col("status"))))
+        self.store.rewrite("alerts", listing.resolve(self._table("alerts"), alert_id))
 
     # --- export and single texts
 

@@ -19,6 +19,9 @@ LANGUAGE = ("en", "hi", "hinglish", "unknown")
 LABEL = ("very_positive", "positive", "neutral", "mixed", "negative", "very_negative")
 FEATURE = "battery camera display performance build_quality price software storage audio customer_support delivery".split()
 SENTIMENT = ("positive", "negative", "mixed", "neutral")
+SEVERITY = ("critical", "warning", "success")
+TEAM = ("Engineering Team", "Logistics Team", "Management Team", "Customer Support")
+STATUS = ("open", "resolved")
 DEFECT_FROM = "2024-01-23"
 
 
@@ -71,6 +74,15 @@ def clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reviews(spark, sf_dir).where("cluster_id is not null").groupBy(F.col("cluster_id").alias("id")).agg(F.count(F.lit(1)).alias("review_count"), F.min("id").alias("first_id"))
 
 
+def alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One alert for each event."""
+    rows = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("event_id").alias("id"), F.col("ts").alias("detected_at"))
+    return rows.select(
+        "id", _at(FEATURE, "id % 11").alias("feature"), _at(SEVERITY, "id % 3").alias("severity"), _at(TEAM, "id % 4").alias("assigned_team"),
+        _at(STATUS, "(id div 5) % 2").alias("status"), "detected_at",
+    )
+
+
 def _sql(values) -> str:
     return "[" + ", ".join("'" + v.replace("'", "''") + "'" for v in values) + "]"
 
@@ -91,3 +103,6 @@ FEATURES_SQL = f"""fs AS (
   SELECT r * 4 + k AS id, r AS review_id, ({_sql(FEATURE)})[(r + 3 * k) % 11 + 1] AS feature, ({_sql(SENTIMENT)})[((r // 3) + k) % 4 + 1] AS sentiment,
     (50 + (r + k) % 5 * 10) / 100.0::DOUBLE AS confidence, 'e' || r AS evidence
   FROM (SELECT event_id AS r, unnest(range(0, event_id % 4)) AS k FROM events))"""
+ALERTS_SQL = f"""alerts AS (
+  SELECT event_id AS id, ({_sql(FEATURE)})[event_id % 11 + 1] AS feature, ({_sql(SEVERITY)})[event_id % 3 + 1] AS severity, ({_sql(TEAM)})[event_id % 4 + 1] AS assigned_team,
+    ({_sql(STATUS)})[(event_id // 5) % 2 + 1] AS status, ts AS detected_at FROM events)"""

@@ -65,6 +65,27 @@ def filter_alerts(df: DataFrame, status: str | None = None, team: str | None = N
     return df
 
 
+def newest_alerts(df: DataFrame) -> DataFrame:
+    return df.orderBy(F.desc("detected_at"), F.desc("id"))
+
+
+def resolve(df: DataFrame, alert_id: int) -> DataFrame:
+    return df.withColumn("status", F.when(F.col("id") == alert_id, "resolved").otherwise(F.col("status")))
+
+
+def without_open(df: DataFrame) -> DataFrame:
+    """What stays when all open alerts are cleared."""
+    return df.where("status <> 'open'")
+
+
+def alerts_by_severity(df: DataFrame) -> DataFrame:
+    return df.groupBy("severity").agg(F.count(F.lit(1)).alias("cnt"), F.count_if(F.col("status") == "open").alias("open"))
+
+
+def newest_logs(df: DataFrame, limit: int = 20) -> DataFrame:
+    return df.orderBy(F.desc("created_at"), F.desc("id")).limit(max(1, min(limit, 100)))
+
+
 def explore(df: DataFrame, status: str = "all", feature: str | None = None, feature_sentiment: str | None = None, category: str | None = None, query: str = "") -> DataFrame:
     """The explorer's predicate on reviews with `features` attached. status: all, clean, suspicious, duplicate, ambiguous or a sentiment."""
     by_status = {"suspicious": "is_suspicious = 1", "duplicate": "is_duplicate = 1", "ambiguous": "is_ambiguous = 1", "clean": "is_suspicious = 0 and is_duplicate = 0"}

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from datetime import date, timedelta
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from revlens.operators.listing import day_prefix, filter_category, order_alerts
+from revlens.operators.store import dense_ids
 
 LOOKBACKS = (7, 14, 21, 28, 35)
 #: Recent reviews that make a window wide enough, and reviews below which there is no trend at all.
@@ -35,6 +38,19 @@ def tag(reviews: DataFrame, category: str | None = None, start: str | None = Non
     return days.crossJoin(F.broadcast(chosen)).select("id", F.when(recent, "recent").otherwise("hist").alias("bucket"))
 
 
+def tag_by_index(reviews: DataFrame) -> DataFrame:
+    """id, bucket: without any dates, the newest fifth of the reviews (5 at least) is recent."""
+    rows = reviews.select(F.col("id").alias("of"), F.struct("review_date", "id").alias("o"))
+    n = rows.count()
+    return dense_ids(rows, "o").select(F.col("of").alias("id"), F.when(F.col("id") > n - max(5, n // 5), "recent").otherwise("hist").alias("bucket"))
+
+
+def preset(days: int | None, today: str) -> tuple[str | None, str]:
+    """First and last day of the newest `days` days; without `days` the first is open, so the window is dynamic."""
+    last = date.fromisoformat(today)
+    return (last - timedelta(days=days)).isoformat() if days else None, today
+
+
 def team(feature: Column) -> Column:
     out = F.when(F.lit(False), F.lit(""))
     for name, parts in TEAMS:
