@@ -293,17 +293,21 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*batch.columns[:3], sizes, hashes], ["k", "th", "runs", "n_kept", "kept_sha"])
 
 
-def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """row, and what is kept of the text where there are spans."""
-    for batch in batches:
-        kept = [None] * batch.num_rows
-        some = np.flatnonzero(np.asarray(batch.column("spans").is_valid()))
-        if len(some):
-            part = pa.RecordBatch.from_arrays([pa.array(some), *(batch.column(c).take(pa.array(some)) for c in ("th", "t", "spans"))], ["k", "th", "t", "spans"])
-            for cut in _cut_out([part]):
-                for i, x in zip(cut.column("k").to_pylist(), cut.column("kept").to_pylist(), strict=True):
-                    kept[i] = x.decode("utf-8", "ignore")  # a run may end inside a character, of which the rest goes too
-        yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(kept, pa.string())], ["row", "kept"])
+def _texts(text_at: int):
+    def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """row, and what is kept of its text (the row's column `text_at`) where there are spans."""
+        for batch in batches:
+            kept = [None] * batch.num_rows
+            some = pa.array(np.flatnonzero(np.asarray(batch.column("spans").is_valid())))
+            if len(some):
+                t = batch.column("row").field(text_at).take(some)
+                part = pa.RecordBatch.from_arrays([some, batch.column("th").take(some), t, batch.column("spans").take(some)], ["k", "th", "t", "spans"])
+                for cut in _cut_out([part]):
+                    for i, x in zip(cut.column("k").to_pylist(), cut.column("kept").to_pylist(), strict=True):
+                        kept[i] = x.decode("utf-8", "ignore")  # a run may end inside a character, of which the rest goes too
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(kept, pa.string())], ["row", "kept"])
+
+    return texts
 
 
 def _cut(docs: DataFrame, by_row: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -335,18 +339,24 @@ def removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 
 def strip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """`docs` with the repeated strings removed from `text`; all rows and columns stay."""
+    """`docs` with the repeated strings removed from `text`; all rows and columns stay.
+
+    Only rows that lose something are exchanged, once and with one copy of their text; the others pass by.
+    """
     meta, by_row = spans(docs, id_col, text_col)
-    by_row = written(by_row)
-    copies = _copies(meta).select(F.col("th").alias("_th"), F.col("n_bytes").alias("_n"))
+    copies = meta.join(_copies(meta), ["th", "n_bytes"]).select("k", "th", F.col("n_bytes").alias("all")).distinct()
+    whole = F.array(F.struct(F.lit(0).cast("long").alias("start"), F.col("all").alias("end")))
+    covered = written(by_row.join(copies, ["k", "th"], "full").select("k", "th", F.when(F.col("all").isNotNull(), whole).otherwise(F.col("spans")).alias("spans")))
+    bits = bitmap.size(covered.count())
+    words = bitmap.column(bitmap.collect(covered.select(F.xxhash64("k", "th").alias("key")), bits), docs.sparkSession)
     packed = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
     kind = docs.select(packed).schema["row"].dataType.simpleString()
     key = F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("k")
-    rows = docs.select(packed, key, text_or_empty(text_col).alias("t")).select("row", "k", F.xxhash64("t").alias("th"), F.octet_length("t").alias("n"), "t")
-    marked = rows.join(copies, (F.col("th") == F.col("_th")) & (F.col("n") == F.col("_n")), "left")
-    whole = F.array(F.struct(F.lit(0).cast("long").alias("start"), F.col("n").cast("long").alias("end")))
-    placed = marked.join(by_row.hint("shuffle_hash"), ["k", "th"], "left").select("row", "th", "t", F.when(F.col("_n").isNotNull(), whole).otherwise(F.col("spans")).alias("spans"))
-    done = placed.mapInArrow(released(_texts), f"row {kind}, kept string")
+    keyed = docs.select(packed, key, F.xxhash64(text_or_empty(text_col)).alias("th")).crossJoin(F.broadcast(words))  # one row of 16 MB at most
+    listed = bitmap.test(F.xxhash64("k", "th"), bits)
+    placed = keyed.where(listed).select("row", "k", "th").join(covered.hint("shuffle_hash"), ["k", "th"], "left").select("row", "th", "spans")
+    cut = placed.mapInArrow(released(_texts(docs.columns.index(text_col))), f"row {kind}, kept string")
+    done = cut.union(keyed.where(~listed).select("row", F.lit(None).cast("string").alias("kept")))
     return done.select(*[(F.coalesce("kept", f"row.`{c}`") if c == text_col else F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
 
 

@@ -246,6 +246,18 @@ def test_removed_equals_brute_force(spark):
     assert [got[i] for i in range(len(texts))] == brute_removed(texts)
 
 
+def test_stripped_texts_equal_brute_force(spark):
+    texts = mosaic(60)
+    df = spark.createDataFrame([(i if i % 9 else None, t, i) for i, t in enumerate(texts)], "doc_id long, text string, place long").repartition(4)
+    got = {r.place: r.text for r in suffix_dedup.strip(df).collect()}
+    assert len(got) == len(texts)
+    for i, ((_, n_removed, _, kept), t) in enumerate(zip(brute_removed(texts), texts, strict=True)):
+        if n_removed == 0:
+            assert got[i] == t
+        elif "é" not in t:
+            assert hashlib.sha256(got[i].encode()).hexdigest() == kept
+
+
 def test_a_hot_group_cut_by_runs_and_buckets(monkeypatch):
     """Spans of one bucket equal local spans plus the comparison across boundaries when the group is cut."""
     rng = random.Random(4)
