@@ -12,7 +12,7 @@ bucket of its own, so no task meets an unbounded bucket and no pair is lost.
 Defined results: null and empty texts have fingerprint zero, which links like any other; documents of equal
 fingerprints (copies) are one node; repeated rows each get their row; a null doc_id is never a component's id unless
 all of the component's are null; an empty table gives an empty result; other columns are ignored by `near_duplicates`
-and kept by `keep_one`.
+and kept by `keep_one`, which finds its pairs by shingle_join.
 """
 
 from __future__ import annotations
@@ -26,6 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from revlens.llm import shingle_join
 from revlens.llm.common import ready, released, table, text_or_empty, written
 from revlens.operators.components import components
 
@@ -194,10 +195,10 @@ def links(distinct: DataFrame, tile: int = TILE) -> DataFrame:
     )
 
 
-def grouped(rows: DataFrame) -> DataFrame:
-    """id, fp, component_id of written rows (id, fp): components of the links, named by their least id."""
+def grouped(rows: DataFrame, found: DataFrame | None = None) -> DataFrame:
+    """id, fp, component_id of written rows (id, fp): components of the links `found` (else those of op7), named by their least id."""
     nodes = rows.groupBy("fp").agg(F.min("id").alias("least"))
-    roots = components(links(nodes.select("fp")))
+    roots = components(links(nodes.select("fp")) if found is None else found)
     placed = nodes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     ids = placed.groupBy("root").agg(F.min("least").alias("component_id")).select(F.col("root").alias("r"), "component_id")
     by_fp = placed.join(ids, F.col("root") == F.col("r")).select(F.col("fp").alias("f"), "component_id")
@@ -209,23 +210,34 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return grouped(written(fingerprints(docs, id_col, text_col))).withColumnRenamed("id", "doc_id")
 
 
-def _marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        values = np.array([fingerprint(t.as_py()) for t in batch.column("t")], np.uint64).view(np.int64)
-        yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(values, pa.int64())], ["row", "fp"])
+def _marked(length: int):
+    def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            values = np.array([shingle_join.signature(shingle_join.shingles(t.as_py(), length)) for t in batch.column("t")], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(values, pa.int64())], ["row", "fp"])
+
+    return marked
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Of each component one row stays: that of least id, rows without ids after all others; of repeats of it any one."""
+def keep_one(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = shingle_join.SHINGLE, similarity: float = shingle_join.SIMILARITY
+) -> DataFrame:
+    """Of each component one row stays: that of least id, rows without ids after all others; of repeats of it any one.
+
+    Components are those of all pairs whose sets of `shingle` words have a Jaccard similarity of `similarity` or more;
+    op7's fingerprints and radius aren't used.
+    """
     ready(docs.sparkSession)
+    common = shingle_join.common_shingles(docs, text_col, shingle)
     packed = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
     kind = docs.select(packed).schema["row"].dataType.simpleString()
-    with_fp = docs.select(packed, text_or_empty(text_col).alias("t")).mapInArrow(released(_marked), f"row {kind}, fp long")
+    with_fp = docs.select(packed, text_or_empty(text_col).alias("t")).mapInArrow(released(_marked(shingle)), f"row {kind}, fp long")
     rows = written(with_fp.select("row", "fp", F.monotonically_increasing_id().alias("id")))
     light = rows.select("id", "fp")
+    found = shingle_join.links(rows.select("id", "fp", text_or_empty(f"row.`{text_col}`").alias("t")), common, shingle, similarity)
     order = F.struct(F.col("_id").isNull(), F.col("_id"), F.col("of"))
     ids = rows.select(F.col("id").alias("of"), F.col(f"row.`{id_col}`").alias("_id"))
-    best = grouped(light).join(ids, F.col("id") == F.col("of")).groupBy("component_id").agg(F.min_by("of", order).alias("keep"))
+    best = grouped(light, found).join(ids, F.col("id") == F.col("of")).groupBy("component_id").agg(F.min_by("of", order).alias("keep"))
     return rows.join(best, F.col("id") == F.col("keep"), "left_semi").select("row.*")
 
 

@@ -200,6 +200,40 @@ def test_links_give_the_components_of_all_pairs(spark):
         assert {frozenset(x) for x in got.values()} == {frozenset(x) for x in want.values() if len(x) > 1}
 
 
+def test_kept_documents_equal_brute_force(spark):
+    """Edited copies go, whatever their fingerprints' distance; the shared frame makes shingles that many texts have."""
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(4))
+    frame_ = " ".join(word() for _ in range(25))
+    texts = [None, "", " ", "one two", "one two", "One  TWO", "one two three"]
+    for _ in range(60):
+        ws = [word() for _ in range(rng.choice([4, 6, 9, 40, 150]))]
+        texts.append(" ".join(ws) + " " + frame_)
+        for _ in range(rng.randrange(3)):
+            edited = list(ws)
+            for _ in range(rng.randrange(1, 5)):
+                edited[rng.randrange(len(ws))] = word()
+            texts.append(" ".join(edited) + " " + frame_)
+
+    def grams(t):
+        ws = (t or "").lower().split()
+        return {tuple(ws[i : i + 5]) for i in range(max(1, len(ws) - 4))} if ws else set()
+
+    sets = [grams(t) for t in texts]
+    group = list(range(len(texts)))
+    far = 0
+    for j in range(len(texts)):
+        for i in range(j):
+            union = sets[i] | sets[j]
+            if not union or len(sets[i] & sets[j]) >= 0.8 * len(union):
+                far += (simhash.fingerprint(texts[i] or "") ^ simhash.fingerprint(texts[j] or "")).bit_count() > simhash.RADIUS
+                a, b = sorted((group[i], group[j]))
+                group = [a if g == b else g for g in group]
+    assert far > 5
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    assert sorted(r.doc_id for r in simhash.keep_one(df).collect()) == sorted(set(group))
+
+
 def test_bit_sliced_distances():
     a = np.random.default_rng(2).integers(0, 2**63, 200, dtype=np.uint64)
     planes = simhash.bit_planes(a)
