@@ -30,7 +30,7 @@ PATTERNS = (
     ("phone", r"\+[0-9][\x20().0-9-]+[0-9]", "+"),
 )
 KINDS = tuple(k for k, _, _ in PATTERNS)
-#: Code points on either side of an entity in which terms count as co-occurring.
+#: Code points on either side of an entity that tell its contexts apart.
 CONTEXT = 64
 #: Least share of an entity's information that a disclosing term tells.
 DISCLOSURE = 0.8
@@ -118,33 +118,81 @@ def _terms(side: Column, first: Column, whole_left: Column, whole_right: Column)
     return F.aggregate(zipped, F.struct(F.lit(0).cast("long").alias("at"), none.alias("out")), add, lambda a: a["out"])
 
 
-def contexts(found: DataFrame, spans: DataFrame) -> DataFrame:
-    """rid, entity, ctx (hash of the surrounding text), w, start, end: the terms near each base span."""
+def surroundings(found: DataFrame, spans: DataFrame) -> DataFrame:
+    """rid, entity, ctx (hash of the surrounding text), l, r, lf, end, at_end: the text near each base span."""
     t, n = F.col("t"), F.length("t")
     left_from = F.greatest(F.lit(0).cast("long"), F.col("start") - CONTEXT - 1)
     left = F.substring(t, (left_from + 1).cast("int"), (F.col("start") - left_from).cast("int"))
     right = F.substring(t, (F.col("end") + 1).cast("int"), F.lit(CONTEXT + 1))
     near = spans.join(found.select("rid", "t").where("t is not null"), "rid").select(
-        "rid", F.concat_ws(":", "kind", "value").alias("entity"), left.alias("l"), right.alias("r"), left_from.alias("lf"), "start", "end",
+        "rid", F.concat_ws(":", "kind", "value").alias("entity"), left.alias("l"), right.alias("r"), left_from.alias("lf"), "end",
         (F.col("end") + CONTEXT + 1 >= n).alias("at_end"),
     )
+    return near.withColumn("ctx", F.xxhash64("l", "r"))
+
+
+def contexts(near: DataFrame) -> DataFrame:
+    """rid, entity, ctx, w: the terms of the surroundings."""
     terms = F.concat(
         _terms(F.col("l"), F.col("lf"), F.col("lf") == 0, F.lit(False)),
         _terms(F.col("r"), F.col("end"), F.lit(False), F.col("at_end")),
     )
-    return near.select("rid", "entity", F.xxhash64("l", "r").alias("ctx"), F.explode(terms).alias("x")).select("rid", "entity", "ctx", "x.*")
+    return near.select("rid", "entity", "ctx", F.explode(terms).alias("x")).select("rid", "entity", "ctx", "x.w")
 
 
-def disclosing(docs: DataFrame, near: DataFrame, spans: DataFrame, text_col: str = "text") -> DataFrame:
+def _cuts(spans: DataFrame) -> DataFrame:
+    """rid, xs: the spans in order; of what begins inside an earlier one the rest, and `reach`, the earlier one's end."""
+    before = Window.partitionBy("rid").orderBy("start", F.desc("end"), "ord").rowsBetween(Window.unboundedPreceding, -1)
+    return (
+        spans.withColumn("reach", F.coalesce(F.max("end").over(before), F.lit(0)))
+        .where(F.col("end") > F.col("reach"))
+        .select("rid", F.struct(F.greatest("start", "reach").alias("start"), "end", "reach", F.concat(F.lit("["), F.upper("kind"), F.lit("]")).alias("as")).alias("x"))
+        .groupBy("rid")
+        .agg(F.sort_array(F.collect_list("x")).alias("xs"))
+    )
+
+
+def _replaced(t: Column, xs: Column, by) -> Column:
+    """The text with each cut replaced by `by(cut)`."""
+    pieces = F.transform(xs, lambda x: F.concat(F.substring(t, (x["reach"] + 1).cast("int"), (x["start"] - x["reach"]).cast("int")), by(x)))
+    return F.concat(F.array_join(pieces, ""), F.substring(t, (F.element_at(xs, -1)["end"] + 1).cast("int"), F.length(t)))
+
+
+def together(found: DataFrame, near: DataFrame, spans: DataFrame, entities: DataFrame) -> DataFrame:
+    """entity, w, support, c: the terms of an entity's documents outside base spans; only entities of several documents."""
+    several = entities.where(F.col("df_e") > 1).select("entity")
+    held = near.join(several, "entity").groupBy("rid", "entity").agg(F.min("ctx").alias("ctx"))
+    held = written(held)
+    rest = (
+        found.select("rid", "t").where("t is not null").join(held.select("rid").distinct(), "rid", "left_semi").join(_cuts(spans), "rid")
+        .select("rid", F.regexp_extract_all(_replaced(F.col("t"), F.col("xs"), lambda x: F.lit("\n")), F.lit(_TERM), F.lit(0)).alias("ws"))
+    )
+    ws = F.col("ws")
+    # terms beside a term tell copies of its passage apart from other passages
+    beside = F.transform(ws, lambda w, i: F.struct(F.lower(w).alias("w"), F.xxhash64(F.get(ws, i - 1), F.get(ws, i + 1)).alias("beside")))
+    words = rest.select("rid", F.explode(F.filter(beside, lambda x: F.length(x["w"]) >= TERM_LETTERS)).alias("x")).select("rid", "x.*")
+    once = words.groupBy("rid", "w").agg(F.min("beside").alias("beside"))
+    both = once.join(held, "rid").groupBy("entity", "w", F.xxhash64("ctx", "beside").alias("h")).agg(F.count(F.lit(1)).alias("n"))
+    return both.groupBy("entity", "w").agg(F.count(F.lit(1)).alias("support"), F.sum("n").alias("c"))
+
+
+def disclosing(docs: DataFrame, found: DataFrame, near: DataFrame, spans: DataFrame, text_col: str = "text") -> DataFrame:
     """entity, w, share: the terms that tell at least DISCLOSURE of an entity, over the corpus `docs`."""
-    pairs = (
-        near.select("entity", "w", "ctx", "rid").distinct()
+    entities = spans.select(F.concat_ws(":", "kind", "value").alias("entity"), "rid").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("df_e"))
+    entities = written(entities)
+    beside = (
+        contexts(near).distinct()
         .groupBy("entity", "w")
         .agg(F.count_distinct("ctx").alias("support"), F.count_distinct("rid").alias("c"))
         .where(F.col("support") >= SUPPORT)
     )
+    # a term near e is in e's document too, so the greater count is that of the documents
+    pairs = (
+        beside.unionByName(together(found, near, spans, entities))
+        .groupBy("entity", "w").agg(F.max("support").alias("support"), F.max("c").alias("c"))
+        .where(F.col("support") >= SUPPORT)
+    )
     pairs = written(pairs)
-    entities = spans.select(F.concat_ws(":", "kind", "value").alias("entity"), "rid").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("df_e"))
     listed = pairs.select(F.col("w").alias("rule_host"), F.lit("").alias("rule_path")).distinct()
     bloom = bloom_filter(listed, TERM_BLOCKS).select("bloom")
     possible = lambda w: F.get("bloom", _block(w, TERM_BLOCKS)).bitwiseAND(_mask(w)) == _mask(w)
@@ -170,10 +218,27 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tup
     """(found, spans): the written rows, and the spans of all kinds: rid, ord, kind, start, end."""
     found = matches(docs, id_col, text_col)
     base = base_spans(found)
-    near = written(contexts(found, base))
-    told = disclosing(docs, near, base, text_col)
-    terms = near.join(told, ["entity", "w"]).select("rid", F.lit(len(KINDS)).alias("ord"), F.lit("term").alias("kind"), "start", "end").distinct()
-    return found, outside_base(base.drop("value"), terms)
+    near = written(surroundings(found, base))
+    told = disclosing(docs, found, near, base, text_col)
+    listed = near.select("rid", "entity").distinct().join(told, "entity").select("rid", "w").distinct()
+    return found, outside_base(base.drop("value"), occurrences(found, written(listed)))
+
+
+def occurrences(found: DataFrame, listed: DataFrame) -> DataFrame:
+    """rid, ord, kind, start, end: every occurrence of the listed terms (rid, w) in the whole texts of their documents."""
+    t = F.col("t")
+    zipped = F.arrays_zip(F.regexp_extract_all(t, F.lit(_TERM), F.lit(0)).alias("w"), F.transform(F.split(t, _TERM, -1), lambda x: F.length(x)).alias("gap"))
+    before = Window.partitionBy("rid").orderBy("i")
+    words = (
+        found.select("rid", "t").join(listed.select("rid").distinct(), "rid", "left_semi")
+        .select("rid", F.posexplode(zipped).alias("i", "x")).where("x.w is not null")
+        .select("rid", "i", F.lower("x.w").alias("w"), F.length("x.w").alias("n"), F.col("x.gap").alias("gap"))
+        .repartition("rid")
+        .withColumn("end", F.sum((F.col("gap") + F.col("n")).cast("long")).over(before))
+    )
+    return words.join(listed, ["rid", "w"], "left_semi").select(
+        "rid", F.lit(len(KINDS)).alias("ord"), F.lit("term").alias("kind"), (F.col("end") - F.col("n")).alias("start"), "end"
+    )
 
 
 def outside_base(base: DataFrame, terms: DataFrame) -> DataFrame:
@@ -211,23 +276,10 @@ def report(found: DataFrame, spans: DataFrame) -> DataFrame:
 def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """`docs` with every span replaced by its kind, as [EMAIL]; all other columns and all rows stay."""
     found, spans = find(docs, id_col, text_col)
-    # overlapping spans: what begins inside an earlier one is covered by it up to that one's end
-    before = Window.partitionBy("rid").orderBy("start", F.desc("end"), "ord").rowsBetween(Window.unboundedPreceding, -1)
-    cut = (
-        spans.withColumn("reach", F.coalesce(F.max("end").over(before), F.lit(0)))
-        .where(F.col("end") > F.col("reach"))
-        .select("rid", F.struct(F.greatest("start", "reach").alias("start"), "end", "reach", F.concat(F.lit("["), F.upper("kind"), F.lit("]")).alias("as")).alias("x"))
-        .groupBy("rid")
-        .agg(F.sort_array(F.collect_list("x")).alias("xs"))
-    )
-    t, xs = F.col("t"), F.col("xs")
-    pieces = F.transform(
-        xs, lambda x: F.concat(F.substring(t, (x["reach"] + 1).cast("int"), (x["start"] - x["reach"]).cast("int")), x["as"])
-    )
-    clean = F.concat(F.array_join(pieces, ""), F.substring(t, (F.element_at(xs, -1)["end"] + 1).cast("int"), F.length(t)))
+    clean = _replaced(F.col("t"), F.col("xs"), lambda x: x["as"])
     # rows equal in id and text are changed alike, so these two identify a row well enough
     least = F.lit(-(1 << 63))
-    changed = found.join(cut, "rid").select(F.coalesce(F.col("doc_id").cast("long"), least).alias("_k"), F.col("th").alias("_th"), clean.alias("_clean")).dropDuplicates(["_k", "_th"])
+    changed = found.join(_cuts(spans), "rid").select(F.coalesce(F.col("doc_id").cast("long"), least).alias("_k"), F.col("th").alias("_th"), clean.alias("_clean")).dropDuplicates(["_k", "_th"])
     packed = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")  # names of the input can't clash with ours
     keyed = docs.select(packed, F.coalesce(F.col(id_col).cast("long"), least).alias("key"), F.xxhash64(text_or_empty(text_col)).alias("h"))
     return keyed.join(changed.hint("shuffle_hash"), (F.col("key") == F.col("_k")) & (F.col("h") == F.col("_th")), "left").select(

@@ -124,6 +124,26 @@ def test_pii_disclosing_term(spark):
     assert "[TERM] " in clean[0] and "[EMAIL]" in clean[0] and clean[7] == texts[7]
 
 
+def test_pii_terms_far_from_their_entity(spark):
+    """A name in the heading and an e-mail in the footer count together; every occurrence goes, also far ones."""
+    rng = random.Random(3)
+    filler = lambda: " ".join(rng.choice(["alpha", "beta", "gamma", "delta"]) for _ in range(60))
+    texts = [f"{rng.choice(['mister', 'doctor'])} Zorblax {filler()} zorblax {filler()} write to a@b.co" for _ in range(3)]
+    texts += [f"quorlin wrote c@d.co {filler()} Quorlin {filler()}", f"{filler()} quorlin sent c@d.co", f"zorblax {filler()}"]
+    copied = f"only vexmoth knows e@f.co {filler()}"
+    texts += [copied, copied] + [filler() for _ in range(200)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = {r.doc_id: r for r in pii.report(*pii.find(df)).collect()}
+    for i in range(5):
+        name = "zorblax" if i < 3 else "quorlin"
+        want = {f"term:{m.start()}:{m.end()}" for m in re.finditer(name, texts[i].lower())}
+        assert want and want <= set(rows[i].spans.split(",")), texts[i]
+    # a document without the entity keeps the term, and copies are one context
+    assert not rows[5].spans and rows[6].n_term == rows[7].n_term == 0
+    clean = {r.doc_id: r.text for r in pii.sanitise(df).collect()}
+    assert all("orblax" not in clean[i] for i in range(3)) and clean[5] == texts[5]
+
+
 # --- packing
 
 
