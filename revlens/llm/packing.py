@@ -1,8 +1,9 @@
 """Best-fit packing planned on a histogram of lengths.
 
 Tokens: a document's ids come from a public word-level BPE vocabulary, plus an end id. The tokenizer drops white
-space and never joins across it, so a text's ids are those of its white-space separated chunks; chunks are encoded
-once and kept in a bounded table per Python worker.
+space and never joins across it, so a text's ids are those of its white-space separated chunks; the ids of chunks
+are kept in a table of bounded bytes per Python worker. Chunks of printable Latin-1 are split by the vocabulary's rule
+and merged by rank; all others go to the tokenizer itself.
 
 Plan: the histogram of piece lengths has at most `capacity` entries, whatever the corpus; best-fit decreasing runs on
 its counts on the driver and yields ranges of slots, (length, first rank, slots, first sequence, slots per sequence,
@@ -11,17 +12,21 @@ hash buckets, then a row number within length and bucket, so a common length is
 that rank by a join on the length.
 
 Defined results: a null or empty text is the end id alone; repeated rows and null ids are packed like any others;
-an empty table gives an empty result; a text longer than a sequence is cut into full pieces and a rest; other columns
-are ignored.
+an empty table gives an empty result; a text longer than a sequence is cut into full pieces and a rest, whatever its
+length (a text is held in one task's memory with its ids); pieces of equal length are interchangeable, so ties in rank
+are broken by id, piece, start and hash, and true repeats take neighbouring slots in any order; ids are cast to long,
+and ids that aren't numbers raise an error under ANSI mode; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import zlib
 from collections import defaultdict
-from collections.abc import Iterator
-from itertools import chain
+from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -33,10 +38,12 @@ from revlens.llm.common import ready, released, table, text_or_empty, written
 
 CAPACITY = 4096
 END_ID = 1
-#: Chunks whose ids a Python worker keeps.
-KEPT_CHUNKS = 400_000
-#: Pieces of a length and bucket that one task ranks: about this many.
-BUCKET_ROWS = 200_000
+#: Bytes of the table of known chunks in a Python worker, which has two of them at most; longer chunks aren't kept.
+KEPT_BYTES, LONGEST_KEPT = 64 << 20, 256
+#: Bytes that an entry of the table takes beside its contents, about.
+_ENTRY = 180
+#: Buckets of a length over which its pieces are ranked, at least; pieces of a length and bucket, about, beyond that.
+BUCKETS, BUCKET_ROWS = 32, 200_000
 VOCABULARY = "word_bpe_49k.json"
 
 
@@ -46,98 +53,174 @@ def vocabulary_path() -> str:
     return public_tokenizers.path(VOCABULARY)
 
 
-class WordEncoder:
-    """Ids of texts as little-endian unsigned 32-bit bytes."""
+# How the vocabulary's file normalises a text and splits it into words.
+_NORMAL = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+_SPLIT = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
 
-    def __init__(self, path: str, keep: int = KEPT_CHUNKS) -> None:
+
+def _byte_chars() -> dict[str, int]:
+    """The character that stands for each byte in byte-level vocabularies: printable ones for themselves, the others from U+0100 up."""
+    own = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = [b for b in range(256) if b not in own]
+    return {chr(b): b for b in own} | {chr(256 + i): b for i, b in enumerate(others)}
+
+
+#: The byte that ends a word: no UTF-8 text has it.
+_END = b"\xff"
+_END_OF_WORD = "</w>"
+
+
+def _symbol(token: str, of: dict[str, int]) -> bytes:
+    ends = token.endswith(_END_OF_WORD)
+    return bytes(of[c] for c in (token.removesuffix(_END_OF_WORD) if ends else token)) + (_END if ends else b"")
+
+
+@lru_cache(maxsize=4)
+def merge_ranks(path: str) -> tuple[dict[bytes, int], list[int]] | None:
+    """(ranks, ids): rank of each symbol in the order in which they are merged, and the id of each rank.
+
+    None if the file isn't a byte-level BPE with word ends, or splits its words in another way than `_piece`. A word is
+    its bytes and `_END`; the pairs (byte, `_END`) come first, so that the rest merges as the vocabulary's symbols do. A
+    symbol that the listed merges don't build from its own bytes never occurs and has no rank; with the others, merging
+    whatever adjacent symbols form a symbol is the same as following the list.
+    """
+    with open(path, encoding="utf-8") as f:
+        file = json.load(f)
+    model = file["model"]
+    if model["type"] != "BPE" or model.get("end_of_word_suffix") != _END_OF_WORD or (file["normalizer"], file["pre_tokenizer"]) != (_NORMAL, _SPLIT):
+        return None
+    of = _byte_chars()
+    vocabulary = model["vocab"]
+    base = [bytes([b]) + end for end in (_END, b"") for b in range(256)]
+    ids = [vocabulary.get(c + end, -1) for end in (_END_OF_WORD, "") for c in sorted(of, key=of.__getitem__)]
+    ranks = {x: i for i, x in enumerate(base)}
+    listed = {}
+    for i, pair in enumerate(model["merges"]):
+        a, b = pair.split(" ") if isinstance(pair, str) else pair
+        listed[_symbol(a, of), _symbol(b, of)] = (i, a + b)
+
+    def whole(symbol: bytes) -> bool:
+        parts = [symbol[i : i + 1] for i in range(len(symbol))]
+        if parts[-1] == _END:
+            parts[-2:] = [parts[-2] + _END]
+        while len(parts) > 1:
+            pairs = [listed.get(x, (len(listed),))[0] for x in zip(parts, parts[1:], strict=False)]
+            i = pairs.index(min(pairs))
+            if pairs[i] == len(listed):
+                return False
+            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+        return True
+
+    for (a, b), (_, token) in listed.items():
+        if a + b not in ranks and whole(a + b):
+            ranks[a + b] = len(ids)
+            ids.append(vocabulary[token])
+    return ranks, ids
+
+
+# the same for printable Latin-1, whose letters have no other normal form and one lower case
+_piece = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ÿ]+|[0-9²³¹¼-¾]|[^a-zªµºß-öø-ÿ0-9²³¹¼-¾]+").findall
+
+
+class WordEncoder(dict):
+    """Ids of texts as little-endian unsigned 32-bit bytes; as a dict, of chunks that were met.
+
+    The table is bounded in bytes: when it is full it becomes the `_old` one, from which chunks come back when they are
+    met again, so frequent chunks are never encoded anew.
+    """
+
+    def __init__(self, path: str, ranks: tuple[dict[bytes, int], list[int]] | None, keep: int = KEPT_BYTES) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
-        self._keep = keep
-        vocabulary = self._tokenizer.get_vocab()
-        self._ends = np.zeros(max(vocabulary.values()) + 1, bool)  # tokens that end a word
-        self._ends[[i for word, i in vocabulary.items() if word.endswith("</w>")]] = True
-        self._known: dict[bytes, bytes] = {}
-
-    def encode(self, texts: list[bytes]) -> list[bytes]:
-        known = self._known
-        if len(known) > self._keep:
-            known.clear()
+        self._keep, self._held = keep, 0
+        self._old: dict[bytes, bytes] = {}
+        self._merge, self._id = None, []
+        if ranks is not None:
+            import tiktoken
+
+            self._id = [i.to_bytes(4, "little", signed=True) for i in ranks[1]]
+            self._merge = tiktoken.Encoding("words", pat_str=r"\S+", mergeable_ranks=ranks[0], special_tokens={})._core_bpe.encode_single_piece
+
+    def encode(self, texts: Iterable[bytes]) -> Iterator[bytes]:
         # the tokenizer lower-cases, so A-Z may be lower-cased first; not where the text may name a special token
-        chunks = [(t if b"<|" in t else t.lower()).split() for t in texts]
-        new = set(chain.from_iterable(chunks)).difference(known)
-        # a full stop or comma after a letter is a token of its own
-        ended = [x for x in new if x[-1:] in (b".", b",") and x[-2:-1].isalpha()]
-        new.difference_update(ended)
-        new.update({x[:-1] for x in ended}.difference(known))
-        self._learn(list(new))
-        stops = {stop: self._one(stop) for stop in (b".", b",")} if ended else {}
-        known.update((x, known[x[:-1]] + stops[x[-1:]]) for x in ended)
-        return [b"".join(map(known.__getitem__, c)) for c in chunks]
-
-    def _one(self, chunk: bytes) -> bytes:
-        if chunk not in self._known:
-            self._learn([chunk])
-        return self._known[chunk]
-
-    def _learn(self, new: list[bytes]) -> None:
-        """Chunks of letters only are encoded as one text and told apart by the ends of their words; others one by one."""
-        plain, rest = [], []
-        for x in new:
-            (plain if x.isalpha() or x.decode("utf-8", "replace").lower().isalpha() else rest).append(x)
-        for a in range(0, len(plain), 4096):
-            part = plain[a : a + 4096]
-            ids = np.array(self._tokenizer.encode(b" ".join(part).decode("utf-8", "replace"), add_special_tokens=False).ids, "<u4")
-            ends = np.flatnonzero(self._ends[ids]) + 1
-            if len(ends) != len(part):  # a normal form with marks of its own: the slow way for this part
-                rest += part
-                continue
-            raw = ids.tobytes()
-            cuts = [0, *(4 * ends).tolist()]
-            self._known.update(zip(part, (raw[i:j] for i, j in zip(cuts, cuts[1:], strict=False)), strict=True))
-        for a in range(0, len(rest), 4096):
-            part = rest[a : a + 4096]
-            found = self._tokenizer.encode_batch_fast([x.decode("utf-8", "replace") for x in part], add_special_tokens=False)
-            self._known.update(zip(part, (np.array(e.ids, "<u4").tobytes() for e in found), strict=True))
+        for t in texts:
+            yield b"".join(map(self.__getitem__, (t if b"<|" in t else t.lower()).split()))
+
+    def __missing__(self, chunk: bytes) -> bytes:
+        found = self._old.pop(chunk, None)
+        if found is None:
+            found = self._encoded(chunk)
+        if len(chunk) <= LONGEST_KEPT:
+            self._held += len(chunk) + len(found) + _ENTRY
+            if self._held > self._keep:
+                self._old = dict(self)
+                self.clear()
+                self._held = 0
+            self[chunk] = found
+        return found
+
+    def _encoded(self, chunk: bytes) -> bytes:
+        merge, of = self._merge, self._id
+        if merge is not None and chunk.isalpha():  # a-z only, or A-Z beside a special token
+            return b"".join([of[r] for r in merge(chunk.lower() + _END)])
+        text = chunk.decode("utf-8", "replace")
+        if merge is None or not text.isprintable() or max(text) > "ÿ" or b"<|" in chunk:
+            return np.array(self._tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        # what the split leaves is met in many chunks, as a word is with a comma, a full stop or none
+        parts = [p.encode() for p in _piece(text.lower())]
+        if len(parts) > 1:
+            return b"".join([self[p] for p in parts])
+        return b"".join([of[r] for r in merge(parts[0] + _END)])
 
 
 _encoders: dict[str, WordEncoder] = {}
 
 
-def encoder(path: str) -> WordEncoder:
+def encoder(path: str, ranks: tuple[dict[bytes, int], list[int]] | None) -> WordEncoder:
     """One encoder per worker process and vocabulary."""
     if path not in _encoders:
-        _encoders[path] = WordEncoder(path)
+        _encoders[path] = WordEncoder(path, ranks)
     return _encoders[path]
 
 
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
-def _cutter(path: str, capacity: int, end: int):
+def _cutter(path: str, capacity: int, end: int, ranks):
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tail = np.array([end], "<u4").tobytes()
+        tail, coder = np.array([end], "<u4").tobytes(), encoder(path, ranks.value)
         for batch in batches:
-            out: list[tuple] = []
-            texts = batch.column("t").cast(pa.binary()).to_pylist()
-            for doc, ids in zip(batch.column("id").to_pylist(), encoder(path).encode(texts), strict=True):
+            sizes, crcs = [], []
+            texts = batch.column("t").cast(pa.binary())
+            for ids in coder.encode(t.as_py() for t in texts):
                 ids += tail
-                for piece, a in enumerate(range(0, len(ids), 4 * capacity)):
-                    part = ids[a : a + 4 * capacity]
-                    out.append((doc, piece, a // 4, len(part) // 4, zlib.crc32(part)))
-            columns = zip(*out, strict=True) if out else [[]] * 5
-            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32"])
+                sizes.append(len(ids) // 4)
+                crcs += [zlib.crc32(ids)] if sizes[-1] <= capacity else [zlib.crc32(ids[a : a + 4 * capacity]) for a in range(0, len(ids), 4 * capacity)]
+            size = np.array(sizes, np.int64)
+            n = -(-size // capacity)  # pieces of each document
+            of = np.repeat(np.arange(len(size)), n)
+            piece = np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
+            length = np.minimum(size[of] - piece * capacity, capacity)
+            columns = [batch.column("id").take(pa.array(of)), pa.array(piece.astype(np.int32)), pa.array(piece * capacity), pa.array(length), pa.array(crcs, pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "piece", "start", "length", "ids_crc32"])
 
     return cut
 
 
 def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, end: int = END_ID, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The pieces of every document with their lengths."""
-    ready(docs.sparkSession)
+    path = path or vocabulary_path()
+    ranks = ready(docs.sparkSession).sparkContext.broadcast(merge_ranks(path))  # as large as the vocabulary
     rows = docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("t"))
-    return rows.mapInArrow(released(_cutter(path or vocabulary_path(), capacity, end)), _PIECES)
+    return rows.mapInArrow(released(_cutter(path, capacity, end, ranks)), _PIECES)
 
 
 def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, int, int, int, int, int]]:
@@ -209,7 +292,7 @@ def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, end
     slot = "array<struct<rank0:long,n:long,seq0:long,per:long,offset0:long>>"
     # rows of one length need the plan's ranges of that length only; their number is bounded by the histogram's size
     slots = spark.createDataFrame(list(by_length.items()), f"of long, slots {slot}")
-    buckets = 1 + sum(histogram.values()) // BUCKET_ROWS
+    buckets = max(BUCKETS, sum(histogram.values()) // BUCKET_ROWS)
     mine = F.element_at(F.filter("slots", lambda s: (s["rank0"] <= F.col("rank")) & (F.col("rank") < s["rank0"] + s["n"])), 1)
     t = F.col("rank") - F.col("s.rank0")
     return (

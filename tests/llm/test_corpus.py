@@ -167,6 +167,35 @@ def test_packing_is_gapless_and_tight(spark, sf_dir):
     assert len(by) <= -(-sum(want.values()) // packing.CAPACITY) + 1
 
 
+def test_pieces_equal_a_direct_encoding(spark):
+    """piece, start, length and crc32 of every piece, on hostile texts and on one of several sequences."""
+    import zlib
+
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(packing.vocabulary_path())
+    rng = random.Random(5)
+    parts = ["a", "b", "aa", "th", "in", "er", "the", "'s", "'re", "'l", "<|endoftext|>", "<|ENDOFTEXT|>", "É", "ñ", "ª", "²", "¼", "×", " ", ",", "...", "$$", "中", "😀", "é", "Σ", "ς", "İ", "\xad", "\xa0", "\x85", "\x1c", "7", "\n"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(40))) for _ in range(1500)] + [None, "", "word, " * 9000, "x" * 30000]
+    got = {}
+    for r in packing.pieces(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect():
+        got.setdefault(r.doc_id, []).append((r.piece, r.start, r.length, r.ids_crc32))
+    for i, text in enumerate(texts):
+        ids = np.array([*t.encode(text or "", add_special_tokens=False).ids, packing.END_ID], "<u4")
+        cut = [ids[a : a + packing.CAPACITY] for a in range(0, len(ids), packing.CAPACITY)]
+        assert sorted(got[i]) == [(n, n * packing.CAPACITY, len(x), zlib.crc32(x.tobytes())) for n, x in enumerate(cut)], texts[i]
+
+
+def test_a_full_table_of_chunks_changes_no_ids():
+    path = packing.vocabulary_path()
+    ranks = packing.merge_ranks(path)
+    small, large = packing.WordEncoder(path, ranks, 2000), packing.WordEncoder(path, ranks)
+    plain = packing.WordEncoder(path, None)  # the tokenizer alone
+    texts = [b"the cat, the DOG; " * 3 + bytes([97 + i % 26, 98 + i % 7]) * (1 + i % 5) for i in range(300)]
+    assert list(small.encode(texts)) == list(large.encode(texts)) == list(plain.encode(texts))
+    assert len(small) < 60 < len(large)
+
+
 # --- BPE
 
 
