@@ -425,12 +425,49 @@ def test_url_edge_cases(spark):
     assert url_filter.filter_urls(pages.limit(0), url_filter.rule_table(spark)).count() == 0
 
 
-def test_top_k_edge_cases(spark):
-    rows = [(0, [1.0, 2.0]), (1, [1.0, 2.0]), (2, None), (3, [None, 1.0]), (4, [float("nan"), 1.0]), (5, [1.0]), (7, [1.0, 2.0]), (None, [1.0, 1.0])]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
-    got = [(r.query_id, r["rank"], r.vec_id, r.score) for r in top_k.top_k(df).orderBy("rank").collect()]
-    assert got == [(0, 1, 1, 5 * 1024**2), (0, 2, 7, 5 * 1024**2), (0, 3, 5, 1024**2)]
+def exact_top_k(rows, every=100, k=10):
+    """By Python's integers, each row a query of its own."""
+    import math
+    from fractions import Fraction
+
+    fine = [(i, [math.floor(Fraction(x) * 1024) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
+    out = []
+    for n, (q, v) in enumerate(fine):
+        if q % every == 0:
+            best = sorted((-sum(a * b for a, b in zip(v, w, strict=False)), i) for m, (i, w) in enumerate(fine) if m != n)[:k]
+            out += [(q, r + 1, i, max(-(2**63), min(2**63 - 1, -s))) for r, (s, i) in enumerate(best)]
+    return sorted(out)
+
+
+def test_top_k_edge_cases(spark, duck):
+    nan, inf = float("nan"), float("inf")
+    rows = [(0, [1.0, 2.0]), (1, [1.0, 2.0]), (2, None), (3, [None, 1.0]), (4, [nan, 1.0]), (5, [1.0]), (6, [inf, 0.0]), (7, [1.0, 2.0]), (None, [1.0, 1.0]), (8, []), (9, [-1.0, 0.5, 9.0])]
+    rows += [(0, [3.0, 1.0]), (1, [2e6, 1.0]), (10, [-5e6, 2.0**20]), (100, [1e9, -1.0]), (200, []), (11, [3.4e38, 1.0]), (12, [3.3e38, 1.0]), (13, [-1e300, 2.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted(tuple(r) for r in top_k.top_k(df, shard=4).collect())
+    assert got == exact_top_k(rows) and (0, 1, 11, 2**63 - 1) in got and sum(r[:2] == (0, 1) for r in got) == 2
     assert top_k.top_k(df.limit(0)).count() == 0
+    import duckdb
+
+    small = [r for r in rows if r[0] not in (11, 12, 13)]
+    con = duckdb.connect()
+    con.execute("create table embeddings (vec_id bigint, embedding double[])")
+    con.executemany("insert into embeddings values (?, ?)", small)
+    assert sorted(con.execute(top_k.ORACLE_SQL).fetchall()) == exact_top_k(small)
+
+
+def test_top_k_prunes_and_stays_exact(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(12, 40))
+    rows = [(i, (centres[i % 12] + 0.2 * rng.normal(size=40)).tolist()) for i in range(600)]
+    monkeypatch.setattr(top_k, "BLOCK_BYTES", 40 * 8 * 64)
+    monkeypatch.setattr(top_k, "QUERIES", 4)
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    assert sorted(tuple(r) for r in top_k.top_k(df, every=20, shard=100).collect()) == exact_top_k(rows, 20)
+    m = top_k.integers(np.array([v for _, v in rows]).T)
+    n, counts = np.arange(600), []
+    list(top_k.search_blocks(m[:, ::20], m, n[::20], n, n, survived=counts))
+    assert np.mean([c[-1] for c in counts]) < 0.3 * 600
 
 
 def test_pipeline_stages(spark, sf_dir):
