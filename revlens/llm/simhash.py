@@ -1,29 +1,33 @@
 """SimHash near-duplicates: fingerprints of word shingles, compared bit-sliced.
 
 A fingerprint has 64 bits; a bit is 1 if it is set in more than half of the text's shingle hashes. Fingerprints within
-RADIUS bits are linked, and documents form the components of the links. By the pigeonhole principle two linked
-fingerprints agree in at least one of RADIUS + 1 bands, so distinct fingerprints are dealt by (band, value) and
-compared only there. A bucket stores bit planes vertically: word w of plane b holds bit b of 64 fingerprints. One
-fingerprint is compared with a block of planes at once: the planes' differences are added by carry-save bitwise
-counters, and the block is abandoned as soon as every counter is beyond the radius. Of each bucket only a spanning
-forest leaves the task. Buckets larger than TILE fingerprints are split into tiles, and each pair of tiles is a
-bucket of its own, so no task meets an unbounded bucket and no pair is lost.
+RADIUS bits are linked, and documents form the components of the links. Of BLOCKS blocks of bits at most RADIUS differ
+between linked fingerprints, so they agree in BLOCKS - RADIUS of them: distinct fingerprints are dealt by each choice of
+so many blocks (their numbers and values, some 26 bits) and compared only there.
+
+Bit planes are stored vertically: word w of plane b holds bit b of 64 fingerprints. Many small buckets share one set of
+planes, and each member is compared with the one d places further on, 64 members at a time, for d = 1, 2, ... up to the
+largest bucket's size; in a large bucket, one fingerprint is compared with all planes at once. Either way the planes'
+differences are added by carry-save bitwise counters, and words are abandoned as soon as all of their counters are
+beyond the radius. Of each bucket only a spanning forest leaves the task. Buckets larger than TILE fingerprints are split
+into tiles, and each pair of tiles is a bucket of its own, so no task meets an unbounded bucket and no pair is lost.
 
 Defined results: null and empty texts have fingerprint zero, which links like any other; documents of equal
-fingerprints (copies) are one node; repeated rows each get their row; a null doc_id is never a component's id unless
-all of the component's are null; an empty table gives an empty result; other columns are ignored by `near_duplicates`
-and kept by `keep_one`, which finds its pairs by shingle_join.
+fingerprints (copies) are one node; very long texts are hashed whole, their bits counted in parts; repeated rows each
+get their row; ids are cast to long; a null doc_id is never a component's id unless all of the component's are null; an
+empty table gives an empty result; other columns are ignored by `near_duplicates` and kept by `keep_one`, which finds
+its pairs by shingle_join and breaks ties between rows of equal id by a hash of their columns.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from itertools import repeat
+from collections.abc import Callable, Iterator
+from itertools import combinations, repeat
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from revlens.llm import shingle_join
@@ -34,6 +38,10 @@ SHINGLE = 3
 SEED = 42
 BITS = 64
 RADIUS = 3
+#: Blocks of bits: fingerprints are dealt by the values of BLOCKS - RADIUS of them.
+BLOCKS = 5
+#: Fingerprints of a bucket up to which it shares its planes with others; fingerprints that are compared together.
+SMALL, TOGETHER = 64, 1 << 16
 #: Fingerprints of a bucket that one task compares with one another; larger buckets are tiled.
 TILE = 8192
 #: Hashes whose bits are counted at a time.
@@ -78,25 +86,27 @@ def bit_planes(values: np.ndarray) -> np.ndarray:
     return np.packbits(np.ascontiguousarray(bits.T), axis=1, bitorder="little").view("<u8")
 
 
-def within(planes: np.ndarray, value: int, radius: int = RADIUS) -> np.ndarray:
-    """Words whose bits mark the members of `planes` within `radius` bits of `value`.
+_FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
+
+
+def beyond(differences: Callable[[int, np.ndarray], np.ndarray], over: np.ndarray, radius: int = RADIUS) -> np.ndarray:
+    """Words whose bits mark what differs in more than `radius` planes, or is marked in `over` already.
 
-    ones, twos and fours count the differing bits of 64 members at a time; `over` marks those beyond the radius.
+    differences(b, words): plane b of those words. The counters' bits of weight 1, 2, 4 and so on hold the number of
+    differing bits of 64 members a word; words that are marked whole are left out of the further planes.
     """
-    full = np.uint64(0xFFFFFFFFFFFFFFFF)
-    words = planes.shape[1]
-    counters = [np.zeros(words, np.uint64) for _ in range(max(1, radius.bit_length()))]
-    over = np.zeros(words, np.uint64)
-    limit = radius + 1
-    exact_power = limit & (limit - 1) == 0
-    for b in range(planes.shape[0]):
-        carry = planes[b] ^ full if value >> b & 1 else planes[b]
+    result, words = over.copy(), np.flatnonzero(over != _FULL)
+    over = over[words]
+    counters = [np.zeros(len(words), np.uint64) for _ in range(max(1, radius.bit_length()))]
+    exact_power = radius + 1 == 1 << len(counters)
+    for b in range(BITS):
+        carry = differences(b, words)
         for i, c in enumerate(counters):
             counters[i], carry = c ^ carry, c & carry
         over |= carry
         if not exact_power:
             # the counters hold numbers beyond the radius too: compare them with it
-            more, equal = np.zeros(words, np.uint64), np.full(words, full)
+            more, equal = np.zeros(len(words), np.uint64), np.full(len(words), _FULL)
             for i in range(len(counters) - 1, -1, -1):
                 if radius >> i & 1:
                     equal &= counters[i]
@@ -104,95 +114,151 @@ def within(planes: np.ndarray, value: int, radius: int = RADIUS) -> np.ndarray:
                     more |= equal & counters[i]
                     equal &= ~counters[i]
             over |= more
-        if b % 8 == 7 and (over == full).all():
-            break
-    return ~over
+        if b % 8 == 7:
+            open_ = over != _FULL
+            if not open_.all():
+                result[words[~open_]] = _FULL
+                words, over, counters = words[open_], over[open_], [c[open_] for c in counters]
+                if not len(words):
+                    break
+    result[words] = over
+    return result
 
 
-def forest(values: np.ndarray, radius: int = RADIUS, other: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Edges (indices) of a spanning forest of the links among `values`, or among `values` and `other` (numbered after them)."""
-    members = values if other is None else np.concatenate([values, other])
-    parent = np.arange(len(members))
+def within(planes: np.ndarray, value: int, radius: int = RADIUS) -> np.ndarray:
+    """Words whose bits mark the members of `planes` within `radius` bits of `value`."""
+    return ~beyond(lambda b, words: planes[b, words] ^ (_FULL if value >> b & 1 else np.uint64(0)), np.zeros(planes.shape[1], np.uint64), radius)
+
 
-    def root(i: int) -> int:
+def bucket_pairs(values: np.ndarray, sizes: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs of places within `radius` bits inside the buckets of `values`; `sizes`, descending, SMALL at most."""
+    ends = np.repeat(np.cumsum(sizes), sizes)
+    planes = np.pad(bit_planes(values), ((0, 0), (0, 1)))
+    u, v = [], []
+    for d in range(1, int(sizes[0]) if len(sizes) else 0):
+        n = int(sizes[sizes > d].sum())  # members of buckets that reach so far come first
+        pairs = np.zeros(-(-n // 64) * 64, bool)
+        pairs[:n] = np.arange(n) + d < ends[:n]
+        low, high = np.uint64(d), np.uint64(64 - d)
+
+        def differ(b: int, words: np.ndarray) -> np.ndarray:
+            here = planes[b, words]
+            return here ^ (here >> low | planes[b, words + 1] << high)  # noqa: B023
+
+        over = beyond(differ, ~np.packbits(pairs, bitorder="little").view("<u8"), radius)
+        at = np.flatnonzero(np.unpackbits((~over).astype("<u8").view(np.uint8), bitorder="little"))
+        u.append(at)
+        v.append(at + d)
+    return (np.concatenate(u), np.concatenate(v)) if u else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+
+
+class _Forest:
+    """Keeps the edges that join two trees."""
+
+    def __init__(self, n: int) -> None:
+        self.parent = list(range(n))
+        self.u: list[int] = []
+        self.v: list[int] = []
+
+    def root(self, i: int) -> int:
+        parent = self.parent
         while parent[i] != i:
             parent[i] = parent[parent[i]]
             i = parent[i]
         return i
 
-    targets, shift = (values, 0) if other is None else (other, len(values))
-    u, v = [], []
-    if len(values) * len(targets) <= 4096:  # a few members: no planes are worth their set-up
-        x = values[:, None] ^ targets[None, :]
-        found = np.argwhere(np.bitwise_count(x) <= radius)
-    else:
-        planes = bit_planes(targets)
-        rows = []
-        for i, value in enumerate(values.tolist()):
-            near = np.flatnonzero(np.unpackbits(within(planes, value, radius).astype("<u8").view(np.uint8), bitorder="little")[: len(targets)])
-            if other is None:
-                near = near[near > i]
-            # one link to each tree is enough
-            roots = {root(i)}
-            for j in near.tolist():
-                r = root(j + shift)
-                if r not in roots:
-                    roots.add(r)
-                    rows.append((i, j))
-                    parent[r] = root(i)
-        return (np.array([i for i, _ in rows], np.int64), np.array([j + shift for _, j in rows], np.int64))
-    for i, j in found.tolist():
-        a, b = root(i), root(j + shift)
+    def add(self, i: int, j: int) -> None:
+        a, b = self.root(i), self.root(j)
         if a != b:
-            parent[b] = a
-            u.append(i)
-            v.append(j + shift)
-    return np.array(u, np.int64), np.array(v, np.int64)
+            self.parent[b] = a
+            self.u.append(i)
+            self.v.append(j)
 
+    def edges(self) -> tuple[np.ndarray, np.ndarray]:
+        return np.array(self.u, np.int64), np.array(self.v, np.int64)
 
-def _bucket_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (band, value, a, b) to links; side tells which tile a member is of."""
 
-    def links(fp: np.ndarray, side: np.ndarray) -> pa.RecordBatch:
-        fp = fp.view(np.uint64)
-        members, other = fp[side == 0], fp[side == 1]
-        u, v = forest(members) if not len(other) else forest(members, other=other)
-        both = np.concatenate([members, other]).view(np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(both[u], pa.int64()), pa.array(both[v], pa.int64())], ["u", "v"])
+def forest(values: np.ndarray, radius: int = RADIUS, other: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Edges (indices) of a spanning forest of the links among `values`, or among `values` and `other` (numbered after them)."""
+    targets, shift = (values, 0) if other is None else (other, len(values))
+    trees, planes = _Forest(len(values) + (0 if other is None else len(other))), bit_planes(targets)
+    for i, value in enumerate(values.tolist()):
+        near = np.flatnonzero(np.unpackbits(within(planes, value, radius).astype("<u8").view(np.uint8), bitorder="little")[: len(targets)])
+        for j in (near[near > i] if other is None else near).tolist():
+            trees.add(i, j + shift)
+    return trees.edges()
+
+
+def _bucket_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by (key, a, b) to links; side tells which tile a member is of."""
+
+    def out(fp: np.ndarray, u: np.ndarray, v: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(fp[u], pa.int64()), pa.array(fp[v], pa.int64())], ["u", "v"])
+
+    def compare(x: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> Iterator[pa.RecordBatch]:
+        sizes = ends - starts
+        tiled = np.maximum.reduceat(x[4], starts) > 0 if len(starts) else np.zeros(0, bool)
+        few = np.flatnonzero((sizes > 1) & (sizes <= SMALL) & ~tiled)
+        few = few[np.argsort(-sizes[few], kind="stable")]
+        if len(few):
+            n = sizes[few]
+            fp = x[3, np.repeat(starts[few] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+            u, v = bucket_pairs(fp.view(np.uint64), n)
+            trees = _Forest(len(fp))
+            for i, j in zip(u.tolist(), v.tolist(), strict=True):
+                trees.add(i, j)
+            yield out(fp, *trees.edges())
+        for i in np.flatnonzero((sizes > SMALL) | tiled & (sizes > 1)).tolist():
+            fp, side = x[3, starts[i] : ends[i]], x[4, starts[i] : ends[i]]
+            members, other = fp[side == 0], fp[side == 1]
+            u, v = forest(members.view(np.uint64), other=other.view(np.uint64) if len(other) else None)
+            yield out(np.concatenate([members, other]), u, v)
 
     held: list[np.ndarray] = []
+    n_held = 0
     for batch in batches:
-        x = np.stack([np.asarray(batch.column(c)).astype(np.int64) for c in ("band", "value", "a", "b", "fp", "side")])
-        x = np.concatenate([*held, x], axis=1) if held else x
-        cuts = np.flatnonzero((x[:4, 1:] != x[:4, :-1]).any(axis=0)) + 1
-        if not len(cuts):
-            held = [x]
-            continue
-        starts = np.concatenate([[0], cuts])
-        for i in np.flatnonzero(np.diff(starts) > 1):
-            a, b = starts[i], starts[i + 1]
-            yield links(x[4, a:b], x[5, a:b])
-        held = [x[:, starts[-1] :]]
-    if held and held[0].shape[1] > 1:
-        yield links(held[0][4], held[0][5])
+        held.append(np.stack([np.asarray(batch.column(c)).astype(np.int64) for c in ("key", "a", "b", "fp", "side")]))
+        n_held += batch.num_rows
+        if n_held >= TOGETHER:
+            x = np.concatenate(held, axis=1)
+            cuts = np.concatenate([[0], np.flatnonzero((x[:3, 1:] != x[:3, :-1]).any(axis=0)) + 1])
+            yield from compare(x, cuts[:-1], cuts[1:])
+            held, n_held = [x[:, cuts[-1] :]], x.shape[1] - int(cuts[-1])
+    if n_held:
+        x = np.concatenate(held, axis=1)
+        cuts = np.concatenate([[0], np.flatnonzero((x[:3, 1:] != x[:3, :-1]).any(axis=0)) + 1, [x.shape[1]]])
+        yield from compare(x, cuts[:-1], cuts[1:])
+
+
+def _keys() -> Column:
+    """One long for each choice of blocks: its number above the blocks' bits."""
+    edges = [round(i * BITS / BLOCKS) for i in range(BLOCKS + 1)]
+    keys = []
+    for number, chosen in enumerate(combinations(range(BLOCKS), BLOCKS - RADIUS)):
+        key = F.lit(number).cast("long")
+        for i in chosen:
+            width = edges[i + 1] - edges[i]
+            key = F.shiftleft(key, width).bitwiseOR(F.shiftrightunsigned("fp", edges[i]).bitwiseAND(F.lit((1 << width) - 1)))
+        keys.append(key)
+    return F.array(*keys)
+
+
+def buckets(distinct: DataFrame, tile: int = TILE) -> DataFrame:
+    """key, a, b, fp, side, dealt and sorted by bucket (key and pair of tiles): the fingerprints that share a key with others."""
+    keyed = distinct.select("fp", F.explode(_keys()).alias("key"))
+    shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("key").alias("k"), F.ceil(F.col("n") / tile).cast("int").alias("tiles"))
+    dealt = keyed.join(shared, F.col("key") == F.col("k"))
+    mine = F.pmod(F.xxhash64("fp"), F.col("tiles")).cast("int")
+    tiled = (
+        dealt.select("key", "fp", mine.alias("mine"), F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("with"))
+        .select("key", "fp", F.least("mine", "with").alias("a"), F.greatest("mine", "with").alias("b"), (F.col("mine") > F.col("with")).cast("int").alias("side"))
+    )
+    return tiled.repartition("key", "a", "b").sortWithinPartitions("key", "a", "b").select("key", "a", "b", "fp", "side")
 
 
 def links(distinct: DataFrame, tile: int = TILE) -> DataFrame:
     """u, v: links that connect the same fingerprints as all pairs within RADIUS would. `distinct`: fp."""
-    width = BITS // (RADIUS + 1)
-    bands = F.array(*[F.struct(F.lit(i).alias("band"), F.shiftrightunsigned("fp", i * width).bitwiseAND(F.lit((1 << width) - 1)).alias("value")) for i in range(RADIUS + 1)])
-    keyed = distinct.select("fp", F.explode(bands).alias("k")).select("fp", "k.*")
-    large = keyed.groupBy("band", "value").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > tile).select(F.col("band").alias("lb"), F.col("value").alias("lv"), F.ceil(F.col("n") / tile).cast("int").alias("tiles"))
-    dealt = keyed.join(large, (F.col("band") == F.col("lb")) & (F.col("value") == F.col("lv")), "left").withColumn("tiles", F.coalesce("tiles", F.lit(1)))
-    mine = F.pmod(F.xxhash64("fp"), F.col("tiles")).cast("int")
-    tiled = (
-        dealt.select("band", "value", "fp", mine.alias("mine"), F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("with"))
-        .select("band", "value", "fp", F.least("mine", "with").alias("a"), F.greatest("mine", "with").alias("b"), (F.col("mine") > F.col("with")).cast("int").alias("side"))
-    )
-    return (
-        tiled.repartition("band", "value", "a", "b").sortWithinPartitions("band", "value", "a", "b")
-        .select("band", "value", "a", "b", "fp", "side").mapInArrow(released(_bucket_links), "u long, v long")
-    )
+    return buckets(distinct, tile).mapInArrow(released(_bucket_links), "u long, v long")
 
 
 def grouped(rows: DataFrame, found: DataFrame | None = None) -> DataFrame:
@@ -235,8 +301,9 @@ def keep_one(
     rows = written(with_fp.select("row", "fp", F.monotonically_increasing_id().alias("id")))
     light = rows.select("id", "fp")
     found = shingle_join.links(rows.select("id", "fp", text_or_empty(f"row.`{text_col}`").alias("t")), common, shingle, similarity)
-    order = F.struct(F.col("_id").isNull(), F.col("_id"), F.col("of"))
-    ids = rows.select(F.col("id").alias("of"), F.col(f"row.`{id_col}`").alias("_id"))
+    order = F.struct(F.col("_id").isNull(), F.col("_id"), F.col("content"), F.col("of"))
+    content = F.xxhash64(*[F.col(f"row.`{c}`") for c, kind in docs.dtypes if "map<" not in kind and kind != "variant"])
+    ids = rows.select(F.col("id").alias("of"), F.col(f"row.`{id_col}`").alias("_id"), content.alias("content"))
     best = grouped(light, found).join(ids, F.col("id") == F.col("of")).groupBy("component_id").agg(F.min_by("of", order).alias("keep"))
     return rows.join(best, F.col("id") == F.col("keep"), "left_semi").select("row.*")
 

@@ -249,6 +249,54 @@ def test_links_give_the_components_of_all_pairs(spark):
         assert {frozenset(x) for x in got.values()} == {frozenset(x) for x in want.values() if len(x) > 1}
 
 
+def test_small_buckets_share_their_planes():
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 2**63, 40, dtype=np.uint64)
+    flips = [sum(1 << int(b) for b in set(rng.integers(0, 64, rng.integers(0, 4)).tolist())) for _ in range(2000)]
+    values = base[rng.integers(0, 40, 2000)] ^ np.array(flips, np.uint64)
+    sizes = np.sort(rng.integers(2, simhash.SMALL + 1, 80))[::-1]
+    sizes = sizes[np.cumsum(sizes) <= len(values)]
+    values = values[: sizes.sum()]
+    bucket = np.repeat(np.arange(len(sizes)), sizes)
+    for radius in (0, 1, 2, 3, 6):
+        near = np.bitwise_count(values[:, None] ^ values[None, :]) <= radius
+        want = {(i, j) for i, j in np.argwhere(near & (bucket[:, None] == bucket[None, :])).tolist() if i < j}
+        u, v = simhash.bucket_pairs(values, sizes, radius)
+        assert set(zip(u.tolist(), v.tolist(), strict=True)) == want and len(u) == len(want) > 0
+
+
+def test_fingerprints_and_components_equal_brute_force(spark, sf_dir, monkeypatch):
+    """The whole query, by another way: bits added one by one, all pairs of fingerprints compared."""
+    import xxhash
+
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    prints = {}
+    for i, t in texts.items():
+        ws = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m.group().lower(), t))
+        grams = [" ".join(ws[a : a + 3]) for a in range(len(ws) - 2)] or [" ".join(ws)] * bool(ws)
+        hashes = [xxhash.xxh64_intdigest(g.encode(), 42) for g in grams]
+        prints[i] = sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+    group = {i: i for i in texts}
+    for i in sorted(texts):
+        for j in sorted(texts):
+            if j < i and (prints[i] ^ prints[j]).bit_count() <= 3 and group[i] != group[j]:
+                a, b = sorted((group[i], group[j]))
+                group = {k: a if g == b else g for k, g in group.items()}
+    got = {r.doc_id: (r.fingerprint, r.component_id) for r in simhash.op7_simhash(spark, sf_dir).collect()}
+    assert got == {i: (f"{prints[i]:016x}", group[i]) for i in texts}
+
+
+def test_planes_are_compared_on_documents(spark, monkeypatch):
+    """Buckets of a few members go through the planes too."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    table = simhash.buckets(simhash.fingerprints(docs).select("fp").distinct()).coalesce(1).toArrow()
+    compared = []
+    real = simhash.bucket_pairs
+    monkeypatch.setattr(simhash, "bucket_pairs", lambda values, sizes: compared.append(len(values)) or real(values, sizes))
+    found = sum(b.num_rows for b in simhash._bucket_links(iter(table.to_batches(512))))
+    assert sum(compared) == table.num_rows > 100 and found > 0
+
+
 def test_kept_documents_equal_brute_force(spark):
     """Edited copies go, whatever their fingerprints' distance; the shared frame makes shingles that many texts have."""
     rng = random.Random(6)
