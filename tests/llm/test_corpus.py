@@ -428,21 +428,29 @@ def test_a_hot_group_cut_by_runs_and_buckets(monkeypatch):
 # --- nearest examples, licences, URLs, top k
 
 
-def test_nearest_examples_are_exact():
-    rng = random.Random(2)
-    features = [f"f{i}" for i in range(40)]
-    examples = [(i, rng.randrange(2), {rng.randrange(40): rng.randrange(1, 4) for _ in range(rng.randrange(6))}) for i in range(1500)]
-    index = toxicity.build(features, examples, (1.0, 1.0))
-    dense = np.zeros((1500, 40))
-    for i, (docs, weights) in enumerate(index.postings):
-        dense[docs, i] = weights
-    for _, _, counts in examples[:80]:
-        if counts:
-            f, w = index.vector(counts)
-            q = np.zeros(40)
-            q[f] = w
-            best, cosines = index.nearest(f, w)
-            assert np.allclose(cosines, np.sort(dense @ q)[::-1][: len(cosines)]) and len(best) == toxicity.NEIGHBOURS
+def test_nearest_examples_are_exact(monkeypatch):
+    monkeypatch.setattr(toxicity, "BLOCK", 64)
+    rng = np.random.default_rng(2)
+    n, vocabulary = 1500, 400
+    sizes = rng.integers(0, 20, n)
+    rows = [rng.choice(vocabulary, s, replace=False, p=(w := 1 / np.arange(1, vocabulary + 1)) / w.sum()) for s in sizes]
+    terms, counts = np.concatenate(rows), rng.integers(1, 4, sizes.sum())
+    labels = rng.integers(0, 2, n)
+    index = toxicity.build(np.arange(n), labels, sizes, terms, counts, np.array([7, 30, 200]), frozenset(), (1.0, 1.0))
+    assert 0 < index.dense.shape[1] < len(index.terms)
+    full = np.zeros((n, len(index.terms)))
+    full[:, index.column >= 0] = index.dense
+    of = np.repeat(np.arange(len(index.terms)), np.diff(np.append(index.starts[:, 0], len(index.docs))))
+    full[index.docs, of] = index.weights
+    assert np.allclose((full**2).sum(axis=1), (np.bincount(index.docs, minlength=n) + (index.dense > 0).sum(axis=1)) > 0)
+    queries = [(f, full[i, f]) for i in range(0, n, 3) if len(f := np.flatnonzero(full[i]))]
+    read = []
+    for (f, w), (best, cosines) in zip(queries, index.nearest(queries, read=read), strict=True):
+        true = np.round(full[:, f] @ w, 12)
+        want = np.lexsort((np.arange(n), -true))[: toxicity.NEIGHBOURS]
+        want = want[true[want] > 0]
+        assert best.tolist() == want.tolist() and np.allclose(cosines, true[want])
+    assert min(read) < 5  # blocks out of 24
 
 
 def test_isotonic():
@@ -452,8 +460,40 @@ def test_isotonic():
 
 def test_toxicity_on_held_out_rows(spark):
     d = "/root/testdata/sf0.1"
-    rows = toxicity.op5_toxicity(spark, d).join(spark.read.parquet(f"{d}/labels.parquet").select("doc_id", "toxic"), "doc_id").where("held_out").collect()
-    assert np.mean([r.predicted == r.toxic for r in rows]) > 0.95
+    docs = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text")
+    rows = toxicity.op5_toxicity(spark, d).join(spark.read.parquet(f"{d}/labels.parquet").select("doc_id", "toxic"), "doc_id").join(docs, "doc_id").where("held_out").collect()
+    toxic = [r for r in rows if r.toxic == 1]
+    assert sum(r.predicted for r in toxic) >= 0.9 * len(toxic) > 50
+    assert np.mean([r.predicted == r.toxic for r in rows]) > 0.98
+    assert all(r.evidence for r in rows if r.text.strip())  # every text has a word in common with the examples
+
+
+def test_neighbours_in_the_corpus_equal_brute_force(spark):
+    """Evidence of whole texts by another way: TF-IDF vectors as dictionaries, all cosines."""
+    d = "/root/testdata/sf0.01"
+    docs, labels = (spark.read.parquet(f"{d}/{t}.parquet") for t in ("documents", "labels"))
+    index = toxicity.fit(docs, labels)
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    words = lambda t: re.findall(r"[^\W\d_]+", t.lower())
+    terms = lambda t: Counter(x for w in words(t) for x in [w, *(b for b in toxicity.beginnings(w) if b in index.stems)])
+    examples = {i: terms(texts[i]) for i in index.ids.tolist()}
+    df = Counter(t for c in examples.values() for t in c)
+    leans = {t for t in df if t in index.stems} | {t for t in df if index.idf[np.searchsorted(index.terms, toxicity.number(t))] > 1.0001 * (np.log((1 + len(examples)) / (1 + df[t])) + 1)}
+    weight = lambda t, n: (1 + np.log(n)) * (np.log((1 + len(examples)) / (1 + df[t])) + 1) * (toxicity.RELEVANCE if t in leans else 1)
+
+    def unit(c):
+        v = {t: weight(t, n) for t, n in c.items() if t in df}
+        norm = np.sqrt(sum(x * x for x in v.values()))
+        return {t: x / norm for t, x in v.items()}
+
+    vectors = {i: unit(c) for i, c in examples.items()}
+    scored = {r.doc_id: r.evidence for r in toxicity.score(docs.select("doc_id", "text"), labels).where("doc_id % 7 = 0").collect()}
+    assert len(scored) > 100
+    for i, evidence in scored.items():
+        q = unit(terms(texts[i]))
+        best = sorted((sum(x * v.get(t, 0) for t, x in q.items()) for v in vectors.values()), reverse=True)[:3]
+        got = [float(x.split(":")[2]) for x in evidence.split(",") if x]
+        assert np.allclose(got, [b for b in best if b > 0], atol=1e-4), i
 
 
 def test_license_predictions():
