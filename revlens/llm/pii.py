@@ -7,9 +7,14 @@ counted over the whole corpus. The share PMI(t; e) / IC(e), IC(e) = log2(N / df(
 to know of e the term tells. Terms with a share of at least DISCLOSURE, seen with e in at least SUPPORT different
 contexts (copies of a passage are one context), are spans of kind `term` in e's documents, and are generalised there.
 
-Defined results: a null text is an empty one and has no spans; repeated rows get a result each and count as
-documents each; rows with null doc_id are kept; an empty table gives an empty result; other columns, whatever their
-names, are ignored by `find` and kept by `sanitise`.
+Work and memory are in proportion to a text's length, however many spans it has: a match carries the text beside it
+from the same pass that found it, and texts are cut in pieces of PIECE code points before they are cut at spans.
+
+Defined results: a null text is an empty one and has no spans; very long texts are read whole; of overlapping spans the
+one that begins first (then the longer, then the kind listed first) is replaced whole and of the others what it leaves;
+terms of equal share are all taken; repeated rows get a result each and count as documents each; rows with null doc_id
+are kept, and ids of any type; an empty table gives an empty result; other columns, whatever their names, are ignored by
+`find` and kept by `sanitise`, which takes two rows for the same if their ids and two 64-bit hashes of their texts agree.
 """
 
 from __future__ import annotations
@@ -38,6 +43,10 @@ DISCLOSURE = 0.8
 SUPPORT = 2
 #: Least letters of a term.
 TERM_LETTERS = 3
+#: Code points of the pieces in which a text is cut at its spans.
+PIECE = 1024
+#: Matches that the context of a match can touch on either side: each has 5 code points or more.
+_BESIDE = (CONTEXT + 1) // 5
 #: 64-bit blocks of the Bloom filter of candidate terms: 512 KB whatever the corpus.
 TERM_BLOCKS = 1 << 16
 _TERM = r"[\p{L}\p{N}]++"
@@ -58,46 +67,63 @@ def _valid(kind: Column, m: Column) -> Column:
     return F.when(kind == "email", True).when(kind == "ip", ip).when(kind == "card", card).otherwise(n.between(9, 15))
 
 
+def _two_hashes(t: Column) -> Column:
+    return F.struct(F.xxhash64(t).alias("a"), F.xxhash64(t, F.lit(11)).alias("b"))
+
+
 def matches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Written once: rid, doc_id, th (hash of the text), the raw matches of each kind with the gaps before them, text where there are any."""
-    t = F.col("t")
+    """Written once: rid, doc_id, th (hashes of the text), the raw matches of each kind with the gap before them and what
+    is beside them in the gaps, text where there are any."""
+    t, near = F.col("t"), F.lit(CONTEXT + 1)
     rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("t"))
-    rows = rows.withColumn("th", F.xxhash64("t"))
     found = rows.select(
         "*",
+        _two_hashes(t).alias("th"),
         *[
             F.when(F.contains(t, F.lit(has)) if has else t.rlike("[0-9]"), F.regexp_extract_all(t, F.lit(p), F.lit(0))).alias(f"m_{k}")
             for k, p, has in PATTERNS
         ],
     )
-    some = [F.coalesce(F.size(f"m_{k}"), F.lit(0)) > 0 for k in KINDS]
-    gaps = [
-        F.when(has, F.arrays_zip(F.col(f"m_{k}").alias("m"), F.transform(F.split(t, p, -1), lambda x: F.length(x)).alias("gap"))).alias(k)
-        for (k, p, _), has in zip(PATTERNS, some, strict=True)
-    ]
-    return written(found.select("rid", "doc_id", "th", *gaps, F.when(some[0] | some[1] | some[2] | some[3], t).alias("t")))
+    some = {k: F.coalesce(F.size(f"m_{k}"), F.lit(0)) > 0 for k in KINDS}
+    end = lambda x: F.substring(x, -F.least(near, F.length(x)), near)
+    cut = [F.when(some[k], F.transform(F.split(t, p, -1), lambda g: F.struct(F.length(g).alias("n"), end(g).alias("before"), F.left(g, near).alias("after")))).alias(f"g_{k}") for k, p, _ in PATTERNS]
+    any_ = some["email"] | some["ip"] | some["card"] | some["phone"]
+    cols = ["rid", "doc_id", "th", *[f"m_{k}" for k in KINDS]]
+
+    def beside(k: str) -> Column:
+        gap = lambda i: F.get(f"g_{k}", i)
+        return F.transform(f"m_{k}", lambda m, i: F.struct(m.alias("m"), gap(i)["n"].alias("gap"), gap(i)["before"].alias("before"), gap(i + 1)["after"].alias("after"))).alias(k)
+
+    return written(found.select(*cols, *cut, F.when(any_, t).alias("t")).select("rid", "doc_id", "th", *[beside(k) for k in KINDS], "t", F.length("t").alias("n")))
 
 
 def base_spans(found: DataFrame) -> DataFrame:
-    """rid, ord, kind, start, end, value: one row for each base span; ends are exclusive."""
-    none = F.array().cast("array<struct<m:string,gap:int>>")
+    """Written: rid, ord, kind, start, end, value, l, r, n: one row for each base span with the text beside it and the
+    text's length; ends are exclusive."""
+    none = F.array().cast("array<struct<m:string,gap:int,before:string,after:string>>")
 
     def numbered(o: int, kind: str) -> Column:
-        with_match = F.filter(F.coalesce(F.col(kind), none), lambda x: x["m"].isNotNull())
-        return F.transform(with_match, lambda x, i: F.struct(F.lit(o).alias("ord"), F.lit(kind).alias("kind"), i.alias("i"), x["m"].alias("m"), x["gap"].alias("gap")))
+        return F.transform(F.coalesce(F.col(kind), none), lambda x, i: F.struct(F.lit(o).alias("ord"), F.lit(kind).alias("kind"), i.alias("i"), x.alias("x")))
 
     each = F.concat(*[numbered(o, kind) for o, kind in enumerate(KINDS)])
-    before = Window.partitionBy("rid", "ord").orderBy("i")
-    # one exchange by rid serves the window here and the aggregation by rid later
-    return (
+    order = Window.partitionBy("rid", "ord").orderBy("i")
+    near = F.lit(CONTEXT + 1)
+    m, before, after = F.col("m"), F.col("before"), F.col("after")
+    # what stands left of a match: its gap, the match before, the gap before that and so on, until enough
+    left = F.concat(F.array_join(F.collect_list(F.concat(before, F.substring(m, -F.least(near, F.length(m)), near))).over(order.rowsBetween(-_BESIDE, -1)), ""), before)
+    right = F.concat(after, F.array_join(F.collect_list(F.concat(F.left(m, near), after)).over(order.rowsBetween(1, _BESIDE)), ""))
+    rows = (
         found.where("t is not null")
-        .select("rid", F.explode(each).alias("x"))
-        .select("rid", "x.*")
+        .select("rid", "n", F.explode(each).alias("e"))
+        .select("rid", "n", "e.ord", "e.kind", "e.i", "e.x.*")
         .repartition("rid")
-        .withColumn("end", F.sum(F.col("gap").cast("long") + F.length("m")).over(before))
-        .withColumn("start", F.col("end") - F.length("m"))
-        .where(_valid(F.col("kind"), F.col("m")))
-        .select("rid", "ord", "kind", "start", "end", F.lower("m").alias("value"))
+        .withColumn("end", F.sum(F.col("gap").cast("long") + F.length("m")).over(order))
+        .withColumns({"l": left, "r": right})
+        .where(_valid(F.col("kind"), m))
+    )
+    start = F.col("end") - F.length("m")
+    return written(
+        rows.select("rid", "ord", "kind", start.alias("start"), "end", F.lower("m").alias("value"), F.substring("l", -F.least(near, F.length("l")), near).alias("l"), F.left("r", near).alias("r"), "n")
     )
 
 
@@ -118,17 +144,12 @@ def _terms(side: Column, first: Column, whole_left: Column, whole_right: Column)
     return F.aggregate(zipped, F.struct(F.lit(0).cast("long").alias("at"), none.alias("out")), add, lambda a: a["out"])
 
 
-def surroundings(found: DataFrame, spans: DataFrame) -> DataFrame:
+def surroundings(spans: DataFrame) -> DataFrame:
     """rid, entity, ctx (hash of the surrounding text), l, r, lf, end, at_end: the text near each base span."""
-    t, n = F.col("t"), F.length("t")
-    left_from = F.greatest(F.lit(0).cast("long"), F.col("start") - CONTEXT - 1)
-    left = F.substring(t, (left_from + 1).cast("int"), (F.col("start") - left_from).cast("int"))
-    right = F.substring(t, (F.col("end") + 1).cast("int"), F.lit(CONTEXT + 1))
-    near = spans.join(found.select("rid", "t").where("t is not null"), "rid").select(
-        "rid", F.concat_ws(":", "kind", "value").alias("entity"), left.alias("l"), right.alias("r"), left_from.alias("lf"), "end",
-        (F.col("end") + CONTEXT + 1 >= n).alias("at_end"),
+    return spans.select(
+        "rid", F.concat_ws(":", "kind", "value").alias("entity"), F.xxhash64("l", "r").alias("ctx"), "l", "r",
+        F.greatest(F.lit(0).cast("long"), F.col("start") - CONTEXT - 1).alias("lf"), "end", (F.col("end") + CONTEXT + 1 >= F.col("n")).alias("at_end"),
     )
-    return near.withColumn("ctx", F.xxhash64("l", "r"))
 
 
 def contexts(near: DataFrame) -> DataFrame:
@@ -140,22 +161,30 @@ def contexts(near: DataFrame) -> DataFrame:
     return near.select("rid", "entity", "ctx", F.explode(terms).alias("x")).select("rid", "entity", "ctx", "x.w")
 
 
-def _cuts(spans: DataFrame) -> DataFrame:
-    """rid, xs: the spans in order; of what begins inside an earlier one the rest, and `reach`, the earlier one's end."""
+def replaced(texts: DataFrame, spans: DataFrame, by: Column) -> DataFrame:
+    """rid, clean: the texts (rid, t) that have spans, with each span (rid, ord, kind, start, end) replaced by `by`."""
     before = Window.partitionBy("rid").orderBy("start", F.desc("end"), "ord").rowsBetween(Window.unboundedPreceding, -1)
-    return (
-        spans.withColumn("reach", F.coalesce(F.max("end").over(before), F.lit(0)))
+    piece = F.lit(PIECE)
+    # of what begins inside an earlier span the rest; then the parts of each cut by piece
+    cuts = (
+        spans.repartition("rid").withColumn("reach", F.coalesce(F.max("end").over(before), F.lit(0)))
         .where(F.col("end") > F.col("reach"))
-        .select("rid", F.struct(F.greatest("start", "reach").alias("start"), "end", "reach", F.concat(F.lit("["), F.upper("kind"), F.lit("]")).alias("as")).alias("x"))
-        .groupBy("rid")
-        .agg(F.sort_array(F.collect_list("x")).alias("xs"))
+        .select("rid", F.greatest("start", "reach").alias("start"), "end", by.alias("by"))
+        .select("rid", "start", "end", "by", F.explode(F.sequence(F.floor(F.col("start") / piece), F.floor((F.col("end") - 1) / piece))).alias("c"))
     )
-
-
-def _replaced(t: Column, xs: Column, by) -> Column:
-    """The text with each cut replaced by `by(cut)`."""
-    pieces = F.transform(xs, lambda x: F.concat(F.substring(t, (x["reach"] + 1).cast("int"), (x["start"] - x["reach"]).cast("int")), by(x)))
-    return F.concat(F.array_join(pieces, ""), F.substring(t, (F.element_at(xs, -1)["end"] + 1).cast("int"), F.length(t)))
+    first = F.col("c") * piece
+    inside = F.struct(
+        F.greatest(F.col("start") - first, F.lit(0)).cast("int").alias("from"), F.least(F.col("end") - first, piece).cast("int").alias("to"),
+        F.when(F.col("start") >= first, F.col("by")).otherwise("").alias("by"),
+    )
+    by_piece = cuts.groupBy("rid", "c").agg(F.sort_array(F.collect_list(inside)).alias("xs"))  # PIECE at most
+    with_spans = texts.join(spans.select("rid").distinct(), "rid", "left_semi").select("rid", F.posexplode(F.regexp_extract_all("t", F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0))).alias("at", "s"))
+    s, xs = F.col("s"), F.col("xs")
+    last = lambda i: F.when(i > 0, F.get(xs, i - 1)["to"]).otherwise(0)
+    parts = F.transform(xs, lambda x, i: F.concat(F.substring(s, last(i) + 1, x["from"] - last(i)), x["by"]))
+    new = F.when(xs.isNull(), s).otherwise(F.concat(F.array_join(parts, ""), F.substring(s, F.element_at(xs, -1)["to"] + 1, piece)))
+    both = with_spans.withColumn("at", F.col("at").cast("long")).repartition("rid").join(by_piece.withColumnRenamed("c", "at").hint("shuffle_hash"), ["rid", "at"], "left")
+    return both.groupBy("rid").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("at", new.alias("s")))), lambda x: x["s"]), "").alias("clean"))
 
 
 def together(found: DataFrame, near: DataFrame, spans: DataFrame, entities: DataFrame) -> DataFrame:
@@ -164,8 +193,8 @@ def together(found: DataFrame, near: DataFrame, spans: DataFrame, entities: Data
     held = near.join(several, "entity").groupBy("rid", "entity").agg(F.min("ctx").alias("ctx"))
     held = written(held)
     rest = (
-        found.select("rid", "t").where("t is not null").join(held.select("rid").distinct(), "rid", "left_semi").join(_cuts(spans), "rid")
-        .select("rid", F.regexp_extract_all(_replaced(F.col("t"), F.col("xs"), lambda x: F.lit("\n")), F.lit(_TERM), F.lit(0)).alias("ws"))
+        replaced(found.select("rid", "t").where("t is not null"), spans.join(held.select("rid").distinct(), "rid", "left_semi"), F.lit("\n"))
+        .select("rid", F.regexp_extract_all("clean", F.lit(_TERM), F.lit(0)).alias("ws"))
     )
     ws = F.col("ws")
     # terms beside a term tell copies of its passage apart from other passages
@@ -218,10 +247,10 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tup
     """(found, spans): the written rows, and the spans of all kinds: rid, ord, kind, start, end."""
     found = matches(docs, id_col, text_col)
     base = base_spans(found)
-    near = written(surroundings(found, base))
+    near = surroundings(base)
     told = disclosing(docs, found, near, base, text_col)
     listed = near.select("rid", "entity").distinct().join(told, "entity").select("rid", "w").distinct()
-    return found, outside_base(base.drop("value"), occurrences(found, written(listed)))
+    return found, outside_base(base.select("rid", "ord", "kind", "start", "end"), occurrences(found, written(listed)))
 
 
 def occurrences(found: DataFrame, listed: DataFrame) -> DataFrame:
@@ -276,13 +305,14 @@ def report(found: DataFrame, spans: DataFrame) -> DataFrame:
 def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """`docs` with every span replaced by its kind, as [EMAIL]; all other columns and all rows stay."""
     found, spans = find(docs, id_col, text_col)
-    clean = _replaced(F.col("t"), F.col("xs"), lambda x: x["as"])
-    # rows equal in id and text are changed alike, so these two identify a row well enough
-    least = F.lit(-(1 << 63))
-    changed = found.join(_cuts(spans), "rid").select(F.coalesce(F.col("doc_id").cast("long"), least).alias("_k"), F.col("th").alias("_th"), clean.alias("_clean")).dropDuplicates(["_k", "_th"])
+    clean = replaced(found.select("rid", "t").where("t is not null"), spans, F.concat(F.lit("["), F.upper("kind"), F.lit("]")))
+    # rows equal in id and text are changed alike
+    key = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("-"))
+    changed = found.select("rid", key("doc_id").alias("_k"), F.col("doc_id").isNull().alias("_none"), F.col("th").alias("_th")).join(clean, "rid").groupBy("_k", "_none", "_th").agg(F.min("clean").alias("_clean"))
     packed = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")  # names of the input can't clash with ours
-    keyed = docs.select(packed, F.coalesce(F.col(id_col).cast("long"), least).alias("key"), F.xxhash64(text_or_empty(text_col)).alias("h"))
-    return keyed.join(changed.hint("shuffle_hash"), (F.col("key") == F.col("_k")) & (F.col("h") == F.col("_th")), "left").select(
+    keyed = docs.select(packed, key(id_col).alias("key"), F.col(id_col).isNull().alias("none"), _two_hashes(text_or_empty(text_col)).alias("h"))
+    same = (F.col("key") == F.col("_k")) & (F.col("none") == F.col("_none")) & (F.col("h") == F.col("_th"))
+    return keyed.join(changed.hint("shuffle_hash"), same, "left").select(
         *[(F.coalesce("_clean", f"row.`{c}`") if c == text_col else F.col(f"row.`{c}`")).alias(c) for c in docs.columns]
     )
 

@@ -110,6 +110,40 @@ def test_pii_base_spans(spark):
         assert r.base_sha256 == hashlib.sha256(base_spans(texts[r.doc_id]).encode()).hexdigest(), texts[r.doc_id]
 
 
+def test_pii_contexts_and_replacements_equal_slices(spark, monkeypatch):
+    """Contexts come from the gaps, and texts are cut piece by piece; here by positions in the whole text."""
+    rng = random.Random(9)
+    parts = ["a@b.co", "1.2.3.4", "4111 1111 1111 1111", "+1 (988) 555-2485", "é", "😀", " ", "word", ", ", "x" * 70, " the quick brown fox ", "\n"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(60))) for _ in range(120)] + ["a@b.co " * 700, "x" * 3000 + "@y.zz"]
+    monkeypatch.setattr(pii, "PIECE", 50)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = pii.matches(df)
+    base = pii.base_spans(found)
+    rows = base.join(found.select("rid", "doc_id"), "rid").collect()
+    assert len(rows) > 1000
+    for r in rows:
+        t = texts[r.doc_id]
+        assert (t[r.start : r.end].lower(), t[max(0, r.start - 65) : r.start], t[r.end : r.end + 65], len(t)) == (r.value, r.l, r.r, r.n)
+    clean = {r.doc_id: r.text for r in pii.sanitise(df).collect()}
+    order = [*pii.KINDS, "term"]
+    listed = {r.doc_id: [x.split(":") for x in r.spans.split(",") if x] for r in pii.report(*pii.find(df)).collect()}
+    for i, t in enumerate(texts):
+        out, at = "", 0
+        for a, b, _, kind in sorted((int(a), -int(b), order.index(k), k) for k, a, b in listed[i]):
+            if -b > at:
+                out, at = out + t[at : max(a, at)] + f"[{kind.upper()}]", -b
+        assert clean[i] == out + t[at:]
+
+
+def test_pii_on_a_text_of_many_spans(spark):
+    """Time in proportion to the spans of one text: 100,000 addresses."""
+    text = " ".join(f"u{i % 977}@h{i % 13}.org" for i in range(100_000))
+    df = spark.createDataFrame([(1, text), (2, "plain")], "doc_id long, text string")
+    got = {r.doc_id: r for r in pii.report(*pii.find(df)).collect()}
+    assert got[1].n_email == 100_000 and got[2].n_email == 0
+    assert {r.doc_id: r.text.count("[EMAIL]") for r in pii.sanitise(df).collect()} == {1: 100_000, 2: 0}
+
+
 def test_pii_disclosing_term(spark):
     rng = random.Random(1)
     filler = lambda: " ".join(rng.choice(["alpha", "beta", "gamma", "delta"]) for _ in range(20))
