@@ -7,6 +7,8 @@ found by comparing the suffixes at their anchors: about one suffix in MATCH / 2.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 
 #: Length of the repeated strings, and of the grams that anchor them.
@@ -43,16 +45,14 @@ def _window_minima(key: np.ndarray) -> np.ndarray:
     return np.minimum(key[:-rest], key[rest:]) if rest else key
 
 
-def find(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Anchors in order of text and place: text, place, first and last window start, hash of the gram.
+def parts(texts: list[bytes]) -> Iterator[tuple[np.ndarray, ...]]:
+    """Anchors in order of text and place, in parts of about TILE bytes, whatever the texts' lengths: text, place, first
+    and last window start, hash of the gram, and the number of the text's part.
 
-    An anchor may come in two rows with adjacent windows where a long text is cut for hashing.
+    An anchor may come in two parts with adjacent windows where a long text is cut.
     """
-    out: list[tuple[np.ndarray, ...]] = []
-    segments: list[tuple[int, int, bytes]] = []
-    held = 0
 
-    def run() -> None:
+    def run(segments: list[tuple[int, int, bytes]]) -> tuple[np.ndarray, ...]:
         flat = np.frombuffer(b"".join(s for _, _, s in segments), np.uint8)
         h = gram_hashes(flat)
         place = _window_minima((h & _HIGH) | np.arange(len(h), dtype=np.uint64)) & np.uint64(0xFFFFFFFF)
@@ -67,18 +67,24 @@ def find(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
         last = np.concatenate([first[1:], [len(p)]]) - 1
         segment = np.searchsorted(begins, starts[first], "right") - 1
         text = np.array([i for i, _, _ in segments])[segment]
-        shift = np.array([b for _, b, _ in segments])[segment] - begins[segment]
-        out.append((text, p[first] + shift, starts[first] + shift, starts[last] + shift, h[p[first]].view(np.int64)))
+        from_ = np.array([b for _, b, _ in segments])[segment]
+        shift = from_ - begins[segment]
+        return text, p[first] + shift, starts[first] + shift, starts[last] + shift, h[p[first]].view(np.int64), from_ // TILE
 
+    segments: list[tuple[int, int, bytes]] = []
+    held = 0
     for i, t in enumerate(texts):
         for a in range(0, len(t) - MATCH + 1, TILE):
             segments.append((i, a, t[a : a + TILE + MATCH - 1]))
             held += len(segments[-1][2])
             if held >= TILE:
-                run()
+                yield run(segments)
                 segments, held = [], 0
     if segments:
-        run()
-    if not out:
-        return tuple(np.zeros(0, np.int64) for _ in range(5))
-    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+        yield run(segments)
+
+
+def find(texts: list[bytes]) -> tuple[np.ndarray, ...]:
+    """All `parts` as one: text, place, first and last window start, hash of the gram."""
+    out = list(parts(texts))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))[:5] if out else tuple(np.zeros(0, np.int64) for _ in range(5))

@@ -10,12 +10,14 @@ window agree in o bytes to the left and MATCH - o to the right, which the common
 orders tell for all o at once. Groups cut by a bucket's boundary send their windows' fingerprints to a comparison
 across boundaries.
 
-Segments of equal bytes within one Arrow batch travel once. Texts that are copies of one another are wholly covered;
-they are found by hash and length.
-
-Defined results: a null text is an empty one; texts under MATCH bytes lose nothing; repeated rows are occurrences of
-each other; a null doc_id is kept; an empty table gives an empty result; other columns are ignored by `removed` and
-kept by `strip`.
+Segments of equal bytes that are read together travel once. Texts that are copies of one another are wholly covered;
+they are found by SHA-256.
+
+Defined results: a null text is an empty one; texts under MATCH bytes lose nothing; a very long text is read in parts, so
+that memory beside the text doesn't grow with it; all occurrences of a repeated string go, so there are no ties;
+repeated rows are occurrences of each other; two rows are taken for the same if their ids and 64-bit hashes of their
+texts agree; ids are cast to long; a null doc_id is kept; an empty table gives an empty result; other columns are
+ignored by `removed` and kept by `strip`.
 """
 
 from __future__ import annotations
@@ -40,6 +42,8 @@ LEAD = 16
 BUCKET = 20_000
 #: Tasks that share a hot leading key at most.
 SALTS = 4096
+#: Anchors that are turned to segments at a time; what tells the parts of a long text apart.
+_ANCHORS, _PART = 20_000, 0x5851F42D4C957F2D
 _LEFT = MATCH - K
 
 
@@ -47,18 +51,21 @@ _LEFT = MATCH - K
 
 
 def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """ctx, least and greatest text hash, whether one text has it more than once; one row for each gram of a batch."""
+    """ctx, least and greatest text hash, whether one text has it more than once; one row for each gram of a part.
+
+    A further part of a long text counts as a text of its own, so that grams of two parts count as repeated.
+    """
     for batch in batches:
         th = np.asarray(batch.column("th"))
-        text, _, _, _, ctx = anchors.find(batch.column("t").cast(pa.binary()).to_pylist())
-        order = np.lexsort((text, ctx))
-        c, t = ctx[order], text[order]
-        first = np.flatnonzero(np.concatenate([[True], c[1:] != c[:-1]])) if len(c) else np.zeros(0, np.int64)
-        if len(first):
-            of = th[t]
-            again = np.concatenate([(c[1:] == c[:-1]) & (t[1:] == t[:-1]), [False]])
-            least, most, many = np.minimum.reduceat(of, first), np.maximum.reduceat(of, first), np.logical_or.reduceat(again, first)
-            yield pa.RecordBatch.from_arrays([pa.array(c[first]), pa.array(least), pa.array(most), pa.array(many)], ["ctx", "least", "most", "many"])
+        for text, _, _, _, ctx, part in anchors.parts(batch.column("t").cast(pa.binary()).to_pylist()):
+            order = np.lexsort((text, ctx))
+            c, t = ctx[order], text[order]
+            first = np.flatnonzero(np.concatenate([[True], c[1:] != c[:-1]])) if len(c) else np.zeros(0, np.int64)
+            if len(first):
+                of = th[t] + part[order] * _PART
+                again = np.concatenate([(c[1:] == c[:-1]) & (t[1:] == t[:-1]), [False]])
+                least, most, many = np.minimum.reduceat(of, first), np.maximum.reduceat(of, first), np.logical_or.reduceat(again, first)
+                yield pa.RecordBatch.from_arrays([pa.array(c[first]), pa.array(least), pa.array(most), pa.array(many)], ["ctx", "least", "most", "many"])
 
 
 # --- second scan: segments
@@ -82,29 +89,34 @@ def union(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 def _segments(words):
+    names = [c.split()[0] for c in _SEGMENTS.split(", ")]
+
+    def out(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _SEGMENT_TYPES, strict=True)], names)
+
     def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column("t").cast(pa.binary()).to_pylist()
             ks, ths = batch.column("k").to_pylist(), batch.column("th").to_pylist()
-            rows = [(META, k, th, len(t), hashlib.sha256(t).hexdigest(), None, None, None, None, None, None) for k, th, t in zip(ks, ths, texts, strict=True)]
-            text, place, first, last, ctx = anchors.find(texts)
-            hit = bitmap.passes(words.value, ctx)
-            same: dict[tuple[bytes, int], list[tuple[int, int, int]]] = defaultdict(list)
-            for i, p, a, b in zip(*(x[hit].tolist() for x in (text, place, first, last)), strict=True):
-                same[texts[i][a : b + MATCH], p - a].append((i, a, b + MATCH))
-            found: dict[int, list[tuple[int, int]]] = defaultdict(list)
-            for (seg, off), at in same.items():
-                i, a, b = at[0]
-                rows.append((SEGMENT, ks[i], ths[i], None, None, a, b, seg[off : off + LEAD], seg, off, len(at) > 1))
-                if len(at) > 1:
-                    for i, a, b in at:
-                        found[i].append((a, b))
-            for i, spans in found.items():
-                rows += [(FOUND, ks[i], ths[i], None, None, a, b, None, None, None, None) for a, b in union(spans)]
-            # large batches of long texts leave in parts
-            for x in range(0, len(rows), 20_000):
-                columns = zip(*rows[x : x + 20_000], strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _SEGMENT_TYPES, strict=True)], [c.split()[0] for c in _SEGMENTS.split(", ")])
+            yield out([(META, k, th, len(t), hashlib.sha256(t).hexdigest(), None, None, None, None, None, None) for k, th, t in zip(ks, ths, texts, strict=True)])
+            for text, place, first, last, ctx, _ in anchors.parts(texts):
+                hits = np.flatnonzero(bitmap.passes(words.value, ctx))
+                # so many at a time, as a text of one character has an anchor at every byte
+                for x in range(0, len(hits), _ANCHORS):
+                    rows: list[tuple] = []
+                    same: dict[tuple[bytes, int], list[tuple[int, int, int]]] = defaultdict(list)
+                    for i, p, a, b in zip(*(c[hits[x : x + _ANCHORS]].tolist() for c in (text, place, first, last)), strict=True):
+                        same[texts[i][a : b + MATCH], p - a].append((i, a, b + MATCH))
+                    found: dict[int, list[tuple[int, int]]] = defaultdict(list)
+                    for (seg, off), at in same.items():
+                        i, a, b = at[0]
+                        rows.append((SEGMENT, ks[i], ths[i], None, None, a, b, seg[off : off + LEAD], seg, off, len(at) > 1))
+                        if len(at) > 1:
+                            for i, a, b in at:
+                                found[i].append((a, b))
+                    for i, spans in found.items():
+                        rows += [(FOUND, ks[i], ths[i], None, None, a, b, None, None, None, None) for a, b in union(spans)]
+                    yield out(rows)
 
     return segments
 
@@ -320,7 +332,7 @@ def _cut(docs: DataFrame, by_row: DataFrame, id_col: str, text_col: str) -> Data
 
 
 def _copies(meta: DataFrame) -> DataFrame:
-    return meta.groupBy("th", "n_bytes").agg(F.count(F.lit(1)).alias("copies")).where((F.col("copies") > 1) & (F.col("n_bytes") >= MATCH))
+    return meta.groupBy("sha", "n_bytes").agg(F.count(F.lit(1)).alias("copies")).where((F.col("copies") > 1) & (F.col("n_bytes") >= MATCH))
 
 
 def removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -329,7 +341,7 @@ def removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     by_row = written(by_row)
     digests = _cut(docs, by_row, id_col, text_col).mapInArrow(released(_digest), "k long, th long, runs long, n_kept long, kept_sha string").dropDuplicates(["k", "th"])
     whole = F.col("copies").isNotNull()
-    return meta.join(_copies(meta), ["th", "n_bytes"], "left").join(digests, ["k", "th"], "left").select(
+    return meta.join(_copies(meta), ["sha", "n_bytes"], "left").join(digests, ["k", "th"], "left").select(
         F.when(F.col("k") != -(1 << 63), F.col("k")).alias("doc_id"),
         "n_bytes",
         F.when(whole, F.col("n_bytes")).otherwise(F.coalesce(F.col("n_bytes") - F.col("n_kept"), F.lit(0))).alias("n_removed"),
@@ -344,7 +356,7 @@ def strip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     Only rows that lose something are exchanged, once and with one copy of their text; the others pass by.
     """
     meta, by_row = spans(docs, id_col, text_col)
-    copies = meta.join(_copies(meta), ["th", "n_bytes"]).select("k", "th", F.col("n_bytes").alias("all")).distinct()
+    copies = meta.join(_copies(meta), ["sha", "n_bytes"]).select("k", "th", F.col("n_bytes").alias("all")).distinct()
     whole = F.array(F.struct(F.lit(0).cast("long").alias("start"), F.col("all").alias("end")))
     covered = written(by_row.join(copies, ["k", "th"], "full").select("k", "th", F.when(F.col("all").isNotNull(), whole).otherwise(F.col("spans")).alias("spans")))
     bits = bitmap.size(covered.count())
