@@ -10,8 +10,9 @@ configuration lives no longer than the longest token, which bounds the lookahead
 Decoding concatenates the tokens' bytes; a machine with the states of UTF-8 holds back an unfinished character at the
 end of a block, so text streams out without ever splitting a code point.
 
-Defined results: a null text is an empty one, with no tokens; every whole text is encoded, whatever its length;
-repeated rows and null ids are kept; an empty table gives an empty result; other columns are ignored.
+Defined results: a null text is an empty one, with no tokens; every whole text is encoded, whatever its length (in one
+task's memory, with its ids); of merges of equal rank the leftmost comes first; ids are cast to long; repeated rows and
+null ids are kept; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,8 +29,9 @@ from pyspark.sql import functions as F
 from revlens.llm.common import ready, table, text_or_empty
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
-#: States that a worker keeps before it starts afresh, and pieces of text whose ids it keeps.
-KEPT_STATES, KEPT_PIECES = 200_000, 400_000
+#: States that a worker keeps before it starts afresh; bytes of each of its two tables of parts of text with their ids,
+#: longest part that is kept, and what an entry takes beside its contents.
+KEPT_STATES, KEPT_BYTES, LONGEST_KEPT, _ENTRY = 200_000, 72 << 20, 256, 200
 #: Bytes read at least before settled tokens are emitted; most matches of the pattern are shorter.
 SETTLE = 64
 #: Tokens decoded at a time.
@@ -170,7 +172,7 @@ class Utf8Stream:
 class ByteBpe:
     """Whole texts to ids and back."""
 
-    def __init__(self, path: str, pattern: str, keep: int = KEPT_PIECES) -> None:
+    def __init__(self, path: str, pattern: str, keep: int = KEPT_BYTES) -> None:
         import re
 
         import regex
@@ -185,7 +187,7 @@ class ByteBpe:
         self._match = regex.compile(explicit).findall
         # no match crosses the end of such a part, and within a part the matches are the same as in the whole text
         self._parts = re.compile(f" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+").findall
-        self._keep, self._known = keep, {}
+        self._keep, self._held, self._known, self._old = keep, 0, {}, {}
 
     def _part(self, part: str) -> bytes:
         encode = self._transducer.encode
@@ -194,19 +196,27 @@ class ByteBpe:
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit bytes."""
-        known = self._known
-        if len(known) > self._keep:
-            known.clear()
         parts = self._parts(text)
-        out = list(map(known.get, parts))
+        out = list(map(self._known.get, parts))
         for i, found in enumerate(out) if None in out else ():
             if found is None:
-                found = known.get(parts[i])
-                if found is None:
-                    found = known[parts[i]] = self._part(parts[i])
-                out[i] = found
+                out[i] = self._met(parts[i])
         return b"".join(out)
 
+    def _met(self, part: str) -> bytes:
+        """Ids of a part that the first table may lack; a full table becomes the old one, from which parts come back."""
+        found = self._known.get(part)
+        if found is None:
+            found = self._old.pop(part, None)
+            if found is None:
+                found = self._part(part)
+            if len(part) <= LONGEST_KEPT:
+                self._held += 2 * len(part) + len(found) + _ENTRY
+                if self._held > self._keep:
+                    self._old, self._known, self._held = self._known, {}, 0
+                self._known[part] = found
+        return found
+
     def decode_blocks(self, ids: bytes) -> Iterator[bytes]:
         """The bytes of a block of tokens after another."""
         numbers = np.frombuffer(ids, "<u4")
@@ -240,8 +250,8 @@ def _round_trip(path: str, pattern: str):
                 n.append(len(ids) // 4)
                 of_ids.append(hashlib.sha256(ids).hexdigest())
                 decoded = hashlib.sha256()
-                for text in bpe.decode(ids):
-                    decoded.update(text.encode("utf-8", "surrogatepass"))
+                for block in bpe.decode_blocks(ids):
+                    decoded.update(block)
                 of_bytes.append(decoded.hexdigest())
             columns = [batch.column("id"), pa.array(n, pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_bytes, pa.string())]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
