@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from revlens.llm.common import table, text_or_empty, written
-from revlens.llm.url_filter import _block, _mask, bloom_filter
+from revlens.llm.url_filter import _block, _mask, blocks_for, bloom_filter
 
 #: kind, pattern, what a text must contain. Possessive quantifiers keep Java's matcher iterative and linear; none of
 #: them changes a match. A match starts where its first run of characters starts, or where the last match ended.
@@ -47,8 +47,6 @@ TERM_LETTERS = 3
 PIECE = 1024
 #: Matches that the context of a match can touch on either side: each has 5 code points or more.
 _BESIDE = (CONTEXT + 1) // 5
-#: 64-bit blocks of the Bloom filter of candidate terms: 512 KB whatever the corpus.
-TERM_BLOCKS = 1 << 16
 _TERM = r"[\p{L}\p{N}]++"
 
 
@@ -223,11 +221,12 @@ def disclosing(docs: DataFrame, found: DataFrame, near: DataFrame, spans: DataFr
     )
     pairs = written(pairs)
     listed = pairs.select(F.col("w").alias("rule_host"), F.lit("").alias("rule_path")).distinct()
-    bloom = bloom_filter(listed, TERM_BLOCKS).select("bloom")
-    possible = lambda w: F.get("bloom", _block(w, TERM_BLOCKS)).bitwiseAND(_mask(w)) == _mask(w)
+    blocks = blocks_for(listed.count())
+    bloom = bloom_filter(listed, blocks).select("bloom")
+    possible = lambda w: F.get("bloom", _block(w, blocks)).bitwiseAND(_mask(w)) == _mask(w)
     df_t = (
         docs.select(text_or_empty(text_col).alias("t"))
-        .crossJoin(F.broadcast(bloom))  # one row of 512 KB
+        .crossJoin(F.broadcast(bloom))  # one row of 8 MB at most
         .select(F.explode(F.array_distinct(F.filter(F.split(F.lower("t"), r"[^\p{L}\p{N}]+"), possible))).alias("w"))
         .groupBy("w")
         .agg(F.count(F.lit(1)).alias("df_t"))

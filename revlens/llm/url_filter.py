@@ -10,7 +10,8 @@ exploded and joined, which removes the filter's false positives. The longest fit
 
 Defined results: a null URL, or one without "://", has empty host and path and so fits no entry; an URL that
 occurs in many rows is judged once and the verdict joined back, so repeated rows keep their number; an empty
-table gives an empty result; other columns of the input are ignored; an empty list gives the default verdict.
+table gives an empty result; very long URLs are read whole; of entries of equal length that fit, that of the longer host
+decides; other columns of the input are ignored; an empty list gives the default verdict.
 """
 
 from __future__ import annotations
@@ -32,8 +33,9 @@ RULES = (
 )
 #: Verdict on URLs that no entry fits.
 DEFAULT_VERDICT = "allow"
-#: Size of the Bloom filter in 64-bit blocks: a fixed 512 KB at most, however long the list is.
-BLOOM_BLOCKS = 1 << 16
+#: Bits of the Bloom filter for each entry, and its greatest size in 64-bit blocks: 8 MB, for half a million entries at
+#: full precision. Of longer lists more URLs are joined for nothing; the result is the same.
+BITS_AN_ENTRY, MOST_BLOCKS = 64, 1 << 20
 #: Bits set in its block by each entry.
 BLOOM_BITS = 4
 
@@ -65,7 +67,12 @@ def _mask(key: Column) -> Column:
     return mask
 
 
-def bloom_filter(listed: DataFrame, blocks: int = BLOOM_BLOCKS) -> DataFrame:
+def blocks_for(entries: int) -> int:
+    """Blocks of the filter of so many entries: a power of two."""
+    return min(MOST_BLOCKS, max(64, 1 << (entries * BITS_AN_ENTRY // 64).bit_length()))
+
+
+def bloom_filter(listed: DataFrame, blocks: int) -> DataFrame:
     """One row: `bloom`, the bits of each block, and `lengths`, the path lengths in the list.
 
     The array has `blocks` entries, whatever the size of the list, so it can be broadcast.
@@ -81,19 +88,8 @@ def bloom_filter(listed: DataFrame, blocks: int = BLOOM_BLOCKS) -> DataFrame:
     return bits.crossJoin(listed.agg(F.collect_set(F.length("rule_path")).alias("lengths")))  # one row beside one row
 
 
-def filter_urls(pages: DataFrame, listed: DataFrame, id_col: str = "page_id", url_col: str = "url", blocks: int = BLOOM_BLOCKS, default: str = DEFAULT_VERDICT) -> DataFrame:
-    """Verdict of each row of `pages`. `listed`: rule_host, rule_path, verdict.
-
-    Two entries with the same host and path: "allow" wins.
-    """
-    host, path = host_and_path(F.col("url"))
-    rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).cast("string").alias("url"))
-    entries = (
-        listed.where("rule_host is not null and rule_path is not null")
-        .groupBy("rule_host", "rule_path")
-        .agg(F.min("verdict").alias("verdict"))
-    )
-    parts = rows.select("page_id", host.alias("host"), path.alias("path"))
+def possible_hits(parts: DataFrame, entries: DataFrame, blocks: int) -> DataFrame:
+    """`parts` (host, path) with `hits`: the candidates that pass the Bloom filter, as (rule_host, rule_path)."""
     labels = F.split("host", r"\.")
     suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.concat_ws(".", F.slice(labels, i, F.size(labels))))
     lengths = F.filter("lengths", lambda n: n <= F.length("path"))
@@ -106,19 +102,40 @@ def filter_urls(pages: DataFrame, listed: DataFrame, id_col: str = "page_id", ur
         mask = _mask(key)
         return F.get("bloom", _block(key, blocks)).bitwiseAND(mask) == mask
 
+    # one row of at most 8 * blocks bytes; the test runs where the rows are read, before anything is exchanged
+    return parts.crossJoin(F.broadcast(bloom_filter(entries, blocks))).withColumn("hits", F.filter(candidates, possible)).drop("bloom", "lengths")
+
+
+def filter_urls(pages: DataFrame, listed: DataFrame, id_col: str = "page_id", url_col: str = "url", blocks: int | None = None, default: str = DEFAULT_VERDICT) -> DataFrame:
+    """Verdict of each row of `pages`. `listed`: rule_host, rule_path, verdict.
+
+    Two entries with the same host and path: "allow" wins.
+    """
+    host, path = host_and_path(F.col("url"))
+    rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).cast("string").alias("url"))
+    entries = (
+        listed.where("rule_host is not null and rule_path is not null")
+        .groupBy("rule_host", "rule_path")
+        .agg(F.min("verdict").alias("verdict"))
+    )
+    parts = rows.select("page_id", host.alias("host"), path.alias("path"))
+    tested = possible_hits(parts, entries, blocks or blocks_for(entries.count()))
+    some = F.size("hits") > 0
     judged = (
-        parts.where("host <> ''").select("host", "path").distinct()
-        .crossJoin(F.broadcast(bloom_filter(entries, blocks)))  # one row of at most 8 * blocks bytes
-        .select("host", "path", F.explode(F.filter(candidates, possible)).alias("c"))
+        tested.where(some).groupBy("host", "path").agg(F.first("hits").alias("hits"))  # equal URLs have equal hits
+        .select("host", "path", F.explode("hits").alias("c"))
         .select("host", "path", "c.*")
-        .join(entries, ["rule_host", "rule_path"])
+        .join(entries.hint("shuffle_hash"), ["rule_host", "rule_path"])
         .groupBy("host", "path")
         .agg(F.max_by(F.struct(F.concat("rule_host", "rule_path").alias("rule"), "verdict"), F.struct(F.length("rule_host") + F.length("rule_path"), F.length("rule_host"))).alias("best"))
         .select(F.col("host").alias("h"), F.col("path").alias("p"), "best.rule", "best.verdict")
     )
-    return parts.join(judged, (F.col("host") == F.col("h")) & (F.col("path") == F.col("p")), "left").select(
+    # rows without a possible hit, as all without a host, need no exchange
+    with_hits = tested.where(some).join(judged.hint("shuffle_hash"), (F.col("host") == F.col("h")) & (F.col("path") == F.col("p")), "left").select(
         "page_id", "host", "path", "rule", F.coalesce("verdict", F.lit(default)).alias("verdict")
     )
+    none = F.lit(None).cast("string")
+    return with_hits.union(tested.where(~some).select("page_id", "host", "path", none.alias("rule"), F.lit(default).alias("verdict")))
 
 
 def rule_table(spark: SparkSession, rules: Iterable[tuple[str, str, str]] = RULES) -> DataFrame:

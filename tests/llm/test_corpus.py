@@ -247,6 +247,15 @@ def test_transducer_equals_merging():
         assert "".join(coder.decode(ids)) == t
 
 
+def test_texts_without_spaces_and_full_tables():
+    path, pattern = bpe.vocabulary()
+    small, large = bpe.ByteBpe(path, pattern, 3000), bpe.ByteBpe(path, pattern)
+    texts = ["word number %d of 中文 texts" % (i % 70) for i in range(300)] + ["中文字符没有空格" * 40_000, "x" * 300_000]
+    assert [small.encode(t) for t in texts] == [large.encode(t) for t in texts]
+    assert max(map(len, large._known)) <= bpe.LONGEST_KEPT and len(small._known) < 20
+    assert b"".join(small.decode_blocks(small.encode(texts[-2]))) == texts[-2].encode()
+
+
 def test_utf8_stream_never_splits_a_character():
     data = "aé中😀z".encode()
     for cut in range(len(data) + 1):
@@ -423,6 +432,25 @@ def test_stripped_texts_equal_brute_force(spark):
             assert hashlib.sha256(got[i].encode()).hexdigest() == kept
 
 
+def test_very_long_texts_of_one_character(spark):
+    """Memory of a worker stays in bounds on a text with an anchor at every byte; other texts share its strings."""
+    texts = ["a" * 6_000_000, "b" * 199 + "a" * 200 + "c", "ab" * 100_000, "d" + "ba" * 150]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2)
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans) for r in suffix_dedup.removed(df).collect()}
+    assert got == {0: (6_000_000, 6_000_000, 1), 1: (400, 200, 1), 2: (200_000, 200_000, 1), 3: (301, 300, 1)}
+
+
+def test_a_string_twice_in_a_very_long_text(spark, monkeypatch):
+    """Occurrences in different parts of one text are found."""
+    rng = random.Random(12)
+    word = lambda n: "".join(rng.choice("abcdefghijklmnop") for _ in range(n))
+    again = word(230)
+    text = word(1_200_000) + again + word(1_100_000) + again + word(100)
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    r = suffix_dedup.removed(df).first()
+    assert r.n_spans == 2 and 460 <= r.n_removed <= 464
+
+
 def test_a_hot_group_cut_by_runs_and_buckets(monkeypatch):
     """Spans of one bucket equal local spans plus the comparison across boundaries when the group is cut."""
     rng = random.Random(4)
@@ -547,6 +575,18 @@ def test_url_edge_cases(spark):
     assert url_filter.filter_urls(pages.limit(0), url_filter.rule_table(spark)).count() == 0
 
 
+def test_a_long_list_of_urls(spark):
+    """100,000 entries: the filter lets few others pass, and none of those decides anything."""
+    listed = spark.range(100_000).selectExpr("concat('h', id, '.org') as rule_host", "concat('/p', id % 100) as rule_path", "'block' as verdict")
+    blocks = url_filter.blocks_for(100_000)
+    pages = spark.range(40_000).selectExpr("id as page_id", "case when id % 4 = 0 then concat('http://a.h', id, '.org/p', id % 100, '/x') when id % 4 = 1 then null else concat('http://x', id, '.net/p', id % 7) end as url")
+    got = {r.verdict: r.n for r in url_filter.filter_urls(pages, listed).groupBy("verdict").count().withColumnRenamed("count", "n").collect()}
+    assert got == {"block": 10_000, "allow": 30_000}
+    others = pages.where("page_id % 4 > 1").selectExpr("concat('x', page_id, '.net') as host", "concat('/p', page_id % 7) as path")
+    passed = url_filter.possible_hits(others, listed, blocks).where("size(hits) > 0").count()
+    assert passed < 0.02 * 20_000
+
+
 def exact_top_k(rows, every=100, k=10):
     """By Python's integers, each row a query of its own."""
     import math
