@@ -158,8 +158,11 @@ _add("txt3_url", lambda s, d: _pages(s, d).select("page_id", clean.replace_urls(
 _add("txt4_email", lambda s, d: _docs(s, d).select("doc_id", F.md5(clean.replace_emails(F.col("text"))).alias("h")), r"SELECT doc_id, md5(regexp_replace(text, '[^\s\x{a0}]+@[^\s\x{a0}]+\.[^\s\x{a0}]+', '[EMAIL]', 'g')) AS h FROM documents")
 _on_raw("txt6_slang", lambda r: r.select("id", clean.expand_slang(F.col("original_text")).alias("t")),
         "SELECT id, array_to_string(list_transform(string_split(original_text, ' '), lambda w: coalesce(map_extract(MAP {" + ", ".join(f"'{k}': '{v}'" for k, v in lx.SLANG.items()) + "}, lower(w))[1], w)), ' ') AS t FROM raw")
-_on_raw("txt7_repeated_chars", lambda r: r.select("id", clean.fix_repeated_characters(F.concat("original_text", F.lit("oooooh"))).alias("t")))
-_on_raw("txt8_repeated_words", lambda r: r.select("id", clean.fix_repeated_words(F.concat(F.lit("so so SO "), "original_text")).alias("t")))
+_RUNS = "".join(f", c{i} AS (SELECT id, regexp_replace(t, '{c}{{4,}}', '{c}{c}', 'g') AS t FROM c{i - 1})" for i, c in enumerate("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ!,", 1))
+_on_raw("txt7_repeated_chars", lambda r: r.select("id", clean.fix_repeated_characters(F.concat("original_text", F.lit("oooooh"))).alias("t")),
+        f", c0 AS (SELECT id, original_text || 'oooooh' AS t FROM raw){_RUNS} SELECT * FROM c54")
+_on_raw("txt8_repeated_words", lambda r: r.select("id", clean.fix_repeated_words(F.concat(F.lit("so so SO "), "original_text")).alias("t")),
+        "SELECT id, array_to_string(list_transform(list_filter(range(1, len(w) + 1), lambda i: NOT coalesce(i > 1 AND l[i] = l[i - 1] AND ((i > 2 AND l[i] = l[i - 2]) OR l[i] = l[i + 1]), false)), lambda i: w[i]), ' ') AS t FROM (SELECT id, w, list_transform(w, lambda x: lower(x)) AS l FROM (SELECT id, string_split('so so SO ' || original_text, ' ') AS w FROM raw))")
 _on_raw("txt9_punctuation", lambda r: r.select("id", clean.fix_punctuation(F.col("original_text")).alias("t")), r"SELECT id, regexp_replace(original_text, '[!?.]{2,}([!?.])', '\1.', 'g') AS t FROM raw")
 _on_raw("txt12_run_on", lambda r: r.select("id", clean.split_run_on(F.repeat(F.regexp_replace("original_text", "[.!]", ""), 6)).alias("t")),
         r"SELECT id, CASE WHEN length(t) > 200 THEN regexp_replace(t, '\b(but|however|although|also|and then|then|moreover|furthermore)\b', '. \1', 'gi') ELSE t END AS t FROM (SELECT id, repeat(regexp_replace(original_text, '[.!]', '', 'g'), 6) AS t FROM raw)")
@@ -177,26 +180,67 @@ _W = "list_filter(string_split(original_text, ' '), lambda x: x <> '')"
 
 
 def _signal(name: str, fn, sql: str | None) -> None:
-    _on_raw(name, lambda r: r.withColumn("w", words("original_text")).select("id", fn(F.col("original_text"), F.col("w"))[0].cast("double").alias("value")), f"SELECT id, ({sql})::DOUBLE AS value FROM (SELECT *, {_W} AS w FROM raw)" if sql else None)
+    _on_raw(name, lambda r: r.withColumn("w", words("original_text")).select("id", fn(F.col("original_text"), F.col("w"))["v"].cast("double").alias("value")), f"SELECT id, ({sql})::DOUBLE AS value FROM (SELECT *, {_W} AS w FROM raw)" if sql else None)
 
 
+# runs of a word three times or more in a list
+_SAME_WORDS = "len(list_filter(range(1, len({w}) - 1), lambda i: ({w})[i] = ({w})[i + 1] AND ({w})[i] = ({w})[i + 2] AND (i = 1 OR ({w})[i] <> ({w})[i - 1])))"
 _signal("fk1_too_short", lambda t, w: fake.too_short(w), "CASE WHEN len(w) <= 3 THEN 1.0 WHEN len(w) <= 6 THEN 0.5 ELSE 0 END")
-_add("fk2_too_long", lambda s, d: _docs(s, d).withColumn("w", words("text")).select("doc_id", fake.too_long(F.col("w"))[0].alias("value")),
+_add("fk2_too_long", lambda s, d: _docs(s, d).withColumn("w", words("text")).select("doc_id", fake.too_long(F.col("w"))["v"].alias("value")),
      r"SELECT doc_id, (CASE WHEN n > 500 THEN 0.8 WHEN n > 300 THEN 0.4 ELSE 0 END)::DOUBLE AS value FROM (SELECT doc_id, len(list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '')) AS n FROM documents)")
 _UPPER, _LETTERS = (f"length(regexp_replace(original_text, '[^{c}]', '', 'g'))" for c in ("A-Z", "A-Za-z"))
 _signal("fk3_all_caps", lambda t, w: fake.all_caps(t, w), f"CASE WHEN len(w) <= 4 OR {_LETTERS} <= 5 THEN 0 WHEN {_UPPER} / {_LETTERS} > 0.8 THEN 1.0 WHEN {_UPPER} / {_LETTERS} > 0.5 THEN 0.5 ELSE 0 END")
 _signal("fk4_repeated_chars", lambda t, w: fake.repeated_chars(F.concat(t, F.lit(" soooooo niiiiice heyyyyyy"))), "1.0")
-_signal("fk5_repeated_words", lambda t, w: fake.repeated_words(F.concat(F.lit("so so so "), t)), None)
+_MORE_WORDS = _SAME_WORDS.format(w="string_split(lower('so so so ' || original_text), ' ')")
+_signal("fk5_repeated_words", lambda t, w: fake.repeated_words(F.concat(F.lit("so so so "), t)), f"CASE WHEN {_MORE_WORDS} >= 2 THEN 1.0 WHEN {_MORE_WORDS} = 1 THEN 0.5 ELSE 0 END")
 _signal("fk6_punctuation", lambda t, w: fake.excessive_punctuation(t), "CASE WHEN len(regexp_extract_all(original_text, '[!?]{3,}')) >= 3 THEN 1.0 WHEN len(regexp_extract_all(original_text, '[!?]{3,}')) >= 1 THEN 0.4 ELSE 0 END")
 _HITS = "list_filter(['" + "', '".join(lx.FAKE_TEMPLATES) + "'], lambda p: contains(lower(original_text), p))"
 _signal("fk7_template", lambda t, w: fake.template_match(t), f"CASE WHEN len({_HITS}) >= 2 THEN 1.0 WHEN len({_HITS}) = 1 AND len(w) <= len(string_split({_HITS}[1], ' ')) + 3 THEN 0.9 WHEN len({_HITS}) = 1 THEN 0.3 ELSE 0 END")
 _signal("fk8_emoji_spam", lambda t, w: fake.emoji_spam(F.concat(t, F.lit("😀😀😀😀"))), "0.5")
-_add("fk9_low_density", lambda s, d: _docs(s, d).withColumn("w", words("text")).select("doc_id", fake.low_info_density(F.col("w"))[0].alias("value")),
+_add("fk9_low_density", lambda s, d: _docs(s, d).withColumn("w", words("text")).select("doc_id", fake.low_info_density(F.col("w"))["v"].alias("value")),
      r"SELECT doc_id, (CASE WHEN len(w) < 5 THEN 0 WHEN len(list_distinct(w)) / len(w) < 0.4 THEN 1.0 WHEN len(list_distinct(w)) / len(w) < 0.6 THEN 0.5 ELSE 0 END)::DOUBLE AS value FROM (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '\s+'), lambda x: x <> '') AS w FROM documents)")
-_on_reviews("fk10_rating_mismatch", lambda r: r.select("id", fake.rating_mismatch(F.col("rating"), F.col("sentiment_label"))[0].alias("value")),
+_on_reviews("fk10_rating_mismatch", lambda r: r.select("id", fake.rating_mismatch(F.col("rating"), F.col("sentiment_label"))["v"].alias("value")),
             f"SELECT id, (CASE WHEN (rating >= 4 AND sentiment_label IN {_NEG}) OR (rating <= 2 AND sentiment_label IN {_POS}) THEN 1.0 ELSE 0 END)::DOUBLE AS value FROM reviews")
 _signal("fk11_spaced_text", lambda t, w: fake.spaced_text(w), "CASE WHEN len(w) > 4 AND len(list_filter(w, lambda x: length(x) = 1 AND regexp_matches(x, '[A-Za-z]'))) / len(w) > 0.6 THEN 1.0 WHEN len(w) > 4 AND len(list_filter(w, lambda x: length(x) = 1 AND regexp_matches(x, '[A-Za-z]'))) / len(w) > 0.3 THEN 0.5 ELSE 0 END")
-_on_raw("fk12_score", lambda r: fake.score(r, "original_text").select("id", "fake_score", "is_suspicious", F.array_join("fake_flags", "|").alias("flags")))
+# the signals of a text alone: n_ counts and ratios, v_ values, f_ flags
+_PERCENT = "round_even({} * 100, 0)::INTEGER || '%"
+_RUN = "|".join(f"{c}{{5,}}" for c in "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789!,")
+_STEP = "CASE WHEN {n} >= {a} THEN {x} WHEN {n} >= {b} THEN {y} ELSE 0.0 END"
+_VALUES = {
+    "too_short": "CASE WHEN len(w) <= 3 THEN 1.0 WHEN len(w) <= 6 THEN 0.5 ELSE 0.0 END", "too_long": "CASE WHEN len(w) > 500 THEN 0.8 WHEN len(w) > 300 THEN 0.4 ELSE 0.0 END",
+    "all_caps": "CASE WHEN n_caps > 0.8 THEN 1.0 WHEN n_caps > 0.5 THEN 0.5 ELSE 0.0 END", "repeated_chars": _STEP.format(n="n_chars", a=3, x=1.0, b=1, y=0.4),
+    "repeated_words": _STEP.format(n="n_words", a=2, x=1.0, b=1, y=0.5), "excessive_punctuation": _STEP.format(n="n_punct", a=3, x=1.0, b=1, y=0.4),
+    "template_match": "CASE WHEN len(hits) >= 2 THEN 1.0 WHEN n_only THEN 0.9 WHEN len(hits) = 1 THEN 0.3 ELSE 0.0 END", "emoji_spam": _STEP.format(n="n_emoji", a=8, x=1.0, b=4, y=0.5),
+    "low_info_density": "CASE WHEN n_density < 0.4 THEN 1.0 WHEN n_density < 0.6 THEN 0.5 ELSE 0.0 END", "rating_mismatch": "0.0", "spaced_text": "CASE WHEN n_spaced > 0.6 THEN 1.0 WHEN n_spaced > 0.3 THEN 0.5 ELSE 0.0 END",
+}
+_FLAGS = (
+    "CASE WHEN len(w) <= 3 THEN 'Very short review (' || len(w) || ' words)' WHEN len(w) <= 6 THEN 'Short review (' || len(w) || ' words)' END",
+    "CASE WHEN len(w) > 500 THEN 'Unusually long review (' || len(w) || ' words)' END",
+    f"CASE WHEN n_caps > 0.8 THEN 'Mostly ALL CAPS (' || {_PERCENT.format('n_caps')})' WHEN n_caps > 0.5 THEN 'High caps ratio (' || {_PERCENT.format('n_caps')})' END",
+    "CASE WHEN n_chars >= 3 THEN 'Excessive repeated characters (' || n_chars || ' instances)' END", "CASE WHEN n_words >= 2 THEN 'Excessive word repetition' END",
+    "CASE WHEN n_punct >= 3 THEN 'Excessive punctuation (' || n_punct || ' sequences)' END",
+    "CASE WHEN len(hits) >= 2 THEN 'Multiple template phrases detected: [' || array_to_string(list_transform(hits[1:3], lambda h: '''' || h || ''''), ', ') || ']' WHEN n_only THEN 'Review is mostly a template phrase: ''' || hits[1] || '''' END",
+    "CASE WHEN n_emoji >= 8 THEN 'Emoji spam (' || n_emoji || ' emojis)' END", f"CASE WHEN n_density < 0.4 THEN 'Low information density (' || {_PERCENT.format('n_density')} unique words)' END",
+    f"CASE WHEN n_spaced > 0.6 THEN 'Spaced out text detected (obfuscation risk: ' || {_PERCENT.format('n_spaced')})' END",
+    "CASE WHEN active >= 3 THEN 'Multiple bot signals detected (' || active || ' signals)' END",
+)
+_SINGLES = "len(list_filter(w, lambda x: length(x) = 1 AND regexp_matches(x, '[A-Za-z]')))"
+_SCORED = (
+    f", t1 AS (SELECT id, user_id, original_text, {_W} AS w, {_HITS} AS hits FROM raw), t2 AS (SELECT *, CASE WHEN {_LETTERS} > 5 AND len(w) > 4 THEN {_UPPER} / {_LETTERS} ELSE 0.0 END AS n_caps, len(regexp_extract_all(original_text, '{_RUN}')) AS n_chars, "
+    f"{_SAME_WORDS.format(w='list_transform(w, lambda x: lower(x))')} AS n_words, len(regexp_extract_all(original_text, '[!?]{{3,}}')) AS n_punct, len(hits) = 1 AND len(w) <= len(string_split(hits[1], ' ')) + 3 AS n_only, 0 AS n_emoji, "
+    f"CASE WHEN len(w) >= 5 THEN len(list_distinct(list_transform(w, lambda x: lower(x)))) / len(w) ELSE 1.0 END AS n_density, CASE WHEN len(w) > 4 THEN {_SINGLES} / len(w) ELSE 0.0 END AS n_spaced FROM t1), "
+    "t3 AS (SELECT *, " + ", ".join(f"({v})::DOUBLE AS v_{k}" for k, v in _VALUES.items()) + " FROM t2), "
+    "t4 AS (SELECT *, " + " + ".join(f"(v_{k} > 0.3)::INTEGER" for k in lx.FAKE_WEIGHTS) + " AS active, " + " + ".join(f"v_{k} * {w}::DOUBLE" for k, w in lx.FAKE_WEIGHTS.items()) + " AS total FROM t3), "
+    "t5 AS (SELECT *, least(CASE WHEN active >= 3 THEN total * 1.3::DOUBLE ELSE total END, 1.0::DOUBLE) AS s FROM t4), "
+    f"scored AS (SELECT id, user_id, original_text, round_even(s, 3) AS fake_score, (s >= {lx.FAKE_THRESHOLD})::INTEGER AS is_suspicious, list_filter([{', '.join(_FLAGS)}], lambda x: x IS NOT NULL) AS flags FROM t5)"
+)
+_BATCHED = (
+    f"{_SCORED}, f AS (SELECT *, regexp_replace(lower(original_text), '[^a-z]', '', 'g') AS fp FROM scored), g AS (SELECT *, length(fp) > 5 AND count(*) OVER (PARTITION BY fp) > 1 AS again FROM f), "
+    "u AS (SELECT user_id, count(*) > 3 AS often, count(*) > 1 AND count(DISTINCT fp) < count(*) AS repeats FROM f GROUP BY 1), b AS (SELECT *, CASE WHEN again THEN least(fake_score + 0.25::DOUBLE, 1.0::DOUBLE) ELSE fake_score END AS x FROM g JOIN u USING (user_id)), "
+    "batched AS (SELECT id, CASE WHEN often OR repeats THEN least(x + 0.3::DOUBLE, 1.0::DOUBLE) ELSE x END AS fake_score, len(flags) + again::INTEGER + often::INTEGER + repeats::INTEGER AS n_flags FROM b)"
+)
+_on_raw("fk12_score", lambda r: fake.score(r, "original_text").select("id", "fake_score", "is_suspicious", F.array_join("fake_flags", "|").alias("flags")),
+        f"{_SCORED} SELECT id, fake_score, is_suspicious, array_to_string(flags, '|') AS flags FROM scored")
 
 
 def _batch(r: DataFrame) -> DataFrame:
@@ -207,7 +251,8 @@ _on_raw("fk13_fingerprint", lambda r: _batch(r).select("id", F.exists("fake_flag
         "SELECT id, count(*) OVER (PARTITION BY regexp_replace(lower(original_text), '[^a-z]', '', 'g')) > 1 AND length(regexp_replace(lower(original_text), '[^a-z]', '', 'g')) > 5 AS again FROM raw")
 _on_raw("fk14_user_bot", lambda r: _batch(r).select("id", "is_bot_user"),
         "SELECT id, (n > 3 OR (n > 1 AND k < n))::INTEGER AS is_bot_user FROM raw JOIN (SELECT user_id, count(*) AS n, count(DISTINCT regexp_replace(lower(original_text), '[^a-z]', '', 'g')) AS k FROM raw GROUP BY 1) USING (user_id)")
-_on_raw("fk15_suspicious", lambda r: _batch(r).select("id", "is_suspicious", F.round("fake_score", 6).alias("fake_score")))
+_on_raw("fk15_suspicious", lambda r: _batch(r).select("id", "is_suspicious", F.round("fake_score", 6).alias("fake_score")),
+        f"{_BATCHED} SELECT id, (fake_score >= {lx.FAKE_THRESHOLD})::INTEGER AS is_suspicious, round(fake_score, 6) AS fake_score FROM batched")
 
 # --- sentiment
 _LISTS = {k: "['" + "', '".join(x.replace("'", "''") for x in v) + "']" for k, v in (("p", lx.POSITIVE), ("n", lx.NEGATIVE), ("x", lx.NEGATORS), ("i", lx.INTENSIFIERS))}
@@ -231,16 +276,49 @@ _on_raw("sen7_overall", lambda r: sentiment.analyze(r, "id", "original_text").se
 # --- duplicates
 _add("dup1_exact", lambda s, d: dedup.exact(_docs(s, d), "text", "doc_id").select("doc_id", "text_hash", "group_size", "is_exact_duplicate"),
      "SELECT doc_id, h AS text_hash, count(*) OVER (PARTITION BY h) AS group_size, (row_number() OVER (PARTITION BY h ORDER BY doc_id) > 1)::INTEGER AS is_exact_duplicate FROM (SELECT doc_id, md5(regexp_replace(lower(text), '[^a-z0-9]', '', 'g')) AS h FROM documents)")
-_on_raw("dup2_tfidf", lambda r: dedup.tfidf(r, "id", "original_text").select("id", "term", F.round("weight", 6).alias("weight")))
-_on_raw("dup3_cosine_clusters", lambda r: dedup.clusters(r, "id", "original_text", 0.85, "tfidf"))
+# The stop words that occur in the derived reviews.
+_STOP = "['" + "', '".join("the my a after i in for this is not but and very of".split()) + "']"
+_TFIDF = (
+    f", tw AS (SELECT id, list_filter(regexp_extract_all(lower(original_text), '\\b\\w\\w+\\b'), lambda x: NOT list_contains({_STOP}, x)) AS w FROM raw), "
+    "tt AS (SELECT id, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS term FROM tw), tc AS (SELECT id, term, count(*) AS tf FROM tt GROUP BY 1, 2), "
+    f"tv AS (SELECT term, count(*) AS df FROM tc GROUP BY 1 ORDER BY sum(tf) DESC, term LIMIT {dedup.MAX_FEATURES}), tx AS (SELECT id, term, df, tf * (ln((1 + (SELECT count(*) FROM raw)) / (1 + df)) + 1) AS x FROM tc JOIN tv USING (term)), "
+    "tfidf AS (SELECT id, term, x / sqrt(sum(x * x) OVER (PARTITION BY id)) AS weight FROM tx)"
+)
+_on_raw("dup2_tfidf", lambda r: dedup.tfidf(r, "id", "original_text").select("id", "term", F.round("weight", 6).alias("weight")), f"{_TFIDF} SELECT id, term, round(weight, 6) AS weight FROM tfidf")
+# clusters of links e(a, b) between the texts s(rep, ids): each row's cluster with its size, if it has others
+_CLUSTERS = (
+    "link AS (SELECT a, b FROM e UNION SELECT b, a FROM e), reach(node, label) AS (SELECT rep, rep FROM s UNION SELECT b, label FROM reach JOIN link ON a = node), root AS (SELECT node, min(label) AS cluster FROM reach GROUP BY 1), "
+    "member AS (SELECT id, cluster, original_text, count(*) OVER (PARTITION BY cluster) AS n FROM (SELECT unnest(ids) AS id, cluster FROM s JOIN root ON node = rep) JOIN raw USING (id)), "
+    "clustered AS (SELECT id, cluster, row_number() OVER (PARTITION BY cluster ORDER BY length(original_text) DESC, id) = 1 AS is_representative, n::INTEGER AS review_count FROM member WHERE n > 1)"
+)
+_COSINE = (
+    f"{_TFIDF}, s AS (SELECT min(id) AS rep, list(id) AS ids FROM raw WHERE id IN (SELECT id FROM tfidf) GROUP BY original_text), one AS (SELECT rep, term, weight FROM tfidf JOIN s ON rep = id), "
+    f"e AS (SELECT x.rep AS a, y.rep AS b FROM one x JOIN one y ON x.term = y.term AND x.rep < y.rep GROUP BY 1, 2 HAVING sum(x.weight * y.weight) >= 0.85 - 1e-9), {_CLUSTERS}, "
+    "summed AS (SELECT cluster, review_count AS n, term, sum(weight) AS w, sum(weight * weight) AS q FROM clustered JOIN tfidf USING (id) GROUP BY 1, 2, 3), likeness AS (SELECT cluster, round_even((sum(w * w) - sum(q)) / (n * (n - 1)), 3) AS similarity_score FROM summed GROUP BY cluster, n)"
+)
+
+
+def _on_linked(name: str, query: Callable[[DataFrame], DataFrame], sql: str) -> None:
+    """SQL that follows links from text to text."""
+    _add(name, lambda s, d: query(fx.raw(ready(s), d)), f"WITH RECURSIVE {fx.RAW_SQL} {sql}")
+
+
+_on_linked("dup3_cosine_clusters", lambda r: dedup.clusters(r, "id", "original_text", 0.85, "tfidf"), f"{_COSINE} SELECT * FROM clustered JOIN likeness USING (cluster)")
 _SHINGLES = "list_distinct(list_transform(range(1, length(t) - 1), lambda i: substr(t, i, 3)))"
 _on_raw("dup6_jaccard_pairs", lambda r: dedup.jaccard_pairs(r, "id", "original_text").withColumn("similarity", F.round("similarity", 6)),
         f", s AS (SELECT min(id) AS rep, list_sort({_SHINGLES}) AS s, list(id) AS ids FROM (SELECT id, lower(trim(original_text)) AS t FROM raw) GROUP BY 2), "
         "p AS (SELECT a.rep AS a, b.rep AS b, len(list_intersect(a.s, b.s)) AS i, len(a.s) + len(b.s) AS n FROM s a JOIN s b ON a.rep < b.rep AND len(a.s) >= 0.85 * len(b.s) AND len(b.s) >= 0.85 * len(a.s)) "
         "SELECT a, b, round(i / (n - i), 6) AS similarity FROM p WHERE i / (n - i) >= 0.85 UNION ALL SELECT rep, x, 1.0 FROM (SELECT rep, unnest(ids) AS x FROM s) WHERE x <> rep")
-_on_raw("dup4_components", lambda r: dedup.clusters(r, "id", "original_text").select("id", "cluster", "is_representative", "review_count"))
-_on_raw("dup7_flags", lambda r: dedup.deduplicate(r, "id", "original_text").select("id", "is_duplicate", "is_exact_duplicate", "cluster_id"))
-_on_raw("agg15_dedup_stats", lambda r: dedup.stats(dedup.deduplicate(r, "id", "original_text")))
+_JACCARD = (
+    f", s AS (SELECT min(id) AS rep, {_SHINGLES} AS s, list(id) AS ids FROM (SELECT id, lower(trim(original_text)) AS t FROM raw) GROUP BY t), "
+    "e AS (SELECT a.rep AS a, b.rep AS b FROM s a JOIN s b ON a.rep < b.rep AND len(a.s) >= 0.85 * len(b.s) AND len(b.s) >= 0.85 * len(a.s) WHERE len(list_intersect(a.s, b.s)) / (len(a.s) + len(b.s) - len(list_intersect(a.s, b.s))) >= 0.85), "
+    f"{_CLUSTERS}, hashed AS (SELECT id, md5(regexp_replace(lower(original_text), '[^a-z0-9]', '', 'g')) AS h FROM raw), exact AS (SELECT id, h, count(*) OVER (PARTITION BY h) AS n, (row_number() OVER (PARTITION BY h ORDER BY id) > 1)::INTEGER AS is_exact_duplicate FROM hashed), "
+    "marked AS (SELECT id, h, n, (is_exact_duplicate = 1 OR NOT coalesce(is_representative, true))::INTEGER AS is_duplicate, is_exact_duplicate, cluster AS cluster_id FROM exact LEFT JOIN clustered USING (id))"
+)
+_on_linked("dup4_components", lambda r: dedup.clusters(r, "id", "original_text").select("id", "cluster", "is_representative", "review_count"), f"{_JACCARD} SELECT * FROM clustered")
+_on_linked("dup7_flags", lambda r: dedup.deduplicate(r, "id", "original_text").select("id", "is_duplicate", "is_exact_duplicate", "cluster_id"), f"{_JACCARD} SELECT id, is_duplicate, is_exact_duplicate, cluster_id FROM marked")
+_on_linked("agg15_dedup_stats", lambda r: dedup.stats(dedup.deduplicate(r, "id", "original_text")),
+           f"{_JACCARD} SELECT total, exact_groups, near_clusters, duplicates, total - duplicates AS \"unique\", round_even(duplicates / total * 100, 1) AS duplicate_rate FROM (SELECT count(*) AS total, count(DISTINCT h) FILTER (n > 1) AS exact_groups, count(DISTINCT cluster_id) AS near_clusters, sum(is_duplicate)::BIGINT AS duplicates FROM marked)")
 
 # --- trends
 _EXPLICIT = f"tagged AS (SELECT id, CASE WHEN substr(review_date, 1, 10) BETWEEN '{START}' AND '{END}' THEN 'recent' WHEN substr(review_date, 1, 10) < '{START}' THEN 'hist' END AS bucket FROM reviews)"
@@ -351,7 +429,7 @@ _on_both("win4_top_and_extremes", lambda r, f: dashboard.top_features(r, f).join
 _on_raw("set3_shingle_overlap", lambda r: (lambda s: s.join(s.select((F.col("id") - 1).alias("id"), F.col("s").alias("o")), "id").select("id", F.size(F.array_intersect("s", "o")).cast("long").alias("common"), F.size(F.array_union("s", "o")).cast("long").alias("whole")))(
             r.select("id", F.lower("original_text").alias("t")).select("id", dedup.pieces(F.col("t")).alias("s"))),
         f", s AS (SELECT id, {_SHINGLES} AS s FROM (SELECT id, lower(original_text) AS t FROM raw)) SELECT a.id, len(list_intersect(a.s, b.s)) AS common, len(a.s) + len(b.s) - len(list_intersect(a.s, b.s)) AS whole FROM s a JOIN s b ON b.id = a.id + 1")
-_on_raw("join6_batch_look_back", lambda r: _batch(r).select("id", "fake_score", F.size("fake_flags").cast("long").alias("n_flags")))
+_on_raw("join6_batch_look_back", lambda r: _batch(r).select("id", "fake_score", F.size("fake_flags").cast("long").alias("n_flags")), f"{_BATCHED} SELECT id, fake_score, n_flags FROM batched")
 
 # --- further text and language rules
 _add("txt1_nfkc", lambda s, d: _docs(s, d).select("doc_id", F.md5(nfkc(F.concat(F.lit("ﬁne ① "), F.col("text")))).alias("h")))
@@ -377,8 +455,8 @@ _on_raw("lng4_detector", lambda r: language.detect(r, "original_text", lambda c:
 _on_raw("lng5_translate", lambda r: language.translate(language.detect(r, "original_text"), "original_text", lambda t, code: F.concat(code, F.lit(": "), t)).select("id", "translated_text"),
         f"SELECT id, CASE WHEN {_HINGLISH_ID} THEN 'hinglish: ' || original_text END AS translated_text FROM raw")
 _on_raw("sen1_token_features", lambda r: sentiment.token_features(r.select(F.explode(words(F.lower("original_text"))).alias("token"))))
-_on_raw("dup5_representatives", lambda r: dedup.clusters(r, "id", "original_text", 0.85, "tfidf").where("is_representative").select("id", "cluster", "review_count"))
-_on_raw("agg17_cluster_similarity", lambda r: dedup.clusters(r, "id", "original_text", 0.85, "tfidf").select("cluster", "review_count", "similarity_score").distinct())
+_on_linked("dup5_representatives", lambda r: dedup.clusters(r, "id", "original_text", 0.85, "tfidf").where("is_representative").select("id", "cluster", "review_count"), f"{_COSINE} SELECT id, cluster, review_count FROM clustered WHERE is_representative")
+_on_linked("agg17_cluster_similarity", lambda r: dedup.clusters(r, "id", "original_text", 0.85, "tfidf").select("cluster", "review_count", "similarity_score").distinct(), f"{_COSINE} SELECT DISTINCT cluster, review_count, similarity_score FROM clustered JOIN likeness USING (cluster)")
 _on_raw("dup8_no_vocabulary", lambda r: dedup.clusters(r.withColumn("original_text", F.lit("the of and")), "id", "original_text", 0.85, "tfidf").agg(F.count(F.lit(1)).alias("clusters")), "SELECT 0::BIGINT AS clusters")
 
 # --- further sources and sinks

@@ -7,117 +7,132 @@ from operator import add
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from revlens.functions import lexicons as lx
 from revlens.functions.clean import EMOJI_SPAM, REPEATED_WORD
-from revlens.functions.text import compact, literal_array, percent, strip, words
+from revlens.functions.text import compact, let, literal_array, percent, strip, words
 
-Signal = tuple[Column, Column]  # value, flag (null where there is none)
+# The flags' wordings are fixed values.
 
 
-def _none() -> Column:
-    return F.lit(None).cast("string")
+def _signal(value: Column, flag: Column | None = None) -> Column:
+    """struct<v, f>: a signal's value, and its flag (null where there is none)."""
+    return F.struct(value.cast("double").alias("v"), (F.lit(None).cast("string") if flag is None else flag).alias("f"))
 
 
-def too_short(w: Column) -> Signal:
+def too_short(w: Column) -> Column:
     n = F.size(w)
     value = F.when(n <= 3, 1.0).when(n <= 6, 0.5).otherwise(0.0)
-    return value, F.when(n <= 3, F.format_string("Very short review (%d words)", n)).when(n <= 6, F.format_string("Short review (%d words)", n))
+    return _signal(value, F.when(n <= 3, F.format_string("Very short review (%d words)", n)).when(n <= 6, F.format_string("Short review (%d words)", n)))
 
 
-def too_long(w: Column) -> Signal:
+def too_long(w: Column) -> Column:
     n = F.size(w)
-    return F.when(n > 500, 0.8).when(n > 300, 0.4).otherwise(0.0), F.when(n > 500, F.format_string("Unusually long review (%d words)", n))
+    return _signal(F.when(n > 500, 0.8).when(n > 300, 0.4).otherwise(0.0), F.when(n > 500, F.format_string("Unusually long review (%d words)", n)))
 
 
-def all_caps(t: Column, w: Column) -> Signal:
-    letters = F.regexp_count(t, F.lit(r"\p{L}"))
-    ratio = F.when((letters > 5) & (F.size(w) > 4), F.regexp_count(t, F.lit(r"\p{Lu}")) / letters).otherwise(0.0)
-    flag = F.when(ratio > 0.8, F.concat(F.lit("Mostly ALL CAPS ("), percent(ratio), F.lit(")"))).when(ratio > 0.5, F.concat(F.lit("High caps ratio ("), percent(ratio), F.lit(")")))
-    return F.when(ratio > 0.8, 1.0).when(ratio > 0.5, 0.5).otherwise(0.0), flag
+def all_caps(t: Column, w: Column) -> Column:
+    share = let(F.regexp_count(t, F.lit(r"\p{L}")), lambda n: F.when((n > 5) & (F.size(w) > 4), F.regexp_count(t, F.lit(r"\p{Lu}")) / n).otherwise(0.0))
 
+    def told(ratio: Column) -> Column:
+        text = F.when(ratio > 0.8, F.concat(F.lit("Mostly ALL CAPS ("), percent(ratio), F.lit(")")))
+        return _signal(F.when(ratio > 0.8, 1.0).when(ratio > 0.5, 0.5).otherwise(0.0), text.when(ratio > 0.5, F.concat(F.lit("High caps ratio ("), percent(ratio), F.lit(")"))))
 
-def repeated_chars(t: Column) -> Signal:
-    n = F.regexp_count(t, F.lit(r"([^\n])\1{4,}"))
-    return F.when(n >= 3, 1.0).when(n >= 1, 0.4).otherwise(0.0), F.when(n >= 3, F.format_string("Excessive repeated characters (%d instances)", n))
+    return let(share, told)
 
 
-def repeated_words(t: Column) -> Signal:
-    n = F.regexp_count(t, F.lit(REPEATED_WORD))
-    return F.when(n >= 2, 1.0).when(n >= 1, 0.5).otherwise(0.0), F.when(n >= 2, F.lit("Excessive word repetition"))
+def _counted(t: Column, pattern: str, steps: tuple[tuple[int, float], ...], flag: str) -> Column:
+    """The value of the first of `steps` (least count, value) that the number of matches reaches; flagged at the first."""
 
+    def told(n: Column) -> Column:
+        value = F.lit(0.0)
+        for least, v in reversed(steps):
+            value = F.when(n >= least, v).otherwise(value)
+        return _signal(value, F.when(n >= steps[0][0], F.format_string(flag, n) if "%d" in flag else F.lit(flag)))
 
-def excessive_punctuation(t: Column) -> Signal:
-    n = F.regexp_count(t, F.lit(r"[!?]{3,}"))
-    return F.when(n >= 3, 1.0).when(n >= 1, 0.4).otherwise(0.0), F.when(n >= 3, F.format_string("Excessive punctuation (%d sequences)", n))
+    return let(F.regexp_count(t, F.lit(pattern)), told)
 
 
-def template_match(t: Column) -> Signal:
-    lower = F.lower(strip(t))
-    hits = F.filter(literal_array(lx.FAKE_TEMPLATES), lambda p: F.contains(lower, p))
-    first = F.get(hits, 0)
-    only = F.size(words(lower)) <= F.size(words(first)) + 3
-    listed = F.concat(F.lit("["), F.array_join(F.transform(F.slice(hits, 1, 3), lambda p: F.concat(F.lit("'"), p, F.lit("'"))), ", "), F.lit("]"))
-    value = F.when(F.size(hits) >= 2, 1.0).when((F.size(hits) == 1) & only, 0.9).when(F.size(hits) == 1, 0.3).otherwise(0.0)
-    flag = F.when(F.size(hits) >= 2, F.concat(F.lit("Multiple template phrases detected: "), listed)).when(
-        (F.size(hits) == 1) & only, F.concat(F.lit("Review is mostly a template phrase: '"), first, F.lit("'"))
-    )
-    return value, flag
+def repeated_chars(t: Column) -> Column:
+    return _counted(t, r"([^\n])\1{4,}", ((3, 1.0), (1, 0.4)), "Excessive repeated characters (%d instances)")
+
+
+def repeated_words(t: Column) -> Column:
+    return _counted(t, REPEATED_WORD, ((2, 1.0), (1, 0.5)), "Excessive word repetition")
+
+
+def excessive_punctuation(t: Column) -> Column:
+    return _counted(t, r"[!?]{3,}", ((3, 1.0), (1, 0.4)), "Excessive punctuation (%d sequences)")
+
+
+def template_match(t: Column) -> Column:
+    def told(lower: Column, hits: Column) -> Column:
+        first = F.get(hits, 0)
+        only = (F.size(hits) == 1) & (F.size(words(lower)) <= F.size(words(first)) + 3)
+        listed = F.concat(F.lit("["), F.array_join(F.transform(F.slice(hits, 1, 3), lambda p: F.concat(F.lit("'"), p, F.lit("'"))), ", "), F.lit("]"))
+        flag = F.when(F.size(hits) >= 2, F.concat(F.lit("Multiple template phrases detected: "), listed)).when(only, F.concat(F.lit("Review is mostly a template phrase: '"), first, F.lit("'")))
+        return _signal(F.when(F.size(hits) >= 2, 1.0).when(only, 0.9).when(F.size(hits) == 1, 0.3).otherwise(0.0), flag)
+
+    phrases = literal_array(lx.FAKE_TEMPLATES)
+    return let(F.lower(strip(t)), lambda lower: let(F.filter(phrases, lambda p: F.contains(lower, p)), lambda hits: told(lower, hits)))
 
 
-def emoji_spam(t: Column) -> Signal:
-    n = F.regexp_count(t, F.lit(EMOJI_SPAM))
-    return F.when(n >= 8, 1.0).when(n >= 4, 0.5).otherwise(0.0), F.when(n >= 8, F.format_string("Emoji spam (%d emojis)", n))
+def emoji_spam(t: Column) -> Column:
+    return _counted(t, EMOJI_SPAM, ((8, 1.0), (4, 0.5)), "Emoji spam (%d emojis)")
 
 
-def low_info_density(w: Column) -> Signal:
-    density = F.when(F.size(w) >= 5, F.size(F.array_distinct(F.transform(w, F.lower))) / F.size(w)).otherwise(1.0)
-    flag = F.when(density < 0.4, F.concat(F.lit("Low information density ("), percent(density), F.lit(" unique words)")))
-    return F.when(density < 0.4, 1.0).when(density < 0.6, 0.5).otherwise(0.0), flag
+def low_info_density(w: Column) -> Column:
+    share = F.when(F.size(w) >= 5, F.size(F.array_distinct(F.transform(w, F.lower))) / F.size(w)).otherwise(1.0)
+    flag = lambda d: F.when(d < 0.4, F.concat(F.lit("Low information density ("), percent(d), F.lit(" unique words)")))
+    return let(share, lambda d: _signal(F.when(d < 0.4, 1.0).when(d < 0.6, 0.5).otherwise(0.0), flag(d)))
 
 
-def rating_mismatch(rating: Column, label: Column) -> Signal:
+def rating_mismatch(rating: Column, label: Column) -> Column:
     low = F.lower(label)
     off = ((rating >= 4) & low.isin("negative", "very_negative")) | ((rating <= 2) & low.isin("positive", "very_positive"))
     flag = F.when(off, F.concat(F.lit("Rating ("), rating.cast("string"), F.lit("★) contradicts sentiment ("), label, F.lit(")")))
-    return F.when(off, 1.0).otherwise(0.0), flag
+    return _signal(F.when(off, 1.0).otherwise(0.0), flag)
 
 
-def spaced_text(w: Column) -> Signal:
+def spaced_text(w: Column) -> Column:
     single = F.size(F.filter(w, lambda x: (F.length(x) == 1) & x.rlike(r"\p{L}")))
-    ratio = F.when(F.size(w) > 4, single / F.size(w)).otherwise(0.0)
-    flag = F.when(ratio > 0.6, F.concat(F.lit("Spaced out text detected (obfuscation risk: "), percent(ratio), F.lit(")")))
-    return F.when(ratio > 0.6, 1.0).when(ratio > 0.3, 0.5).otherwise(0.0), flag
+    flag = lambda r: F.when(r > 0.6, F.concat(F.lit("Spaced out text detected (obfuscation risk: "), percent(r), F.lit(")")))
+    return let(F.when(F.size(w) > 4, single / F.size(w)).otherwise(0.0), lambda r: _signal(F.when(r > 0.6, 1.0).when(r > 0.3, 0.5).otherwise(0.0), flag(r)))
 
 
 def score(df: DataFrame, text: str = "cleaned_text", rating: str | None = None, label: str | None = None) -> DataFrame:
     """Adds fake_score (3 places), is_suspicious, fake_flags, signal_details of each text alone."""
+    mismatch = rating_mismatch(F.col(rating), F.col(label)) if rating and label else _signal(F.lit(0.0))
+
+    def signals(t: Column, w: Column) -> Column:
+        each = {
+            "too_short": too_short(w), "too_long": too_long(w), "all_caps": all_caps(t, w), "repeated_chars": repeated_chars(t),
+            "repeated_words": repeated_words(t), "excessive_punctuation": excessive_punctuation(t), "template_match": template_match(t),
+            "emoji_spam": emoji_spam(t), "low_info_density": low_info_density(w), "rating_mismatch": mismatch, "spaced_text": spaced_text(w),
+        }
+        return F.struct(*[s.alias(k) for k, s in each.items()])
+
+    def scored(s: Column) -> Column:
+        value = {k: s[k]["v"] for k in lx.FAKE_WEIGHTS}
+        active = reduce(add, [F.when(v > 0.3, 1).otherwise(0) for v in value.values()])
+        total = reduce(add, [v * lx.FAKE_WEIGHTS[k] for k, v in value.items()])
+        raw = F.least(F.when(active >= 3, total * 1.3).otherwise(total), F.lit(1.0))
+        many = F.when(active >= 3, F.format_string("Multiple bot signals detected (%d signals)", active))
+        details = F.create_map(*[x for k, v in value.items() for x in (F.lit(k), v)])
+        return F.struct(raw.alias("raw"), compact(*[s[k]["f"] for k in value], many).alias("flags"), details.alias("details"))
+
     blank = F.coalesce(strip(F.col(text)) == "", F.lit(True))
-    base = df.withColumn("_x", F.coalesce(F.col(text), F.lit(""))).withColumn("_w", words("_x"))
-    t, w = F.col("_x"), F.col("_w")
-    mismatch = rating_mismatch(F.col(rating), F.col(label)) if rating and label else (F.lit(0.0), _none())
-    signals = {
-        "too_short": too_short(w), "too_long": too_long(w), "all_caps": all_caps(t, w), "repeated_chars": repeated_chars(t),
-        "repeated_words": repeated_words(t), "excessive_punctuation": excessive_punctuation(t), "template_match": template_match(t),
-        "emoji_spam": emoji_spam(t), "low_info_density": low_info_density(w), "rating_mismatch": mismatch, "spaced_text": spaced_text(w),
-    }
-    out = base.withColumn("_s", F.struct(*[F.struct(v.alias("v"), f.alias("f")).alias(k) for k, (v, f) in signals.items()]))
-    value = {k: F.col(f"_s.{k}.v") for k in signals}
-    active = reduce(add, [F.when(v > 0.3, 1).otherwise(0) for v in value.values()])
-    total = reduce(add, [v * lx.FAKE_WEIGHTS[k] for k, v in value.items()])
-    out = out.withColumns({"_active": active, "_total": total})
-    raw = F.least(F.when(F.col("_active") >= 3, F.col("_total") * 1.3).otherwise(F.col("_total")), F.lit(1.0))
-    many = F.when(F.col("_active") >= 3, F.format_string("Multiple bot signals detected (%d signals)", F.col("_active")))
-    details = F.create_map(*[x for k, v in value.items() for x in (F.lit(k), v)])
+    t = F.coalesce(F.col(text), F.lit(""))
+    out = df.withColumn("_s", F.when(~blank, let(t, lambda x: let(words(x), lambda w: let(signals(x, w), scored)))))
+    found = F.col("_s").isNotNull()
     return out.withColumns(
         {
-            "fake_score": F.when(blank, 0.0).otherwise(F.bround(raw, 3)),
-            "is_suspicious": F.when(blank, 0).otherwise((raw >= lx.FAKE_THRESHOLD).cast("int")),
-            "fake_flags": F.when(blank, F.array(F.lit("empty_review"))).otherwise(compact(*[F.col(f"_s.{k}.f") for k in signals], many)),
-            "signal_details": F.when(blank, F.create_map().cast("map<string,double>")).otherwise(details),
+            "fake_score": F.when(found, F.bround("_s.raw", 3)).otherwise(0.0),
+            "is_suspicious": F.when(found, (F.col("_s.raw") >= lx.FAKE_THRESHOLD).cast("int")).otherwise(0),
+            "fake_flags": F.when(found, F.col("_s.flags")).otherwise(F.array(F.lit("empty_review"))),
+            "signal_details": F.when(found, F.col("_s.details")).otherwise(F.create_map().cast("map<string,double>")),
         }
-    ).drop("_x", "_w", "_s", "_active", "_total")
+    ).drop("_s")
 
 
 def fingerprint(text: Column) -> Column:
@@ -125,19 +140,22 @@ def fingerprint(text: Column) -> Column:
 
 
 def score_batch(df: DataFrame, text: str = "cleaned_text", user: str = "user_id", batch: str = "ingestion_id", **columns: str) -> DataFrame:
-    """`score`, then boosts for texts that occur again in the batch and for users who post much or repeat themselves."""
-    out = score(df, text, **columns).withColumn("_fp", fingerprint(F.col(text))).withColumn("_u", F.when(F.col(user) != "", F.col(user)))
-    same = F.count(F.lit(1)).over(Window.partitionBy(batch, "_fp"))
-    by_user = Window.partitionBy(batch, "_u")
-    out = out.withColumns(
-        {
-            "_same": F.when(F.length("_fp") > 5, same).otherwise(F.lit(0)),
-            "_posts": F.when(F.col("_u").isNotNull(), F.count(F.lit(1)).over(by_user)).otherwise(F.lit(0)),
-            "_kinds": F.when(F.col("_u").isNotNull(), F.size(F.collect_set("_fp").over(by_user))).otherwise(F.lit(0)),
-        }
-    )
-    again, often = F.col("_same") > 1, F.col("_posts") > 3
-    repeats = (F.col("_posts") > 1) & (F.col("_kinds") < F.col("_posts"))
+    """`score`, then boosts for texts that occur again in the batch and for users who post much or repeat themselves.
+
+    Counts are aggregated first and joined back. Texts of five letters or fewer and rows without a user have no counts;
+    they are dealt by row, so that they are no hot key.
+    """
+    row = F.concat(F.lit("\0"), (F.monotonically_increasing_id() % 1024).cast("string"))
+    fp, u = fingerprint(F.col(text)), F.when(F.col(user) != "", F.col(user))
+    out = score(df, text, **columns).withColumns({"_b": F.col(batch), "_fp": fp})
+    out = out.withColumns({"_f": F.when(F.length("_fp") > 5, F.col("_fp")).otherwise(row), "_u": F.coalesce(u, row)})
+    plain = df.select(F.col(batch).alias("_b"), fp.alias("_fp"), u.alias("_u"))
+    same = plain.where(F.length("_fp") > 5).groupBy("_b", "_fp").agg(F.count(F.lit(1)).alias("_same")).where("_same > 1")
+    posts = plain.where("_u is not null").groupBy("_b", "_u").agg(F.count(F.lit(1)).alias("_posts"), F.count_distinct("_fp").alias("_kinds")).where("_posts > 1")
+    out = out.join(same.select(F.col("_b").alias("_b1"), F.col("_fp").alias("_f1"), "_same"), F.col("_b").eqNullSafe(F.col("_b1")) & (F.col("_f") == F.col("_f1")), "left")
+    out = out.join(posts.select(F.col("_b").alias("_b2"), F.col("_u").alias("_u2"), "_posts", "_kinds"), F.col("_b").eqNullSafe(F.col("_b2")) & (F.col("_u") == F.col("_u2")), "left")
+    again, often = F.coalesce(F.col("_same") > 1, F.lit(False)), F.coalesce(F.col("_posts") > 3, F.lit(False))
+    repeats = F.coalesce(F.col("_kinds") < F.col("_posts"), F.lit(False))
     boosted = F.when(again, F.least(F.col("fake_score") + 0.25, F.lit(1.0))).otherwise(F.col("fake_score"))
     final = F.when(often | repeats, F.least(boosted + 0.3, F.lit(1.0))).otherwise(boosted)
     flags = compact(
@@ -146,4 +164,5 @@ def score_batch(df: DataFrame, text: str = "cleaned_text", user: str = "user_id"
         F.when(repeats, F.lit("Customer flagged: User repeating identical text across products")),
     )
     out = out.withColumns({"is_bot_user": (often | repeats).cast("int"), "fake_flags": F.concat("fake_flags", flags), "fake_score": final})
-    return out.withColumn("is_suspicious", (F.col("fake_score") >= lx.FAKE_THRESHOLD).cast("int")).drop("_fp", "_u", "_same", "_posts", "_kinds")
+    out = out.withColumn("is_suspicious", (F.col("fake_score") >= lx.FAKE_THRESHOLD).cast("int"))
+    return out.drop("_b", "_fp", "_f", "_u", "_b1", "_f1", "_same", "_b2", "_u2", "_posts", "_kinds")

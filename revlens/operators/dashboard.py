@@ -166,5 +166,8 @@ def feature_bars(features: DataFrame, n: int = 8) -> DataFrame:
 
 
 def user_counts(df: DataFrame) -> DataFrame:
-    by = Window.partitionBy("user_id")
-    return df.select("id", "user_id", F.count(F.lit(1)).over(by).alias("posts"), F.size(F.collect_set("original_text").over(by)).alias("texts"))
+    """id, user_id, and the posts and different texts of its user; 0 for rows without a user, which are no group."""
+    by = df.where("user_id is not null").groupBy("user_id").agg(F.count(F.lit(1)).alias("posts"), F.count_distinct("original_text").alias("texts"))
+    with_user = df.where("user_id is not null").select("id", "user_id").join(by, "user_id").select("id", "user_id", "posts", "texts")
+    none = F.lit(0).cast("long")
+    return with_user.union(df.where("user_id is null").select("id", "user_id", none.alias("posts"), none.alias("texts")))

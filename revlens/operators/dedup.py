@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -21,10 +24,14 @@ def text_hash(text: Column) -> Column:
 
 
 def exact(df: DataFrame, text: str = "cleaned_text", order: str = "seq", scope: tuple[str, ...] = ()) -> DataFrame:
-    """Adds text_hash, group_size and is_exact_duplicate: all of a group but the first in `order`."""
+    """Adds text_hash, group_size and is_exact_duplicate: all of a group but the first in `order`, whose values must
+    differ. Groups are aggregated first and joined back, so a text of many copies isn't gathered in one task."""
     out = df.withColumn("text_hash", text_hash(F.col(text)))
-    group = Window.partitionBy(*scope, "text_hash")
-    return out.withColumn("group_size", F.count(F.lit(1)).over(group)).withColumn("is_exact_duplicate", (F.row_number().over(group.orderBy(order)) > 1).cast("int"))
+    groups = out.groupBy(*scope, "text_hash").agg(F.count(F.lit(1)).alias("group_size"), F.min(order).alias("_first"))
+    keys = [*scope, "text_hash"]
+    groups = groups.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], "group_size", "_first")
+    same = reduce(and_, [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)])
+    return out.join(groups, same).withColumn("is_exact_duplicate", (F.col(order) > F.col("_first")).cast("int")).drop("_first", *[f"_k{i}" for i in range(len(keys))])
 
 
 def shingles(text: Column, k: int = SHINGLE) -> Column:
