@@ -41,6 +41,8 @@ class Store:
     def table(self, name: str) -> DataFrame:
         """The table, empty if nothing was stored; columns that older files lack are null."""
         schema = schemas.TABLES[name]
+        if not self.exists(name) and self.exists(f"{name}.old"):
+            name = f"{name}.old"
         if not self.exists(name):
             return self.spark.createDataFrame([], schema)
         return self.spark.read.schema(schema).parquet(self._at(name))
@@ -54,13 +56,17 @@ class Store:
         df.select(*out).write.mode("append").parquet(self._at(name))
 
     def rewrite(self, name: str, df: DataFrame) -> None:
-        """Replaces a table: the new one is written beside it, then takes its name."""
+        """Replaces a table: the new one is written beside it and takes its name once the old one is aside, whence `table`
+        reads it if the driver was lost in between."""
         fs, new = self._fs(self._at(f"{name}.new"))
         _, old = self._fs(self._at(name))
         out = [F.col(f.name).cast(f.dataType).alias(f.name) for f in schemas.TABLES[name]]
         df.select(*out).write.mode("overwrite").parquet(self._at(f"{name}.new"))
-        fs.delete(old, True)
+        _, aside = self._fs(self._at(f"{name}.old"))
+        fs.delete(aside, True)
+        fs.rename(old, aside)
         fs.rename(new, old)
+        fs.delete(aside, True)
 
     def reset(self) -> None:
         """Empties all tables but the alerts."""

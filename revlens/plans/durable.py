@@ -6,6 +6,7 @@ import atexit
 import os
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -27,9 +28,11 @@ def ready(spark: SparkSession) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; where the session names none (tests), a temporary one."""
+    """The folder named by spark.checkpoint.dir; where a local session names none (tests), a temporary one."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='revlens-')}")
         named = spark.sparkContext.getCheckpointDir()
     return named.rstrip("/")
@@ -38,7 +41,7 @@ def shared_dir(spark: SparkSession) -> str:
 def written(df: DataFrame) -> DataFrame:
     """The rows as a Parquet table in the shared folder: lineage is cut, and losing an executor loses nothing.
 
-    The folder is removed when the driver's Python ends.
+    The folder is removed when the driver's Python ends, or by `settled`.
     """
     spark = df.sparkSession
     if not _written:
@@ -46,13 +49,30 @@ def written(df: DataFrame) -> DataFrame:
     path = f"{shared_dir(spark)}/revlens-{uuid.uuid4().hex}"
     _written.append((spark, path))
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_path = path
+    return out
+
+
+def settled(make: Callable[[], DataFrame], *before: DataFrame) -> DataFrame:
+    """What `make` returns, written; the tables that it wrote on the way go at once, and so do those of `before`."""
+    first = len(_written)
+    out = written(make())
+    paths = {getattr(df, "_written_path", None) for df in before}
+    for x in [x for x in _written[:first] if x[1] in paths] + _written[first:-1]:
+        _written.remove(x)
+        _delete(*x)
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def _remove() -> None:
     for spark, path in _written:
         try:
-            where = spark._jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+            _delete(spark, path)
         except Exception:  # the session has ended before the interpreter: nothing can be removed any more
             return
