@@ -3,16 +3,25 @@ rest is packed into sequences.
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame; what it returns is written as Parquet and read again
 as the next one's documents, so each stage starts from a table that survives the loss of any executor. All stages but
-the last return the columns of `documents`; n_chars follows the text.
+the last return the columns of `documents`; n_chars follows the text. Tables that a stage wrote on its way are removed
+once its result is written.
+
+Defined results: a null text is an empty one; texts are read whole, whatever their length; of rows that tie (equal ids in
+a group of near-duplicates, pieces of equal length) each operator's docstring says which comes first; repeated rows are
+near-duplicates of each other, so one stays; an empty table gives an empty result; further columns stay up to the last
+stage, whatever their names; ids are cast to long.
 """
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from revlens.llm import packing, pii, simhash, suffix_dedup, toxicity
-from revlens.llm.common import table, written
+from revlens.llm.common import table
+from revlens.plans.durable import settled
 
 
 def _counted(docs: DataFrame) -> DataFrame:
@@ -58,6 +67,8 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
+    own: list[DataFrame] = []  # the stage's input, if it is a table of ours, goes with its intermediate tables
     for _, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir))
+        docs = settled(partial(stage, spark, docs, sf_dir), *own)
+        own = [docs]
     return STAGES[-1][1](spark, docs, sf_dir)
