@@ -566,6 +566,55 @@ def test_license_predictions():
     assert m.predict("the walk under the trees") is None
 
 
+# Texts that aren't variations of the templates: notices as they stand in files, wrapped, in comments, shortened.
+NOTICES = {
+    "mit": ["SPDX-License-Identifier: MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal\nin the Software without restriction, including without limitation the rights",
+            "// Permission is hereby granted, free of charge, to any person obtaining a copy", "This project is released under the MIT License, see LICENSE."],
+    "apache-2.0": ["# Licensed under the Apache License, Version 2.0 (the \"License\");\n# you may not use this file except in compliance with the License.\n# You may obtain a copy of the License at", "SPDX-License-Identifier: Apache-2.0"],
+    "bsd": ["Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions", "modification, are permitted provided that the following conditions are met:\n1. Redistributions of source code must retain the above copyright"],
+    "gpl": ["This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by", " * You should have received a copy of the GNU General Public License\n * along with this program.  If not, see <http://www.gnu.org/licenses/>."],
+    "lgpl": ["This library is free software; you can redistribute it and/or\nmodify it under the terms of the GNU Lesser General Public\nLicense as published by the Free Software Foundation"],
+    "isc": ["Available under the ISC license. Released under the ISC license.", "Permission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted"],
+    "cc-by-sa": ["Text is available under the Creative Commons Attribution-ShareAlike 4.0 License"],
+    "cc-by": ["This article is licensed under a Creative Commons Attribution 4.0 International License, which permits use"],
+    "mpl-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0. If a copy of the MPL was not distributed with this\nfile, You can obtain one at"],
+    "proprietary": ["Copyright 2019 Example Ltd. All rights reserved."],
+}
+CLEAN = [
+    "The committee met under the old trees and the copy of the report was read to all persons.", "You can obtain a copy of the timetable at the station, without charge, on any day.", "Software is hard; the following conditions apply to good work: time and rest.",
+    "In the source of the river and in binary stars, with or without the moon, forms change.", "The general public was let in at noon.", "A copy of the map is in the file on the desk.",
+]
+
+
+def test_licence_notices_as_they_stand():
+    m = licenses.train(["one of the words and others", "a long walk under the trees with all of them", "he gave them a copy of the book"] * 50)
+    missed = [(family, n, m.all(n)) for family, notices in NOTICES.items() for n in notices for _, _, block in licenses.blocks(n) if family not in [f for f, _, _ in m.all(block)]]
+    assert len(missed) <= 2, missed
+    assert [x for x in CLEAN if m.all(x)] == []
+    both = [f for f, _, _ in m.all("Dual licensed: released under the MIT license, or licensed under the Apache License, Version 2.0")]
+    assert both == ["apache-2.0", "mit"]
+
+
+def test_whole_license_query_equals_the_model_on_each_block(spark):
+    """Counts, families and spans of the query by another way of cutting the texts; long blocks in windows, nulls, repeats."""
+    long = "word " * 5000 + NOTICES["apache-2.0"][0].replace("#", "") + " word" * 5000
+    rows = [(1, "Title\n\n" + NOTICES["mit"][1] + "\n\nThe end."), (2, None), (3, ""), (4, long), (4, long), (None, NOTICES["gpl"][1]), (6, "\n\n".join(x for v in NOTICES.values() for x in v))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    m = licenses.train(licenses.background(df))
+    got = sorted(tuple(r) for r in licenses.scan(df, m).selectExpr("coalesce(doc_id, -1)", "n_paragraphs", "n_licenses", "families", "spans").collect())
+    want = []
+    for i, t in rows:
+        hits, n = [], 0
+        for found in re.finditer(r"(?:[^\n]+(?:\n|$))+", t or ""):
+            block = found.group().rstrip("\n")
+            n += 1
+            hits += [f"{f}:{found.start()}:{found.start() + len(block)}:{p:.3f}" for f, p, _ in m.all(" ".join(x.strip(licenses._MARKS) for x in block.split("\n")))]
+        want.append((-1 if i is None else i, n, len(hits), ",".join(sorted({h.split(":")[0] for h in hits})), ",".join(hits)))
+    assert got == sorted(want)
+    by = {r[0]: r[3] for r in got}
+    assert by[1] == "mit" and by[2] == by[3] == "" and by[4] == "apache-2.0" and by[-1] == "gpl"
+
+
 def test_url_edge_cases(spark):
     rows = [(1, "http://A.Example.COM/en/7x?q", "z"), (2, None, "z"), (3, "no scheme", "z"), (None, "x://com", "z"), (5, "x://com/en/", "z"), (5, "x://com/en/", "z"), (6, "x://notcom/en/", "z")]
     pages = spark.createDataFrame(rows, "page_id long, url string, host string")
