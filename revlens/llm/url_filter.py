@@ -36,6 +36,8 @@ DEFAULT_VERDICT = "allow"
 #: Bits of the Bloom filter for each entry, and its greatest size in 64-bit blocks: 8 MB, for half a million entries at
 #: full precision. Of longer lists more URLs are joined for nothing; the result is the same.
 BITS_AN_ENTRY, MOST_BLOCKS = 64, 1 << 20
+#: Bytes up to which the list itself is broadcast, counted as four for each character and 32 for each entry.
+BROADCAST_BYTES = 8 << 20
 #: Bits set in its block by each entry.
 BLOOM_BITS = 4
 
@@ -119,13 +121,16 @@ def filter_urls(pages: DataFrame, listed: DataFrame, id_col: str = "page_id", ur
         .agg(F.min("verdict").alias("verdict"))
     )
     parts = rows.select("page_id", host.alias("host"), path.alias("path"))
-    tested = possible_hits(parts, entries, blocks or blocks_for(entries.count()))
+    n, size = entries.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.length("rule_host") + F.length("rule_path")), F.lit(0))).first()
+    # a short list goes to every task, so that an entry that many URLs fit is no hot key; a longer one is hashed
+    exact = F.broadcast(entries) if 4 * size + 32 * n <= BROADCAST_BYTES else entries.hint("shuffle_hash")
+    tested = possible_hits(parts, entries, blocks or blocks_for(n))
     some = F.size("hits") > 0
     judged = (
         tested.where(some).groupBy("host", "path").agg(F.first("hits").alias("hits"))  # equal URLs have equal hits
         .select("host", "path", F.explode("hits").alias("c"))
         .select("host", "path", "c.*")
-        .join(entries.hint("shuffle_hash"), ["rule_host", "rule_path"])
+        .join(exact, ["rule_host", "rule_path"])
         .groupBy("host", "path")
         .agg(F.max_by(F.struct(F.concat("rule_host", "rule_path").alias("rule"), "verdict"), F.struct(F.length("rule_host") + F.length("rule_path"), F.length("rule_host"))).alias("best"))
         .select(F.col("host").alias("h"), F.col("path").alias("p"), "best.rule", "best.verdict")
