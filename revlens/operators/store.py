@@ -63,8 +63,9 @@ class Store:
         out = [F.col(f.name).cast(f.dataType).alias(f.name) for f in schemas.TABLES[name]]
         df.select(*out).write.mode("overwrite").parquet(self._at(f"{name}.new"))
         _, aside = self._fs(self._at(f"{name}.old"))
-        fs.delete(aside, True)
-        fs.rename(old, aside)
+        if fs.exists(old):
+            fs.delete(aside, True)
+            fs.rename(old, aside)
         fs.rename(new, old)
         fs.delete(aside, True)
 
