@@ -6,8 +6,8 @@ are the presence of word 1- to 3-grams that occur in the licence templates and h
 so a window without telling words is background at once. A softmax regression over the licence families, an unknown
 licence and background is trained on variations of the templates (whole, wrapped, cut to their beginning or end, with
 words lost and words of other paragraphs around them) and on a bounded sample of the corpus's own paragraphs. Its
-probabilities are calibrated by a temperature fitted on a fold of templates and frames that the weights haven't seen. A
-predicted family is confirmed if a template of it is there: CONFIRMED of its word 3-grams, or of the paragraph's own
+probabilities are calibrated by a temperature fitted on a fold of other variations, and of frames and paragraphs that the
+weights haven't seen. A predicted family is confirmed if a template of it is there: CONFIRMED of its word 3-grams, or of the paragraph's own
 3-grams where it is a piece of a template of at least LEAST_PIECE of them. What isn't confirmed, or not sure enough,
 counts as `unknown`. Tags that name a licence by its identifier are read as templates of their own.
 
@@ -232,8 +232,8 @@ def _variations(ws: list[str], around, rng: random.Random) -> list[str]:
 
 
 def _examples(background: list[list[str]], rng: random.Random) -> tuple[list[tuple[list[str], str]], list[tuple[list[str], str]]]:
-    """(for the weights, for the temperature): the second are variations of templates and frames that the first lack, as
-    far as a family has several, and other paragraphs."""
+    """(for the weights, for the temperature): the second are other variations of a template of each family, and frames and
+    paragraphs that the first lack."""
     filler = [w for ws in background for w in ws] or ["text"]
     around = lambda: [rng.choice(filler) for _ in range(rng.randrange(6))]
     fit: list[tuple[list[str], str]] = []
