@@ -31,7 +31,7 @@ from revlens.llm.common import ready, table, text_or_empty
 VOCABULARY = "byte_bpe_50k.tiktoken"
 #: States that a worker keeps before it starts afresh; bytes of each of its two tables of parts of text with their ids,
 #: longest part that is kept, and what an entry takes beside its contents.
-KEPT_STATES, KEPT_BYTES, LONGEST_KEPT, _ENTRY = 200_000, 72 << 20, 256, 200
+KEPT_STATES, KEPT_BYTES, LONGEST_KEPT, _ENTRY = 200_000, 128 << 20, 256, 200
 #: Bytes read at least before settled tokens are emitted; most matches of the pattern are shorter.
 SETTLE = 64
 #: Tokens decoded at a time.
