@@ -1,10 +1,14 @@
-"""Pairs of texts whose sets of word shingles have a Jaccard similarity of a threshold or more: all of them.
+"""Links of texts whose sets of word shingles have a Jaccard similarity of a threshold or more: none is lost.
 
 Shingles are hashed to 64 bits and ordered by (common in a sample, hash), the same order in every text. Two sets of
 similarity t share at least t of either, so their prefixes, the first n - ceil(t n) + MEET shingles of n, meet in MEET
 shingles (sets too small for that in one). Prefixes are dealt by shingle, sets of too different sizes aren't paired, and
 each pair that meets is verified on the whole texts. The sample only moves shingles of many texts out of the prefixes: it never changes a result.
 
+Groups of near copies aren't paired out. First a few pairs a set are verified: those that the caller names, and each set
+with the least one of the shingles that it was dealt by. What they link is one component, and only sets of different
+components are paired then. Shingles of more than TILE sets are split into tiles, and each pair of tiles is a bucket of its own.
+
 Defined results: words are those of op7; a text of fewer words than a shingle has one shingle of all its words, and
 texts without words have equal, empty sets. Texts of equal sets are one node. Equal 64-bit hashes count as equal.
 """
@@ -22,6 +26,7 @@ from pyspark.sql import functions as F
 
 from revlens.llm import bitmap
 from revlens.llm.common import released, text_or_empty, written
+from revlens.operators.components import components
 
 SHINGLE, SIMILARITY = 5, 0.8
 #: Shingles of their prefixes that a pair must share before it is verified; any number gives the same result.
@@ -30,6 +35,8 @@ MEET = 4
 SAMPLE, COMMON, MOST_COMMON = 20_000, 16, 1 << 18
 #: Bits of a dealt shingle's hash; the others of its long hold the set's size.
 _HASH, _SIZE = 40, 24
+#: Sets of a shingle that one task pairs; more are tiled.
+TILE = 8192
 #: Pairs that leave a bucket at a time, about.
 _PAIRS = 1 << 18
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -99,41 +106,46 @@ def _dealt(common, length: int, similarity: float):
 
 
 def _candidates(similarity: float):
-    def bucket(size: np.ndarray, fp: np.ndarray) -> Iterator[pa.RecordBatch]:
-        """Pairs of a shingle's sets, in order of size: each with those after it up to size / similarity."""
-        ends = np.searchsorted(size, np.floor(size / similarity + 1e-6), "right")
-        counts = ends - np.arange(len(size)) - 1
+    def bucket(x: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """Pairs of different components among one bucket's sets: each set beyond the most frequent component with all others."""
+        x = x[:, np.argsort(x[3], kind="stable")]
+        fp, size, root, side = x[2], x[3], x[4], x[5]
+        names, which, counts = np.unique(root, return_inverse=True, return_counts=True)
+        rest = which != counts.argmax()
+        tiled = side.any()
+        of = np.flatnonzero(rest)
+        low = np.searchsorted(size, np.ceil(size[of] * similarity - 1e-6), "left")
+        counts = np.searchsorted(size, np.floor(size[of] / similarity + 1e-6), "right") - low
         total = np.concatenate([[0], np.cumsum(counts)])
         a = 0
-        while a < len(size):
+        while a < len(of):
             b = max(a + 1, int(np.searchsorted(total, total[a] + _PAIRS, "right")) - 1)
-            i = np.repeat(np.arange(a, b), counts[a:b])
-            j = i + 1 + np.arange(len(i)) - np.repeat(total[a:b] - total[a], counts[a:b])
-            u, v = fp[i], fp[j]
+            i = np.repeat(of[a:b], counts[a:b])
+            j = np.repeat(low[a:b], counts[a:b]) + np.arange(len(i)) - np.repeat(total[a:b] - total[a], counts[a:b])
+            wanted = (root[i] != root[j]) & (~rest[j] | (i < j))
+            if tiled:
+                wanted &= side[i] != side[j]
+            i, j = i[wanted], j[wanted]
             # a set that can share fewer than MEET is verified at once
-            met = np.where(size[i] * similarity <= MEET, MEET, 1)
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v)), pa.array(met)], ["u", "v", "met"])
+            met = np.where(np.minimum(size[i], size[j]) * similarity <= MEET, MEET, 1)
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(fp[i], fp[j])), pa.array(np.maximum(fp[i], fp[j])), pa.array(met)], ["u", "v", "met"])
             a = b
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows sorted by (key, fp); a key's upper bits are the shingle, its lower the size."""
+        """Rows sorted by (shingle, tiles); a bucket has 2 * TILE rows, about, at most."""
         held: list[np.ndarray] = []
 
         def pairs(x: np.ndarray, last: bool) -> Iterator[pa.RecordBatch]:
-            shingle = x[0] >> _SIZE
-            starts = np.concatenate([[0], np.flatnonzero(shingle[1:] != shingle[:-1]) + 1, [x.shape[1]] if last else []]).astype(np.int64)
+            cuts = np.flatnonzero((x[:2, 1:] != x[:2, :-1]).any(axis=0)) + 1
+            starts = np.concatenate([[0], cuts, [x.shape[1]] if last else []]).astype(np.int64)
             for i in np.flatnonzero(np.diff(starts) > 1):
-                part = x[:, starts[i] : starts[i + 1]]
-                part = part[:, np.concatenate([[True], (part[:, 1:] != part[:, :-1]).any(axis=0)])]
-                if part.shape[1] > 1:
-                    yield from bucket(part[0] & ((1 << _SIZE) - 1), part[1])
-            if not last:
-                held[:] = [x[:, starts[-1] :]]
+                yield from bucket(x[:, starts[i] : starts[i + 1]])
+            held[:] = [] if last else [x[:, starts[-1] :]]
 
         for batch in batches:
-            x = np.stack([np.asarray(batch.column(c)).astype(np.int64) for c in ("key", "fp")])
+            x = np.stack([np.asarray(batch.column(c)).astype(np.int64) for c in ("shingle", "tiles", "fp", "size", "root", "side")])
             held.append(x)
-            if x.shape[1] and x[0, -1] >> _SIZE != held[0][0, 0] >> _SIZE:
+            if x.shape[1] and (x[:2, -1] != held[0][:2, 0]).any():
                 yield from pairs(np.concatenate(held, axis=1), False)
         if held:
             yield from pairs(np.concatenate(held, axis=1), True)
@@ -144,20 +156,22 @@ def _candidates(similarity: float):
 def _verified(length: int, similarity: float):
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            read = lambda c: (shingles(t.as_py(), length) for t in batch.column(c))  # noqa: B023, E731
-            keep = pa.array([similar(a, b, similarity) for a, b in zip(read("tu"), read("tv"), strict=True)], pa.bool_())
-            yield batch.select(["u", "v"]).filter(keep)
+            sets: dict[int, np.ndarray] = {}
+
+            def read(fp: int, t: pa.StringScalar) -> np.ndarray:
+                if fp not in sets:  # noqa: B023
+                    sets[fp] = shingles(t.as_py(), length)  # noqa: B023
+                return sets[fp]  # noqa: B023
+
+            columns = [batch.column(c) for c in ("u", "v", "tu", "tv")]
+            keep = [similar(read(u.as_py(), tu), read(v.as_py(), tv), similarity) for u, v, tu, tv in zip(*columns, strict=True)]
+            yield batch.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
     return verify
 
 
-def links(rows: DataFrame, common: np.ndarray, length: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
-    """u, v: all pairs of different signatures of at least this similarity. `rows`, written: id (different), fp (signature), t."""
-    shared = rows.sparkSession.sparkContext.broadcast(common)
-    dealt = rows.select("fp", "t").mapInArrow(released(_dealt(shared, length, similarity)), "key long, fp long")
-    by_shingle = dealt.repartition(F.shiftright("key", _SIZE)).sortWithinPartitions("key", "fp")
-    met = by_shingle.mapInArrow(released(_candidates(similarity)), "u long, v long, met long")
-    pairs = written(met.groupBy("u", "v").agg(F.sum("met").alias("met")).where(F.col("met") >= MEET).select("u", "v"))
+def _similar_pairs(rows: DataFrame, pairs: DataFrame, length: int, similarity: float) -> DataFrame:
+    """Those of the written `pairs` (u, v) whose texts are similar."""
     nodes = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
     # one row of each signature gives its text; others that pass the filter only repeat a pair
     keys = written(rows.select("id", "fp").join(nodes, F.col("fp") == F.col("node"), "left_semi").groupBy("fp").agg(F.min("id").alias("key")).select("key"))
@@ -166,3 +180,38 @@ def links(rows: DataFrame, common: np.ndarray, length: int = SHINGLE, similarity
     texts = rows.crossJoin(F.broadcast(words)).where(bitmap.test(F.col("id"), bits)).select("fp", "t")
     both = pairs.join(texts.select(F.col("fp").alias("u"), F.col("t").alias("tu")), "u").join(texts.select(F.col("fp").alias("v"), F.col("t").alias("tv")), "v")
     return both.select("u", "v", "tu", "tv").mapInArrow(released(_verified(length, similarity)), "u long, v long")
+
+
+def _buckets(shared: DataFrame, roots: DataFrame, tile: int) -> DataFrame:
+    """The sets of each shingle that has several components, dealt and sorted by shingle and pair of tiles."""
+    placed = shared.join(roots, F.col("fp") == F.col("node"), "left").select("shingle", "size", "fp", F.coalesce("root", "fp").alias("root")).distinct()
+    several = placed.groupBy("shingle").agg(F.min("root").alias("first"), F.max("root").alias("last"), F.count(F.lit(1)).alias("n")).where(F.col("first") != F.col("last"))
+    counted = several.select(F.col("shingle").alias("s"), F.ceil(F.col("n") / tile).cast("long").alias("count"))
+    mine = F.pmod(F.xxhash64("fp"), F.col("count"))
+    tiled = placed.join(counted, F.col("shingle") == F.col("s")).withColumn("mine", mine).withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), F.col("count") - 1)))
+    tiles = F.least("mine", "with") * F.col("count") + F.greatest("mine", "with")
+    dealt = tiled.select("shingle", tiles.alias("tiles"), "fp", "size", "root", (F.col("mine") > F.col("with")).cast("long").alias("side"))
+    return dealt.repartition("shingle", "tiles").sortWithinPartitions("shingle", "tiles")
+
+
+def links(
+    rows: DataFrame, common: np.ndarray, length: int = SHINGLE, similarity: float = SIMILARITY, first: DataFrame | None = None, tile: int = TILE
+) -> DataFrame:
+    """u, v: links that connect the same signatures as all pairs of at least this similarity would.
+
+    `rows`, written: id (different), fp (signature), t. `first`: pairs (u, v) of signatures that are likely similar.
+    """
+    known = rows.sparkSession.sparkContext.broadcast(common)
+    dealt = written(rows.select("fp", "t").mapInArrow(released(_dealt(known, length, similarity)), "key long, fp long"))
+    sets = dealt.select(F.shiftrightunsigned("key", _SIZE).alias("shingle"), F.col("key").bitwiseAND(F.lit((1 << _SIZE) - 1)).alias("size"), "fp")
+    least = sets.groupBy("shingle").agg(F.min("fp").alias("least"), F.max("fp").alias("most")).where("least <> most").select(F.col("shingle").alias("s"), "least")
+    shared = written(sets.join(least, F.col("shingle") == F.col("s")).select("shingle", "size", "fp", "least"))
+    met = F.when(F.col("size") * similarity <= MEET, MEET).otherwise(1)
+    led = shared.where("fp <> least").distinct().groupBy(F.col("least").alias("u"), F.col("fp").alias("v")).agg(F.sum(met).alias("met")).where(F.col("met") >= MEET)
+    likely = led.select("u", "v")
+    if first is not None:
+        likely = likely.union(first.select(F.least("u", "v"), F.greatest("u", "v")).where("u <> v")).distinct()
+    roots = written(components(_similar_pairs(rows, written(likely), length, similarity)))
+    found = _buckets(shared, roots, tile).mapInArrow(released(_candidates(similarity)), "u long, v long, met long")
+    others = written(found.groupBy("u", "v").agg(F.sum("met").alias("met")).where(F.col("met") >= MEET).select("u", "v"))
+    return roots.select(F.col("node").alias("u"), F.col("root").alias("v")).union(_similar_pairs(rows, others, length, similarity))

@@ -15,8 +15,8 @@ into tiles, and each pair of tiles is a bucket of its own, so no task meets an u
 Defined results: null and empty texts have fingerprint zero, which links like any other; documents of equal
 fingerprints (copies) are one node; very long texts are hashed whole, their bits counted in parts; repeated rows each
 get their row; ids are cast to long; a null doc_id is never a component's id unless all of the component's are null; an
-empty table gives an empty result; other columns are ignored by `near_duplicates` and kept by `keep_one`, which finds
-its pairs by shingle_join and breaks ties between rows of equal id by a hash of their columns.
+empty table gives an empty result; other columns are ignored by `near_duplicates` and kept by `keep_one`, which breaks
+ties between rows of equal id by a hash of their columns.
 """
 
 from __future__ import annotations
@@ -57,12 +57,16 @@ def fingerprint(text: str) -> int:
         return xxhash.xxh64_intdigest(b" ".join(words), SEED)
     n = len(words) - SHINGLE + 1
     shingles = map(b" ".join, zip(*(words[i:] for i in range(SHINGLE)), strict=False))
-    hashes = np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(SEED)), np.uint64, n)
+    return majority(np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(SEED)), np.uint64, n))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The number whose bits are those set in more than half of the hashes; zero if there are none."""
     counts = np.zeros(BITS, np.int64)
-    for a in range(0, n, _COUNT):
+    for a in range(0, len(hashes), _COUNT):
         bits = np.unpackbits(hashes[a : a + _COUNT].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
         counts += bits.sum(axis=0, dtype=np.int32)
-    return int(np.packbits(2 * counts > n, bitorder="little").view("<u8")[0])
+    return int(np.packbits(2 * counts > len(hashes), bitorder="little").view("<u8")[0])
 
 
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -279,28 +283,41 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def _marked(length: int):
     def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            values = np.array([shingle_join.signature(shingle_join.shingles(t.as_py(), length)) for t in batch.column("t")], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(values, pa.int64())], ["row", "fp"])
+            sets = [shingle_join.shingles(t.as_py(), length) for t in batch.column("t")]
+            values = [pa.array(np.array([f(s) for s in sets], np.uint64).view(np.int64), pa.int64()) for f in (shingle_join.signature, majority)]
+            yield pa.RecordBatch.from_arrays([batch.column("row"), *values], ["row", "fp", "print"])
 
     return marked
 
 
+def likely(rows: DataFrame) -> DataFrame:
+    """u, v: pairs of the signatures (`fp`) whose fingerprints (`print`) are equal or linked, as many as connect them."""
+    marks = written(rows.select("fp", "print").distinct())
+    least = marks.groupBy("print").agg(F.min("fp").alias("least"))
+    equal = marks.join(least, "print").where("fp <> least").select(F.col("least").alias("u"), F.col("fp").alias("v"))
+    near = links(least.select(F.col("print").alias("fp")))
+    u = least.select(F.col("print").alias("u"), F.col("least").alias("lu"))
+    v = least.select(F.col("print").alias("v"), F.col("least").alias("lv"))
+    return equal.union(near.join(u, "u").join(v, "v").select("lu", "lv"))
+
+
 def keep_one(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = shingle_join.SHINGLE, similarity: float = shingle_join.SIMILARITY
 ) -> DataFrame:
     """Of each component one row stays: that of least id, rows without ids after all others; of repeats of it any one.
 
-    Components are those of all pairs whose sets of `shingle` words have a Jaccard similarity of `similarity` or more;
-    op7's fingerprints and radius aren't used.
+    Components are those of all pairs whose sets of `shingle` words have a Jaccard similarity of `similarity` or more.
+    Fingerprints of these shingles, linked as above, name pairs that are verified first; shingle_join finds what links
+    are beyond the radius.
     """
     ready(docs.sparkSession)
     common = shingle_join.common_shingles(docs, text_col, shingle)
     packed = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
     kind = docs.select(packed).schema["row"].dataType.simpleString()
-    with_fp = docs.select(packed, text_or_empty(text_col).alias("t")).mapInArrow(released(_marked(shingle)), f"row {kind}, fp long")
-    rows = written(with_fp.select("row", "fp", F.monotonically_increasing_id().alias("id")))
+    with_fp = docs.select(packed, text_or_empty(text_col).alias("t")).mapInArrow(released(_marked(shingle)), f"row {kind}, fp long, print long")
+    rows = written(with_fp.select("row", "fp", "print", F.monotonically_increasing_id().alias("id")))
     light = rows.select("id", "fp")
-    found = shingle_join.links(rows.select("id", "fp", text_or_empty(f"row.`{text_col}`").alias("t")), common, shingle, similarity)
+    found = shingle_join.links(rows.select("id", "fp", text_or_empty(f"row.`{text_col}`").alias("t")), common, shingle, similarity, likely(rows))
     order = F.struct(F.col("_id").isNull(), F.col("_id"), F.col("content"), F.col("of"))
     content = F.xxhash64(*[F.col(f"row.`{c}`") for c, kind in docs.dtypes if "map<" not in kind and kind != "variant"])
     ids = rows.select(F.col("id").alias("of"), F.col(f"row.`{id_col}`").alias("_id"), content.alias("content"))
