@@ -173,11 +173,13 @@ def _verified(length: int, similarity: float):
 def _similar_pairs(rows: DataFrame, pairs: DataFrame, length: int, similarity: float) -> DataFrame:
     """Those of the written `pairs` (u, v) whose texts are similar."""
     nodes = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
-    # one row of each signature gives its text; others that pass the filter only repeat a pair
+    # one row of each signature gives its text; the bitmap leaves few others, which the join takes out: a copied text
+    # would repeat all its pairs
     keys = written(rows.select("id", "fp").join(nodes, F.col("fp") == F.col("node"), "left_semi").groupBy("fp").agg(F.min("id").alias("key")).select("key"))
     bits = bitmap.size(keys.count())
     words = bitmap.column(bitmap.collect(keys, bits), rows.sparkSession)
-    texts = rows.crossJoin(F.broadcast(words)).where(bitmap.test(F.col("id"), bits)).select("fp", "t")
+    passed = rows.crossJoin(F.broadcast(words)).where(bitmap.test(F.col("id"), bits)).select("id", "fp", "t")
+    texts = passed.join(keys, F.col("id") == F.col("key"), "left_semi").select("fp", "t")
     both = pairs.join(texts.select(F.col("fp").alias("u"), F.col("t").alias("tu")), "u").join(texts.select(F.col("fp").alias("v"), F.col("t").alias("tv")), "v")
     return both.select("u", "v", "tu", "tv").mapInArrow(released(_verified(length, similarity)), "u long, v long")
 
