@@ -9,6 +9,11 @@ Groups of near copies aren't paired out. First a few pairs a set are verified: t
 with the least one of the shingles that it was dealt by. What they link is one component, and only sets of different
 components are paired then. Shingles of more than TILE sets are split into tiles, and each pair of tiles is a bucket of its own.
 
+A pair leaves its bucket only if its sketches allow the similarity: a sketch holds, for each of SKETCH bits, the parity
+of the set's shingles that fall on it, so two sketches differ in at most as many bits as the sets in shingles, and sets of
+similarity t differ in at most (1 - t) / (1 + t) of their sizes' sum. This loses no link. Sketches tell sets apart up to
+some 1,200 shingles; larger sets are rarely paired, since their prefixes hold no shingles that many texts share.
+
 Defined results: words are those of op7; a text of fewer words than a shingle has one shingle of all its words, and
 texts without words have equal, empty sets. Texts of equal sets are one node. Equal 64-bit hashes count as equal.
 """
@@ -37,8 +42,11 @@ SAMPLE, COMMON, MOST_COMMON = 20_000, 16, 1 << 18
 _HASH, _SIZE = 40, 24
 #: Sets of a shingle that one task pairs; more are tiled.
 TILE = 8192
-#: Pairs that leave a bucket at a time, about.
+#: Pairs that are compared in a bucket at a time, about.
 _PAIRS = 1 << 18
+#: Bits of a sketch, and its columns of 64 bits.
+SKETCH = 512
+_WORDS = [f"sketch{i}" for i in range(SKETCH // 64)]
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -61,6 +69,12 @@ def signature(s: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(s.astype("<u8").tobytes())
 
 
+def sketch(s: np.ndarray) -> np.ndarray:
+    """SKETCH bits as 64-bit words: the parity of the shingles that fall on each."""
+    odd = np.bincount((s & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH) & 1
+    return np.packbits(odd.astype(bool), bitorder="little").view("<u8")
+
+
 def prefix(s: np.ndarray, common: np.ndarray, similarity: float = SIMILARITY) -> np.ndarray:
     """The shingles of which sets of this similarity share MEET; `common` is sorted."""
     n = len(s) - math.ceil(similarity * len(s) - 1e-9) + MEET
@@ -94,13 +108,15 @@ def common_shingles(docs: DataFrame, text_col: str, length: int) -> np.ndarray:
 def _dealt(common, length: int, similarity: float):
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, fps = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
-            for fp, t in zip(batch.column("fp").to_pylist(), batch.column("t"), strict=True):
+            keys, sketches = [], [np.zeros((0, len(_WORDS)), np.uint64)]
+            for t in batch.column("t"):
                 s = shingles(t.as_py(), length)
                 h = np.unique(prefix(s, common.value, similarity) >> np.uint64(64 - _HASH))
-                keys.append(h << np.uint64(_SIZE) | np.uint64(min(len(s), (1 << _SIZE) - 1)))
-                fps.append(np.full(len(h), fp, np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(fps))], ["key", "fp"])
+                keys.append((h << np.uint64(_SIZE) | np.uint64(min(len(s), (1 << _SIZE) - 1))).view(np.int64))
+                sketches.append(sketch(s)[None])
+            words = np.concatenate(sketches).view(np.int64).T
+            arrays = [batch.column("fp"), pa.array(keys, pa.list_(pa.int64())), *(pa.array(np.ascontiguousarray(w)) for w in words)]
+            yield pa.RecordBatch.from_arrays(arrays, ["fp", "keys", *_WORDS])
 
     return deal
 
@@ -110,6 +126,7 @@ def _candidates(similarity: float):
         """Pairs of different components among one bucket's sets: each set beyond the most frequent component with all others."""
         x = x[:, np.argsort(x[3], kind="stable")]
         fp, size, root, side = x[2], x[3], x[4], x[5]
+        marks = np.ascontiguousarray(x[6:].T).view(np.uint64)
         names, which, counts = np.unique(root, return_inverse=True, return_counts=True)
         rest = which != counts.argmax()
         tiled = side.any()
@@ -126,6 +143,9 @@ def _candidates(similarity: float):
             if tiled:
                 wanted &= side[i] != side[j]
             i, j = i[wanted], j[wanted]
+            differing = np.bitwise_count(marks[i] ^ marks[j]).sum(axis=1, dtype=np.int64)
+            near = differing <= (size[i] + size[j]) * ((1 - similarity) / (1 + similarity)) + 1e-6
+            i, j = i[near], j[near]
             # a set that can share fewer than MEET is verified at once
             met = np.where(np.minimum(size[i], size[j]) * similarity <= MEET, MEET, 1)
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(fp[i], fp[j])), pa.array(np.maximum(fp[i], fp[j])), pa.array(met)], ["u", "v", "met"])
@@ -143,7 +163,7 @@ def _candidates(similarity: float):
             held[:] = [] if last else [x[:, starts[-1] :]]
 
         for batch in batches:
-            x = np.stack([np.asarray(batch.column(c)).astype(np.int64) for c in ("shingle", "tiles", "fp", "size", "root", "side")])
+            x = np.stack([np.asarray(batch.column(c)).astype(np.int64) for c in ("shingle", "tiles", "fp", "size", "root", "side", *_WORDS)])
             held.append(x)
             if x.shape[1] and (x[:2, -1] != held[0][:2, 0]).any():
                 yield from pairs(np.concatenate(held, axis=1), False)
@@ -184,15 +204,16 @@ def _similar_pairs(rows: DataFrame, pairs: DataFrame, length: int, similarity: f
     return both.select("u", "v", "tu", "tv").mapInArrow(released(_verified(length, similarity)), "u long, v long")
 
 
-def _buckets(shared: DataFrame, roots: DataFrame, tile: int) -> DataFrame:
-    """The sets of each shingle that has several components, dealt and sorted by shingle and pair of tiles."""
+def _buckets(shared: DataFrame, roots: DataFrame, sketches: DataFrame, tile: int) -> DataFrame:
+    """The sets of each shingle that has several components, with sketches, dealt and sorted by shingle and pair of tiles."""
     placed = shared.join(roots, F.col("fp") == F.col("node"), "left").select("shingle", "size", "fp", F.coalesce("root", "fp").alias("root")).distinct()
     several = placed.groupBy("shingle").agg(F.min("root").alias("first"), F.max("root").alias("last"), F.count(F.lit(1)).alias("n")).where(F.col("first") != F.col("last"))
     counted = several.select(F.col("shingle").alias("s"), F.ceil(F.col("n") / tile).cast("long").alias("count"))
     mine = F.pmod(F.xxhash64("fp"), F.col("count"))
-    tiled = placed.join(counted, F.col("shingle") == F.col("s")).withColumn("mine", mine).withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), F.col("count") - 1)))
+    marked = placed.join(counted, F.col("shingle") == F.col("s")).join(sketches, F.col("fp") == F.col("of"))
+    tiled = marked.withColumn("mine", mine).withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), F.col("count") - 1)))
     tiles = F.least("mine", "with") * F.col("count") + F.greatest("mine", "with")
-    dealt = tiled.select("shingle", tiles.alias("tiles"), "fp", "size", "root", (F.col("mine") > F.col("with")).cast("long").alias("side"))
+    dealt = tiled.select("shingle", tiles.alias("tiles"), "fp", "size", "root", (F.col("mine") > F.col("with")).cast("long").alias("side"), *_WORDS)
     return dealt.repartition("shingle", "tiles").sortWithinPartitions("shingle", "tiles")
 
 
@@ -204,8 +225,10 @@ def links(
     `rows`, written: id (different), fp (signature), t. `first`: pairs (u, v) of signatures that are likely similar.
     """
     known = rows.sparkSession.sparkContext.broadcast(common)
-    dealt = written(rows.select("fp", "t").mapInArrow(released(_dealt(known, length, similarity)), "key long, fp long"))
-    sets = dealt.select(F.shiftrightunsigned("key", _SIZE).alias("shingle"), F.col("key").bitwiseAND(F.lit((1 << _SIZE) - 1)).alias("size"), "fp")
+    columns = ", ".join(["fp long", "keys array<long>", *(f"{w} long" for w in _WORDS)])
+    dealt = written(rows.select("fp", "t").mapInArrow(released(_dealt(known, length, similarity)), columns))
+    sketches = dealt.groupBy(F.col("fp").alias("of")).agg(*(F.min(w).alias(w) for w in _WORDS))  # equal in copies
+    sets = dealt.select("fp", F.explode("keys").alias("key")).select(F.shiftrightunsigned("key", _SIZE).alias("shingle"), F.col("key").bitwiseAND(F.lit((1 << _SIZE) - 1)).alias("size"), "fp")
     least = sets.groupBy("shingle").agg(F.min("fp").alias("least"), F.max("fp").alias("most")).where("least <> most").select(F.col("shingle").alias("s"), "least")
     shared = written(sets.join(least, F.col("shingle") == F.col("s")).select("shingle", "size", "fp", "least"))
     met = F.when(F.col("size") * similarity <= MEET, MEET).otherwise(1)
@@ -214,6 +237,6 @@ def links(
     if first is not None:
         likely = likely.union(first.select(F.least("u", "v"), F.greatest("u", "v")).where("u <> v")).distinct()
     roots = written(components(_similar_pairs(rows, written(likely), length, similarity)))
-    found = _buckets(shared, roots, tile).mapInArrow(released(_candidates(similarity)), "u long, v long, met long")
+    found = _buckets(shared, roots, sketches, tile).mapInArrow(released(_candidates(similarity)), "u long, v long, met long")
     others = written(found.groupBy("u", "v").agg(F.sum("met").alias("met")).where(F.col("met") >= MEET).select("u", "v"))
     return roots.select(F.col("node").alias("u"), F.col("root").alias("v")).union(_similar_pairs(rows, others, length, similarity))
