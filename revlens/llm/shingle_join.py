@@ -7,7 +7,7 @@ each pair that meets is verified on the whole texts. The sample only moves shing
 
 Groups of near copies aren't paired out. First a few pairs a set are verified: those that the caller names, and each set
 with the least one of the shingles that it was dealt by. What they link is one component, and only sets of different
-components are paired then. Shingles of more than TILE sets are split into tiles, and each pair of tiles is a bucket of its own.
+components are paired then: at first each set of a bucket with one other, then all that are still apart. Shingles of more than TILE sets are split into tiles, and each pair of tiles is a bucket of its own.
 
 A pair leaves its bucket only if its sketches allow the similarity: a sketch holds, for each of SKETCH bits, the parity
 of the set's shingles that fall on it, so two sketches differ in at most as many bits as the sets in shingles, and sets of
@@ -121,7 +121,9 @@ def _dealt(common, length: int, similarity: float):
     return deal
 
 
-def _candidates(similarity: float):
+def _candidates(similarity: float, one: bool = False):
+    """The pairs that the sketches allow; with `one`, for each set of a bucket only that with the least signature."""
+
     def bucket(x: np.ndarray) -> Iterator[pa.RecordBatch]:
         """Pairs of different components among one bucket's sets: each set beyond the most frequent component with all others."""
         x = x[:, np.argsort(x[3], kind="stable")]
@@ -139,13 +141,19 @@ def _candidates(similarity: float):
             b = max(a + 1, int(np.searchsorted(total, total[a] + _PAIRS, "right")) - 1)
             i = np.repeat(of[a:b], counts[a:b])
             j = np.repeat(low[a:b], counts[a:b]) + np.arange(len(i)) - np.repeat(total[a:b] - total[a], counts[a:b])
-            wanted = (root[i] != root[j]) & (~rest[j] | (i < j))
+            wanted = root[i] != root[j]
+            if not one:
+                wanted &= ~rest[j] | (i < j)
             if tiled:
                 wanted &= side[i] != side[j]
             i, j = i[wanted], j[wanted]
             differing = np.bitwise_count(marks[i] ^ marks[j]).sum(axis=1, dtype=np.int64)
             near = differing <= (size[i] + size[j]) * ((1 - similarity) / (1 + similarity)) + 1e-6
             i, j = i[near], j[near]
+            if one and len(i):
+                order = np.lexsort((fp[j], i))
+                order = order[np.concatenate([[True], i[order][1:] != i[order][:-1]])]
+                i, j = i[order], j[order]
             # a set that can share fewer than MEET is verified at once
             met = np.where(np.minimum(size[i], size[j]) * similarity <= MEET, MEET, 1)
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(fp[i], fp[j])), pa.array(np.maximum(fp[i], fp[j])), pa.array(met)], ["u", "v", "met"])
@@ -236,7 +244,12 @@ def links(
     likely = led.select("u", "v")
     if first is not None:
         likely = likely.union(first.select(F.least("u", "v"), F.greatest("u", "v")).where("u <> v")).distinct()
-    roots = written(components(_similar_pairs(rows, written(likely), length, similarity)))
+    roots = components(_similar_pairs(rows, written(likely), length, similarity))
+    # sets that differ from the least one of a shingle may still be similar to each other: link each with one neighbour,
+    # so that the last round meets few pairs of a group of near copies
+    one = _buckets(shared, roots, sketches, tile).mapInArrow(released(_candidates(similarity, True)), "u long, v long, met long")
+    linked = _similar_pairs(rows, written(one.select("u", "v").distinct()), length, similarity)
+    roots = written(components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).union(linked)))
     found = _buckets(shared, roots, sketches, tile).mapInArrow(released(_candidates(similarity)), "u long, v long, met long")
     others = written(found.groupBy("u", "v").agg(F.sum("met").alias("met")).where(F.col("met") >= MEET).select("u", "v"))
     return roots.select(F.col("node").alias("u"), F.col("root").alias("v")).union(_similar_pairs(rows, others, length, similarity))
