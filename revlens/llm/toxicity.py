@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from revlens.llm.common import ready, released, table, text_or_empty, written
+from revlens.llm.common import ready, released, table, text_or_empty, trim, written
 
 #: Bounds of the sample of labelled documents.
 MOST_TOXIC, MOST_CLEAN = 1024, 3072
@@ -334,7 +334,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Index:
         .select("feature", certain.alias("certain"), ((p1 + 0.5 / n1) / (p0 + 0.5 / n0)).alias("ratio"))
         .where((F.col("certain") >= LEAST_EVIDENCE) & (F.col("ratio") >= LEAST_RATIO))
     )
-    leaning = [r["feature"] for r in chosen.select("feature").collect()]  # terms of many of the sampled examples
+    leaning = chosen.select("feature").toArrow().column("feature").to_pylist()  # terms of many of the sampled examples
     stems = frozenset(f for f in leaning if f.endswith("*"))
     rows = examples.select("id", "toxic", "t").mapInArrow(released(_vectors(stems)), "id long, toxic int, f array<long>, n array<int>").toArrow().combine_chunks()  # the sample's vectors
     sizes = np.diff(np.concatenate([[0], np.cumsum([len(x) for x in rows.column("f")])])).astype(np.int64)
@@ -347,6 +347,7 @@ def _scored(docs: DataFrame, labels: DataFrame, corpus: DataFrame | None = None)
     """row (the columns of `docs`), score, evidence."""
     spark = ready(docs.sparkSession)
     index = spark.sparkContext.broadcast(fit(corpus if corpus is not None else docs, labels))  # bounded by the sample
+    trim()  # the driver keeps nothing of the sample
     packed = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
     kind = docs.select(packed).schema["row"].dataType.simpleString()
     return docs.select(packed, text_or_empty().alias("t")).mapInArrow(released(_scorer(index)), f"row {kind}, score double, evidence string")
