@@ -374,6 +374,19 @@ def test_kept_documents_equal_brute_force(spark):
     assert sorted(r.doc_id for r in simhash.keep_one(df).collect()) == sorted(set(group))
 
 
+def test_sketches_never_differ_in_more_bits_than_sets():
+    from revlens.llm import shingle_join
+
+    rng = np.random.default_rng(3)
+    for n in (0, 1, 5, 50, 400, 3000):
+        a = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64))
+        for changed in (0, 1, n // 10, n // 2, n):
+            b = np.unique(np.concatenate([a[changed:], rng.integers(0, 1 << 63, changed, dtype=np.uint64)]))
+            bits = int(np.bitwise_count(shingle_join.sketch(a) ^ shingle_join.sketch(b)).sum())
+            assert bits <= len(np.setxor1d(a, b))
+            assert bits > 0 or changed != 1
+
+
 def test_bit_sliced_distances():
     a = np.random.default_rng(2).integers(0, 2**63, 200, dtype=np.uint64)
     planes = simhash.bit_planes(a)
