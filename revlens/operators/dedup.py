@@ -77,18 +77,21 @@ def jaccard_pairs(df: DataFrame, id_col: str = "id", text: str = "cleaned_text",
     return reps.union(copies)
 
 
-def tfidf(df: DataFrame, id_col: str = "id", text: str = "cleaned_text", max_features: int = MAX_FEATURES) -> DataFrame:
-    """id, term, weight: L2-normalised counts times ln((1 + n) / (1 + df)) + 1 over words and word pairs without stop words."""
+def tfidf(df: DataFrame, id_col: str = "id", text: str = "cleaned_text", max_features: int = MAX_FEATURES, copies: str | None = None) -> DataFrame:
+    """id, term, weight: L2-normalised counts times ln((1 + n) / (1 + df)) + 1 over words and word pairs without stop words.
+
+    A row stands for as many equal texts as its column `copies` says, for one if there is none."""
     from pyspark.ml.feature import StopWordsRemover
 
     stop = F.array(*[F.lit(w) for w in sorted(StopWordsRemover.loadDefaultStopWords("english"))])
     w = F.filter(F.regexp_extract_all(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit(r"(?U)\b\w\w+\b"), F.lit(0)), lambda x: ~F.array_contains(stop, x))
-    base = df.select(F.col(id_col).alias("id"), w.alias("w"))
+    times = F.lit(1).cast("long") if copies is None else F.col(copies).cast("long")
+    base = df.select(F.col(id_col).alias("id"), times.alias("times"), w.alias("w"))
     pairs = F.transform(F.when(F.size("w") > 1, F.sequence(F.lit(1), F.size("w") - 1)), lambda i: F.concat_ws(" ", F.element_at("w", i), F.element_at("w", i + 1)))
-    terms = base.select("id", F.explode(F.concat("w", F.coalesce(pairs, F.array().cast("array<string>")))).alias("term"))
-    counts = terms.groupBy("id", "term").agg(F.count(F.lit(1)).alias("tf"))
-    vocabulary = counts.groupBy("term").agg(F.sum("tf").alias("total"), F.count(F.lit(1)).alias("df")).orderBy(F.desc("total"), "term").limit(max_features)
-    n = df.agg(F.count(F.lit(1)).alias("n"))
+    terms = base.select("id", "times", F.explode(F.concat("w", F.coalesce(pairs, F.array().cast("array<string>")))).alias("term"))
+    counts = terms.groupBy("id", "times", "term").agg(F.count(F.lit(1)).alias("tf"))
+    vocabulary = counts.groupBy("term").agg(F.sum(F.col("tf") * F.col("times")).alias("total"), F.sum("times").alias("df")).orderBy(F.desc("total"), "term").limit(max_features)
+    n = base.agg(F.coalesce(F.sum("times"), F.lit(0)).alias("n"))
     raw = counts.join(vocabulary, "term").crossJoin(F.broadcast(n)).withColumn("x", F.col("tf") * (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1))
     return raw.withColumn("weight", F.col("x") / F.sqrt(F.sum(F.col("x") * F.col("x")).over(Window.partitionBy("id")))).select("id", "term", "df", "weight")
 
@@ -112,33 +115,44 @@ def cosine_pairs(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     )
 
 
-def clusters(df: DataFrame, id_col: str = "id", text: str = "cleaned_text", threshold: float = THRESHOLD, method: str = "jaccard") -> DataFrame:
-    """id, cluster (least member), is_representative (longest text, first on ties), review_count, similarity_score."""
+def _clustered_texts(df: DataFrame, id_col: str, text: str, threshold: float, method: str) -> DataFrame:
+    """_t, cluster, _keep (id of the representative), review_count (and similarity_score) of the texts in clusters of several rows.
+
+    Rows of equal texts are one node, so that copies are never paired nor linked one by one.
+    """
+    texts = written(df.groupBy(F.col(text).alias("_t")).agg(F.min(id_col).alias("first"), F.count(F.lit(1)).alias("copies")))
     vectors = None
     if method == "jaccard":
-        pairs = jaccard_pairs(df, id_col, text, threshold)
+        pairs, eligible = jaccard_pairs(texts, "first", "_t", threshold), texts.where(F.length(F.lower(strip("_t"))) >= SHINGLE)
     else:
-        vectors = written(tfidf(df, id_col, text))
-        pairs = cosine_pairs(vectors, threshold)
+        vectors = written(tfidf(texts, "first", "_t", copies="copies"))
+        pairs, eligible = cosine_pairs(vectors, threshold), texts.join(vectors.select("id").distinct(), F.col("first") == F.col("id"), "left_semi")
     found = components(pairs.select(F.col("a").alias("u"), F.col("b").alias("v")))
-    rows = found.join(df.select(F.col(id_col).alias("node"), F.col(text).alias("_t")), "node")
-    best = F.row_number().over(Window.partitionBy("root").orderBy(F.desc(F.length("_t")), "node"))
-    size = F.count(F.lit(1)).over(Window.partitionBy("root"))
-    out = rows.select(F.col("node").alias("id"), F.col("root").alias("cluster"), (best == 1).alias("is_representative"), size.cast("int").alias("review_count"))
+    placed = eligible.join(found, F.col("first") == F.col("node"), "left").select("_t", "first", "copies", F.coalesce("root", "first").alias("cluster"))
+    of = placed.groupBy("cluster").agg(F.sum("copies").alias("n"), F.min_by("first", F.struct(-F.length("_t"), F.col("first"))).alias("_keep")).where("n > 1")
+    out = placed.join(of, "cluster")
+    columns = ["_t", "cluster", "_keep", F.col("n").cast("int").alias("review_count")]
     if vectors is None:
-        return out.withColumn("similarity_score", F.lit(float(threshold)))
+        return written(out.select(*columns, F.lit(float(threshold)).alias("similarity_score")))
     # mean over all pairs of a cluster, from the norm of the summed vectors: (|sum v|^2 - sum |v|^2) / (n (n - 1))
-    sums = out.select("id", "cluster", "review_count").join(vectors, "id").groupBy("cluster", "review_count", "term").agg(F.sum("weight").alias("s"), F.sum(F.col("weight") * F.col("weight")).alias("q"))
-    n = F.col("review_count")
-    mean = sums.groupBy("cluster", "review_count").agg(((F.sum(F.col("s") * F.col("s")) - F.sum("q"))).alias("x")).select("cluster", F.bround(F.col("x") / (n * (n - 1)), 3).alias("similarity_score"))
-    return out.join(mean, "cluster")
+    each, w = out.select(F.col("first").alias("id"), "cluster", "n", "copies"), F.col("weight") * F.col("copies")
+    sums = each.join(vectors, "id").groupBy("cluster", "n", "term").agg(F.sum(w).alias("s"), F.sum(w * F.col("weight")).alias("q"))
+    mean = sums.groupBy("cluster", "n").agg((F.sum(F.col("s") * F.col("s")) - F.sum("q")).alias("x"))
+    return written(out.join(mean.select("cluster", F.bround(F.col("x") / (F.col("n") * (F.col("n") - 1)), 3).alias("similarity_score")), "cluster").select(*columns, "similarity_score"))
+
+
+def clusters(df: DataFrame, id_col: str = "id", text: str = "cleaned_text", threshold: float = THRESHOLD, method: str = "jaccard") -> DataFrame:
+    """id, cluster (least member), is_representative (longest text, first on ties), review_count, similarity_score."""
+    found = _clustered_texts(df, id_col, text, threshold, method)
+    rows = df.select(F.col(id_col).alias("id"), F.col(text).alias("_t")).join(found, "_t")
+    return rows.select("id", "cluster", (F.col("id") == F.col("_keep")).alias("is_representative"), "review_count", "similarity_score")
 
 
 def deduplicate(df: DataFrame, id_col: str = "id", text: str = "cleaned_text", threshold: float = THRESHOLD, method: str = "jaccard") -> DataFrame:
     """`df` with is_duplicate (not first of its exact group, or not its cluster's representative), cluster_id and cluster columns."""
-    marked = exact(df, text, id_col)
-    near = clusters(df, id_col, text, threshold, method).withColumnRenamed("id", "_id")
-    out = marked.join(near, F.col(id_col) == F.col("_id"), "left").drop("_id")
+    found = _clustered_texts(df, id_col, text, threshold, method)
+    out = exact(df, text, id_col).join(found, F.col(text) == F.col("_t"), "left").drop("_t")
+    out = out.withColumn("_keep", F.col(id_col) == F.col("_keep")).withColumnRenamed("_keep", "is_representative")
     dup = (F.col("is_exact_duplicate") == 1) | ~F.coalesce("is_representative", F.lit(True))
     return out.withColumn("is_duplicate", dup.cast("int")).withColumnRenamed("cluster", "cluster_id")
 
