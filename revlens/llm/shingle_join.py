@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 from revlens.llm import bitmap
 from revlens.llm.common import released, text_or_empty, written
 from revlens.operators.components import components
+from revlens.plans.durable import unshuffled
 
 SHINGLE, SIMILARITY = 5, 0.8
 #: Shingles of their prefixes that a pair must share before it is verified; any number gives the same result.
@@ -101,7 +102,8 @@ def common_shingles(docs: DataFrame, text_col: str, length: int) -> np.ndarray:
                 yield pa.RecordBatch.from_arrays([pa.array(shingles(x.as_py(), length).view(np.int64))], ["h"])
 
     many = texts.mapInArrow(released(each), "h long").groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= COMMON)
-    rows = many.orderBy(F.desc("n"), "h").limit(MOST_COMMON).select("h").toArrow()  # at most 2 MB
+    with unshuffled(docs.sparkSession):
+        rows = many.orderBy(F.desc("n"), "h").limit(MOST_COMMON).select("h").toArrow()  # at most 2 MB
     return np.sort(np.asarray(rows.column("h")).astype(np.int64).view(np.uint64))
 
 

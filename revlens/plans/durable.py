@@ -3,16 +3,23 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import os
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 _REPO = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 _written: list[tuple[SparkSession, str]] = []
 
+#: Spark (4.1 on) removes what an execution shuffled when it ends; else files stay until the driver collects its garbage.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Share of its limit that the driver's heap may take before it is collected after a write.
+HEAP = 0.5
+
 #: Rows an Arrow batch carries at most; texts are long, and Spark's default of 10,000 could hold gigabytes.
 ARROW_ROWS = 512
 
@@ -38,22 +45,43 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+@contextmanager
+def unshuffled(spark: SparkSession) -> Iterator[None]:
+    """What is executed meanwhile leaves no shuffle files."""
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
+
+
 def written(df: DataFrame) -> DataFrame:
     """The rows as a Parquet table in the shared folder: lineage is cut, and losing an executor loses nothing.
 
-    The folder is removed when the driver's Python ends, or by `settled`.
+    The folder is removed when the driver's Python ends, or by `settled`; what was shuffled for it goes at once.
     """
     spark = df.sparkSession
     if not _written:
         atexit.register(_remove)
     path = f"{shared_dir(spark)}/revlens-{uuid.uuid4().hex}"
     _written.append((spark, path))
-    df.write.parquet(path)
+    with unshuffled(spark):
+        df.write.option("compression", "zstd").parquet(path)
+    _relieve(spark)
     out = spark.read.schema(df.schema).parquet(path)
     out._written_path = path
     return out
 
 
+def _relieve(spark: SparkSession) -> None:
+    """Plans of many rounds are garbage of the driver, and its heap would grow to its limit before it gives any back."""
+    heap = spark._jvm.java.lang.Runtime.getRuntime()
+    if heap.totalMemory() > HEAP * heap.maxMemory():
+        gc.collect()  # plans that Python still refers to
+        spark._jvm.java.lang.System.gc()
+
+
 def settled(make: Callable[[], DataFrame], *before: DataFrame) -> DataFrame:
     """What `make` returns, written; the tables that it wrote on the way go at once, and so do those of `before`."""
     first = len(_written)
