@@ -5,6 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from revlens.operators import components as c
+from revlens.plans import durable
 from revlens.plans.durable import written
 
 
@@ -35,3 +36,12 @@ def test_few_edges_are_linked_as_by_rounds(spark, monkeypatch):
         want.setdefault("rows", got)
         assert got == want["rows"]
     assert not rounds
+
+
+def test_a_large_heap_is_collected_after_a_write(spark, monkeypatch):
+    beans = spark._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans()
+    full = lambda: sum(b.getCollectionCount() for b in beans if "Old" in b.getName() or "MarkSweep" in b.getName())
+    monkeypatch.setattr(durable, "HEAP", 0)
+    before = full()
+    written(spark.range(3))
+    assert full() > before
