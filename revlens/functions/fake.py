@@ -140,29 +140,51 @@ def fingerprint(text: Column) -> Column:
 
 
 def score_batch(df: DataFrame, text: str = "cleaned_text", user: str = "user_id", batch: str = "ingestion_id", **columns: str) -> DataFrame:
-    """`score`, then boosts for texts that occur again in the batch and for users who post much or repeat themselves.
-
-    Counts are aggregated first and joined back. Texts of five letters or fewer and rows without a user have no counts;
-    they are dealt by row, so that they are no hot key.
-    """
-    row = F.concat(F.lit("\0"), (F.monotonically_increasing_id() % 1024).cast("string"))
-    fp, u = fingerprint(F.col(text)), F.when(F.col(user) != "", F.col(user))
-    out = score(df, text, **columns).withColumns({"_b": F.col(batch), "_fp": fp})
-    out = out.withColumns({"_f": F.when(F.length("_fp") > 5, F.col("_fp")).otherwise(row), "_u": F.coalesce(u, row)})
-    plain = df.select(F.col(batch).alias("_b"), fp.alias("_fp"), u.alias("_u"))
-    same = plain.where(F.length("_fp") > 5).groupBy("_b", "_fp").agg(F.count(F.lit(1)).alias("_same")).where("_same > 1")
-    posts = plain.where("_u is not null").groupBy("_b", "_u").agg(F.count(F.lit(1)).alias("_posts"), F.count_distinct("_fp").alias("_kinds")).where("_posts > 1")
-    out = out.join(same.select(F.col("_b").alias("_b1"), F.col("_fp").alias("_f1"), "_same"), F.col("_b").eqNullSafe(F.col("_b1")) & (F.col("_f") == F.col("_f1")), "left")
-    out = out.join(posts.select(F.col("_b").alias("_b2"), F.col("_u").alias("_u2"), "_posts", "_kinds"), F.col("_b").eqNullSafe(F.col("_b2")) & (F.col("_u") == F.col("_u2")), "left")
+    """`score`, then boosts for texts that occur again in the batch and for users who post much or repeat themselves."""
+    plain = df.withColumn("_fp", fingerprint(F.col(text)))
+    out = with_posts(repeated(score(plain, text, **columns), plain, batch), posts(plain, "_fp", user, batch), user, batch)
+    return boosted(out).drop("_fp")
+
+
+def _dealt(key: Column) -> Column:
+    """`key`, or where it is null one of a thousand that nothing has: rows without a key have no counts, and are no hot key."""
+    return F.coalesce(key, F.concat(F.lit("\0"), (F.monotonically_increasing_id() % 1024).cast("string")))
+
+
+def repeated(df: DataFrame, plain: DataFrame, batch: str = "ingestion_id", copies: str | None = None) -> DataFrame:
+    """Adds _same: how often the fingerprint _fp occurs in the batch among `plain`, whose rows stand for `copies` each; null
+    if once, or for fingerprints of five letters or fewer. Counts are aggregated first and joined back."""
+    times = F.lit(1) if copies is None else F.col(copies)
+    long = F.when(F.length("_fp") > 5, F.col("_fp"))
+    same = plain.where(long.isNotNull()).groupBy(F.col(batch).alias("_b"), F.col("_fp").alias("_f1")).agg(F.sum(times).alias("_same")).where("_same > 1")
+    return df.withColumn("_f", _dealt(long)).join(same, F.col(batch).eqNullSafe(F.col("_b")) & (F.col("_f") == F.col("_f1")), "left").drop("_b", "_f", "_f1")
+
+
+def _user(user: str) -> Column:
+    return F.when(F.col(user) != "", F.col(user))
+
+
+def posts(df: DataFrame, kind: str, user: str = "user_id", batch: str = "ingestion_id") -> DataFrame:
+    """_b, _u, _posts, _kinds: rows, and different values of `kind`, of users with several rows."""
+    found = df.where(_user(user).isNotNull()).groupBy(F.col(batch).alias("_b"), F.col(user).alias("_u"))
+    return found.agg(F.count(F.lit(1)).alias("_posts"), F.count_distinct(kind).alias("_kinds")).where("_posts > 1")
+
+
+def with_posts(df: DataFrame, found: DataFrame, user: str = "user_id", batch: str = "ingestion_id") -> DataFrame:
+    """Adds _posts and _kinds of the row's user."""
+    return df.withColumn("_w", _dealt(_user(user))).join(found, F.col(batch).eqNullSafe(F.col("_b")) & (F.col("_w") == F.col("_u")), "left").drop("_b", "_u", "_w")
+
+
+def boosted(df: DataFrame) -> DataFrame:
+    """The verdicts on rows that have the columns of `score`, `repeated` and `with_posts`."""
     again, often = F.coalesce(F.col("_same") > 1, F.lit(False)), F.coalesce(F.col("_posts") > 3, F.lit(False))
     repeats = F.coalesce(F.col("_kinds") < F.col("_posts"), F.lit(False))
-    boosted = F.when(again, F.least(F.col("fake_score") + 0.25, F.lit(1.0))).otherwise(F.col("fake_score"))
-    final = F.when(often | repeats, F.least(boosted + 0.3, F.lit(1.0))).otherwise(boosted)
+    raised = F.when(again, F.least(F.col("fake_score") + 0.25, F.lit(1.0))).otherwise(F.col("fake_score"))
+    final = F.when(often | repeats, F.least(raised + 0.3, F.lit(1.0))).otherwise(raised)
     flags = compact(
         F.when(again, F.format_string("Identical text found across %d reviews", F.col("_same"))),
         F.when(often, F.format_string("Customer flagged: Hyper-active user (%d reviews in batch)", F.col("_posts"))),
         F.when(repeats, F.lit("Customer flagged: User repeating identical text across products")),
     )
-    out = out.withColumns({"is_bot_user": (often | repeats).cast("int"), "fake_flags": F.concat("fake_flags", flags), "fake_score": final})
-    out = out.withColumn("is_suspicious", (F.col("fake_score") >= lx.FAKE_THRESHOLD).cast("int"))
-    return out.drop("_b", "_fp", "_f", "_u", "_b1", "_f1", "_same", "_b2", "_u2", "_posts", "_kinds")
+    out = df.withColumns({"is_bot_user": (often | repeats).cast("int"), "fake_flags": F.concat("fake_flags", flags), "fake_score": final})
+    return out.withColumn("is_suspicious", (F.col("fake_score") >= lx.FAKE_THRESHOLD).cast("int")).drop("_same", "_posts", "_kinds")

@@ -94,22 +94,24 @@ def python_float(c: Column) -> Column:
     return F.when(c == F.floor(c), F.concat(c.cast("long").cast("string"), F.lit(".0"))).otherwise(c.cast("string"))
 
 
-def ambiguity_flags(text: Column, rating: Column, features: Column) -> Column:
-    low = F.lower(text)
-    pos, neg = _count(features, "positive"), _count(features, "negative")
-    pol = polarity(words(low))["score"]
+def sarcasm(text: Column) -> Column:
+    """The flags of a text's sarcastic phrases, for a rating that isn't high."""
+    return compact(*[F.when(F.lower(text).rlike(p), F.lit("Potential sarcasm detected ('" + p.replace(r"\s?", " ") + "')")) for p in lx.SARCASM])
+
+
+def ambiguity_flags(rating: Column, pos: Column, neg: Column, n: Column, pol: Column, sarcastic: Column) -> Column:
+    """pos, neg, n: positive, negative and all features; pol: the polarity of the text in lower case."""
     mismatch = (
         F.when((rating >= 4) & (neg > 0) & (pos == 0), "High rating but solely negative features extracted")
         .when((rating >= 4) & (pol < -1.0), "High rating but strong negative text")
         .when((rating <= 2) & (pos > 0) & (neg == 0), "Low rating but solely positive features extracted")
         .when((rating <= 2) & (pol > 1.0), "Low rating but strong positive text")
     )
-    sarcasm = [F.when(low.rlike(p) & (rating <= 3), F.lit("Potential sarcasm detected ('" + p.replace(r"\s?", " ") + "')")) for p in lx.SARCASM]
     extreme = F.when(
-        (F.size(features) >= 2) & (pos > 0) & (pos == neg) & rating.isin(1.0, 5.0),
+        (n >= 2) & (pos > 0) & (pos == neg) & rating.isin(1.0, 5.0),
         F.concat(F.lit("Extreme rating ("), python_float(rating), F.lit("★) but perfectly mixed feedback")),
     )
-    return compact(mismatch, *sarcasm, extreme)
+    return F.concat(compact(mismatch), F.when(rating <= 3, sarcastic).otherwise(F.array().cast("array<string>")), compact(extreme))
 
 
 def overall_label(combined: Column, pos: Column, neg: Column, flags: Column) -> Column:
@@ -123,12 +125,24 @@ def overall_label(combined: Column, pos: Column, neg: Column, flags: Column) ->
 
 def analyze(df: DataFrame, id_col: str = "id", text: str = "cleaned_text", rating: str = "rating") -> DataFrame:
     """Adds features, sentiment_score, sentiment_label, ambiguity_flags, is_ambiguous."""
+    return rated(of_texts(df, id_col, text), rating)
+
+
+def of_texts(df: DataFrame, id_col: str = "id", text: str = "cleaned_text") -> DataFrame:
+    """`df` with features and all else that doesn't depend on the rating, for `rated`."""
     item = F.struct("feature", "sentiment", "confidence", "evidence")
     found = extract_features(df, id_col, text).groupBy("id").agg(F.sort_array(F.collect_list(item)).alias("features")).withColumnRenamed("id", "_id")
     out = df.join(found, F.col(id_col) == F.col("_id"), "left").drop("_id").withColumn("features", F.coalesce("features", F.array().cast(FEATURE)))
     whole = F.coalesce(F.col(text), F.lit(""))
-    out = out.withColumns({"ambiguity_flags": ambiguity_flags(whole, F.col(rating), F.col("features")), "_pol": polarity(words(whole))["score"]})
     pos, neg = _count(F.col("features"), "positive"), _count(F.col("features"), "negative")
+    scores = {"_pol": polarity(words(whole))["score"], "_low": polarity(words(F.lower(whole)))["score"]}
+    return out.withColumns({"_pos": pos, "_neg": neg, "_sarcasm": sarcasm(whole)} | scores)
+
+
+def rated(df: DataFrame, rating: str = "rating") -> DataFrame:
+    """The verdicts on rows that have the columns of `of_texts`."""
+    pos, neg = F.col("_pos"), F.col("_neg")
+    out = df.withColumn("ambiguity_flags", ambiguity_flags(F.col(rating), pos, neg, F.size("features"), F.col("_low"), F.col("_sarcasm")))
     out = out.withColumn("_combined", F.col("_pol") + pos - neg)
     return out.withColumns(
         {
@@ -136,4 +150,4 @@ def analyze(df: DataFrame, id_col: str = "id", text: str = "cleaned_text", ratin
             "sentiment_label": overall_label(F.col("_combined"), pos, neg, F.col("ambiguity_flags")),
             "is_ambiguous": (F.size("ambiguity_flags") > 0).cast("int"),
         }
-    ).drop("_pol", "_combined")
+    ).drop("_pol", "_low", "_pos", "_neg", "_sarcasm", "_combined")

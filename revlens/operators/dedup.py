@@ -26,12 +26,26 @@ def text_hash(text: Column) -> Column:
 def exact(df: DataFrame, text: str = "cleaned_text", order: str = "seq", scope: tuple[str, ...] = ()) -> DataFrame:
     """Adds text_hash, group_size and is_exact_duplicate: all of a group but the first in `order`, whose values must
     differ. Groups are aggregated first and joined back, so a text of many copies isn't gathered in one task."""
+    return _not_first(_grouped(df, text, order, scope), order)
+
+
+def _not_first(df: DataFrame, order: str) -> DataFrame:
+    return df.withColumn("is_exact_duplicate", (F.col(order) > F.col("_first")).cast("int")).drop("_first")
+
+
+def _times(copies: str | None) -> Column:
+    """Rows that a row stands for."""
+    return F.lit(1).cast("long") if copies is None else F.col(copies).cast("long")
+
+
+def _grouped(df: DataFrame, text: str, order: str, scope: tuple[str, ...] = (), copies: str | None = None) -> DataFrame:
+    """Adds text_hash, group_size and _first, the least `order` of the group."""
     out = df.withColumn("text_hash", text_hash(F.col(text)))
-    groups = out.groupBy(*scope, "text_hash").agg(F.count(F.lit(1)).alias("group_size"), F.min(order).alias("_first"))
+    groups = out.groupBy(*scope, "text_hash").agg(F.sum(_times(copies)).alias("group_size"), F.min(order).alias("_first"))
     keys = [*scope, "text_hash"]
     groups = groups.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], "group_size", "_first")
     same = reduce(and_, [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)])
-    return out.join(groups, same).withColumn("is_exact_duplicate", (F.col(order) > F.col("_first")).cast("int")).drop("_first", *[f"_k{i}" for i in range(len(keys))])
+    return out.join(groups, same).drop(*[f"_k{i}" for i in range(len(keys))])
 
 
 def shingles(text: Column, k: int = SHINGLE) -> Column:
@@ -85,8 +99,7 @@ def tfidf(df: DataFrame, id_col: str = "id", text: str = "cleaned_text", max_fea
 
     stop = F.array(*[F.lit(w) for w in sorted(StopWordsRemover.loadDefaultStopWords("english"))])
     w = F.filter(F.regexp_extract_all(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit(r"(?U)\b\w\w+\b"), F.lit(0)), lambda x: ~F.array_contains(stop, x))
-    times = F.lit(1).cast("long") if copies is None else F.col(copies).cast("long")
-    base = df.select(F.col(id_col).alias("id"), times.alias("times"), w.alias("w"))
+    base = df.select(F.col(id_col).alias("id"), _times(copies).alias("times"), w.alias("w"))
     pairs = F.transform(F.when(F.size("w") > 1, F.sequence(F.lit(1), F.size("w") - 1)), lambda i: F.concat_ws(" ", F.element_at("w", i), F.element_at("w", i + 1)))
     terms = base.select("id", "times", F.explode(F.concat("w", F.coalesce(pairs, F.array().cast("array<string>")))).alias("term"))
     counts = terms.groupBy("id", "times", "term").agg(F.count(F.lit(1)).alias("tf"))
@@ -115,12 +128,12 @@ def cosine_pairs(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     )
 
 
-def _clustered_texts(df: DataFrame, id_col: str, text: str, threshold: float, method: str) -> DataFrame:
+def _clustered_texts(df: DataFrame, id_col: str, text: str, threshold: float, method: str, copies: str | None = None) -> DataFrame:
     """_t, cluster, _keep (id of the representative), review_count (and similarity_score) of the texts in clusters of several rows.
 
     Rows of equal texts are one node, so that copies are never paired nor linked one by one.
     """
-    texts = written(df.groupBy(F.col(text).alias("_t")).agg(F.min(id_col).alias("first"), F.count(F.lit(1)).alias("copies")))
+    texts = written(df.groupBy(F.col(text).alias("_t")).agg(F.min(id_col).alias("first"), F.sum(_times(copies)).alias("copies")))
     vectors = None
     if method == "jaccard":
         pairs, eligible = jaccard_pairs(texts, "first", "_t", threshold), texts.where(F.length(F.lower(strip("_t"))) >= SHINGLE)
@@ -150,8 +163,19 @@ def clusters(df: DataFrame, id_col: str = "id", text: str = "cleaned_text", thre
 
 def deduplicate(df: DataFrame, id_col: str = "id", text: str = "cleaned_text", threshold: float = THRESHOLD, method: str = "jaccard") -> DataFrame:
     """`df` with is_duplicate (not first of its exact group, or not its cluster's representative), cluster_id and cluster columns."""
-    found = _clustered_texts(df, id_col, text, threshold, method)
-    out = exact(df, text, id_col).join(found, F.col(text) == F.col("_t"), "left").drop("_t")
+    return flagged(of_texts(df, id_col, text, threshold, method), id_col)
+
+
+def of_texts(df: DataFrame, id_col: str, text: str, threshold: float = THRESHOLD, method: str = "jaccard", copies: str | None = None) -> DataFrame:
+    """`df` with all that rows of equal texts share, for `flagged`. A row may stand for as many rows as `copies` says, with
+    their least id."""
+    found = _clustered_texts(df, id_col, text, threshold, method, copies)
+    return _grouped(df, text, id_col, copies=copies).join(found, F.col(text) == F.col("_t"), "left").drop("_t")
+
+
+def flagged(df: DataFrame, id_col: str = "id") -> DataFrame:
+    """The flags of rows that have the columns of `of_texts`."""
+    out = _not_first(df, id_col)
     out = out.withColumn("_keep", F.col(id_col) == F.col("_keep")).withColumnRenamed("_keep", "is_representative")
     dup = (F.col("is_exact_duplicate") == 1) | ~F.coalesce("is_representative", F.lit(True))
     return out.withColumn("is_duplicate", dup.cast("int")).withColumnRenamed("cluster", "cluster_id")
